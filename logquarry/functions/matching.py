@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logquarry.functions.text import valid_regex
+from logquarry.functions.text import any_case, valid_regex
 
 META = re.compile(r"[.\[\]()+?^$|{}\\*]")
 MAX_LITERAL_GROUPS = 32
@@ -95,4 +95,4 @@ def _check(text: str) -> None:
 def line_test(part: Condition, text: Column) -> Column:
     if part.kind == "literal":
         return F.lower(text).contains(F.lower(F.lit(part.text)))
-    return F.lower(text).rlike("(?iud)" + part.text)
+    return F.lower(text).rlike(any_case(part.text))

@@ -14,7 +14,19 @@ NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
 def unix(pattern: str) -> str:
     """Prefix a pattern so that only a newline ends a line and `.` matches a carriage return."""
-    return "(?d)" + pattern
+    return "(?d)" + ascii_boundaries(pattern)
+
+
+def any_case(pattern: str) -> str:
+    """As `unix`, ignoring case for all letters."""
+    return "(?iud)" + ascii_boundaries(pattern)
+
+
+def ascii_boundaries(pattern: str) -> str:
+    r"""Spell out `\b`, whose letters beyond ASCII differ between Java releases."""
+    word = "[A-Za-z0-9_]"
+    edge = f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))"
+    return re.sub(r"\\(.)", lambda m: edge if m.group(1) == "b" else m.group(0), pattern, flags=re.S)
 
 
 def first_case(cases: Iterable[tuple[Column, Column]], default: Column | None = None) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logquarry.functions.matching import Condition, line_test
-from logquarry.functions.text import first_case, groups, rows_where, trim_zeros, trimmed, unix
+from logquarry.functions.text import any_case, first_case, groups, rows_where, trim_zeros, trimmed, unix
 from logquarry.functions.timestamps import formatted_ntz
 from logquarry.operators.ordered import by_range, median_by_position
 
@@ -92,7 +92,7 @@ def parse_system_log(lines: DataFrame) -> DataFrame:
 
 
 def is_noise(description: Column) -> Column:
-    return description.rlike("(?iud)" + "|".join(f"(?:{p})" for p in NOISE))
+    return description.rlike(any_case("|".join(f"(?:{p})" for p in NOISE)))
 
 
 def template(description: Column) -> Column:
@@ -106,7 +106,7 @@ def event_label(description: Column) -> Column:
     """First known event that matches, else the clipped template."""
     generic = template(description)
     clipped = F.regexp_replace(generic, f"(?s)^(.{{{TEMPLATE_LIMIT}}}).+$", "$1…")
-    return first_case([(description.rlike("(?iud)" + p), F.lit(n)) for n, p in KNOWN_EVENTS], clipped)
+    return first_case([(description.rlike(any_case(p)), F.lit(n)) for n, p in KNOWN_EVENTS], clipped)
 
 
 def log_occurrences(lines: DataFrame) -> DataFrame:

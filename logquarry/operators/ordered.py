@@ -171,14 +171,15 @@ def by_lines(
     df: DataFrame,
     keys: tuple[str, ...] = ("file_id", "path"),
     order: tuple[str, ...] = ("line_no",),
+    line: str = "line_no",
     lines: int = CHUNK_LINES,
     limit: int | None = None,
 ) -> Ordered:
-    """Cut on the line number, the last order column; earlier order columns are part of the chunk."""
+    """Cut on the line number; order columns in front of it are part of the chunk."""
     if is_small(df, limit):
         return Ordered(df.withColumn(CHUNK, F.lit(0)), tuple(keys), tuple(order), True)
-    block = F.floor(F.col(order[-1]) / lines)
-    chunk = block if len(order) == 1 else F.struct(*order[:-1], block.alias("block"))
+    block, front = F.floor(F.col(line) / lines), order[: order.index(line)]
+    chunk = F.struct(*front, block.alias("block")) if front else block
     return Ordered(df.withColumn(CHUNK, chunk), tuple(keys), tuple(order), False)
 
 

@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.functions.text import valid_regex
+from logquarry.functions.text import any_case, valid_regex
 from logquarry.operators.ordered import Ordered, by_range
 
 MAX_SERIES = 200
@@ -43,7 +43,7 @@ def lookup(catalog: DataFrame, pattern: str = "", op: str | None = None, x: floa
     }
     if not re.search(r"[.\[\]()+?^$|{}\\]", pattern):
         pattern = pattern.replace("*", ".*")
-    named = F.col("name").rlike("(?iud)" + valid_regex(pattern)) if pattern else F.lit(True)
+    named = F.col("name").rlike(any_case(valid_regex(pattern))) if pattern else F.lit(True)
     return catalog.where(named & ranges[op])
 
 

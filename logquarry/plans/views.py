@@ -12,15 +12,33 @@ SPARK_WORDS = {
     "dash_ts": "date_format(ts, 'yyyy-MM-dd HH:mm:ss')",
     "agent_ts": "date_format(ts, 'MM/dd/yyyy HH:mm:ss')",
     "whole_ts": "date_trunc('second', ts)",
+    "numbered_lines": "p + 1 AS line_no, line AS text FROM {documents} LATERAL VIEW posexplode(split(text, '\\n')) x AS p, line",
 }
 DUCK_WORDS = {
     "slash_ts": "strftime(ts, '%Y/%m/%d %H:%M:%S')",
     "dash_ts": "strftime(ts, '%Y-%m-%d %H:%M:%S')",
     "agent_ts": "strftime(ts, '%m/%d/%Y %H:%M:%S')",
     "whole_ts": "date_trunc('second', ts)",
+    "numbered_lines": """i AS line_no, parts[i] AS text FROM (
+            SELECT *, string_split(text, chr(10)) AS parts FROM documents), unnest(range(1, len(parts) + 1)) AS u(i)""",
 }
 
 VIEWS = {
+    "lines": """
+        SELECT source AS file_id, doc_id AS entry_ord, concat('docs/', lang, '/', doc_id, '.log') AS path,
+               {numbered_lines}""",
+    "monitor": """
+        SELECT concat('bundle', event_id % 3) AS file_id, 0 AS entry_ord, 'var/log/mp-monitor.log' AS path,
+               event_id AS line_no,
+               CASE WHEN event_id % 400 = 0 THEN '2024-02-31 00:00:00.5 -0700  --- broken'
+                    WHEN event_id % 20 = 0 THEN concat({dash_ts}, '.123 -0700  --- ', event_type, '_block')
+                    WHEN event_id % 11 = 1 THEN concat({slash_ts}, ' plain ', user_id)
+                    WHEN event_id % 7 = 3 THEN ':CPU load sampling by group:'
+                    WHEN event_id % 14 = 4 THEN ':CPU load (%) during last 60 seconds:'
+                    WHEN event_id % 7 = 5 THEN concat(':Resource utilization (%) during last ', user_id, ' seconds:')
+                    WHEN event_id % 7 = 6 THEN concat(':pool ', event_type, ':')
+                    ELSE concat('key', user_id, ' ', value) END AS text
+        FROM {events}""",
     "syslog": """
         SELECT concat('bundle', user_id % 4) AS file_id, 0 AS entry_ord, 'show_log_system.txt' AS path,
                event_id AS line_no,
@@ -65,9 +83,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    text = VIEWS[name]
+    text = VIEWS[name].format(**SPARK_WORDS, **{t: "{" + t + "}" for t in TABLES})
     tables = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
-    return spark.sql(text.format(**SPARK_WORDS, **{t: "{" + t + "}" for t in tables}), **tables)
+    return spark.sql(text, **tables)
 
 
 def duck(name: str) -> str:
