@@ -181,6 +181,11 @@ SESSION_LABELS = {
     "Max pending queued mcast packets per session": "max_pending_mcast_pkts",
 }
 
+OWN_FORMAT = (
+    "cpu", "ifconfig", "memory", "memory_detail", "slabinfo", "logrcvr_statistics", "netstat_detail",
+    "netstat_stats", "processes", "filesystem", "top", "panio_infreq",
+)
+
 FILE = ("file_id", "path")
 BLOCK = (*FILE, "block_at")
 SAMPLE = "array<struct<name:string,value:double,minutes:int>>"
@@ -255,8 +260,13 @@ def _states(rows: DataFrame) -> DataFrame:
     """State of the block in front of each line: section, table headers and consumed rows."""
     window = Window.partitionBy(*BLOCK).orderBy("line_no")
     upto, above = window.rowsBetween(Window.unboundedPreceding, 0), window.rowsBetween(Window.unboundedPreceding, -1)
+    own = F.col("block").isin(*OWN_FORMAT)
+
+    def among(block: str) -> Column:
+        return F.col("block") == block
+
     may_start = _clean().startswith(":") | _clean().contains("Pow Atomic Memory Pools")
-    mode = F.when(may_start, first_case([(_is(p), F.lit(m)) for m, p in SECTIONS]))
+    mode = F.when(~own & may_start, first_case([(_is(p), F.lit(m)) for m, p in SECTIONS]))
     detail = dict(SECTIONS)["procusd"]
     resource = trimmed(_part(RESOURCE_LABEL))
     known = F.create_map(*[F.lit(x) for pair in RESOURCE_NAMES.items() for x in pair])
@@ -264,37 +274,38 @@ def _states(rows: DataFrame) -> DataFrame:
     label = F.concat(F.coalesce(F.try_element_at(known, resource), sanitise(resource)), suffix)
     marks = {
         "section": _at(mode.isNotNull(), mode=mode, name=sanitise(_part(detail)), kind=_part(detail, 2)),
-        "core": _at(_is(CORE_HEADER), ids=fields(_part(CORE_HEADER))),
-        "task": _at(_is(TASK_HEADER), ids=fields(_part(TASK_HEADER))),
-        "iface": _at(_is(INTERFACE), name=sanitise(F.substring_index(_part(INTERFACE), "@", 1))),
-        "rxtx": _at(_is(DIRECTION), way=F.lower(_part(DIRECTION)), names=fields(_part(DIRECTION, 2))),
-        "stats": _at(_is(STATS_SECTION), name=sanitise(_part(STATS_SECTION))),
-        "res": _at(_is(RESOURCE_LABEL), name=label),
-        "thread": _at(_is(THREAD), id=_part(THREAD).cast("int")),
+        "core": _at(_clean().startswith(":core") & _is(CORE_HEADER), ids=fields(_part(CORE_HEADER))),
+        "task": _at(_clean().startswith(":Counter") & _is(TASK_HEADER), ids=fields(_part(TASK_HEADER))),
+        "iface": _at(among("ifconfig") & _is(INTERFACE), name=sanitise(F.substring_index(_part(INTERFACE), "@", 1))),
+        "rxtx": _at(among("ifconfig") & _is(DIRECTION), way=F.lower(_part(DIRECTION)), names=fields(_part(DIRECTION, 2))),
+        "stats": _at(among("netstat_stats") & _is(STATS_SECTION), name=sanitise(_part(STATS_SECTION))),
+        "res": _at(_clean().startswith(":") & _clean().contains("):") & _is(RESOURCE_LABEL), name=label),
+        "thread": _at(_clean().startswith(":thread") & _is(THREAD), id=_part(THREAD).cast("int")),
     }
     rows = rows.select("*", *[c.alias(f"_{n}") for n, c in marks.items()])
     rows = rows.select(
         *[c for c in rows.columns if not c.startswith("_")],
         *[F.last(f"_{n}", ignorenulls=True).over(upto).alias(n) for n in marks],
         F.lag(_clean().startswith("Load Avg")).over(window).alias("after_load"),
-        F.max(F.when(_is(NUMBERS_ONLY), F.col("line_no"))).over(above).alias("numbers_at"),
-        F.max(F.when(_is(RESOURCE_ROW), F.col("line_no"))).over(above).alias("resource_at"),
+        F.max(F.when(among("ifconfig") & _is(NUMBERS_ONLY), F.col("line_no"))).over(above).alias("numbers_at"),
+        F.max(F.when(_clean().startswith(":") & _is(RESOURCE_ROW), F.col("line_no"))).over(above).alias("resource_at"),
     )
     mode, start = F.col("section.mode"), F.col("section.at")
     core_row = (mode == "cpu15m") & (F.col("core.at") > start) & _is(VALUE_ROW)
     core_row = core_row & (F.size(fields(_part(VALUE_ROW))) == 2 * F.size("core.ids"))
     elapsed = F.struct(start, (-F.col("line_no")).alias("line"), _value(ELAPSED, 1).alias("seconds"))
-    average = ~F.coalesce("after_load", F.lit(False)) & _is(CPU_AVERAGE)
+    average = among("cpu") & ~F.coalesce("after_load", F.lit(False)) & _is(CPU_AVERAGE)
+    last_line = among("logrcvr_statistics") & (sanitise(_part(RECEIVER_LINE)) == "total_mb")
     rows = rows.select(
         "*",
         core_row.alias("core_row"),
         F.max(F.when((mode == "gc") & _is(ELAPSED), elapsed)).over(upto).alias("elapsed"),
         F.min(F.when(average, F.col("line_no"))).over(upto).alias("average_at"),
-        F.min(F.when(sanitise(extract(_clean(), RECEIVER_LINE)) == "total_mb", F.col("line_no"))).over(upto).alias("total_at"),
+        F.min(F.when(last_line, F.col("line_no"))).over(upto).alias("total_at"),
         F.sum(core_row.cast("int")).over(upto).alias("core_rows"),
     )
     first = F.struct(F.col("core.at").alias("at"), (-F.col("core_rows")).alias("rows"))
-    return rows.select("*", F.max(F.when("core_row", first)).over(upto).alias("core_first"))
+    return rows.select("*", F.max(F.when(F.col("core_row"), first)).over(upto).alias("core_first"))
 
 
 def _size_bytes(text: Column) -> Column:
@@ -414,12 +425,6 @@ def _block_rows() -> list[tuple[Column, Column]]:
     ]
 
 
-OWN_FORMAT = (
-    "cpu", "ifconfig", "memory", "memory_detail", "slabinfo", "logrcvr_statistics", "netstat_detail",
-    "netstat_stats", "processes", "filesystem", "top", "panio_infreq",
-)
-
-
 def _session_rows() -> Column:
     """Session-info line: yes/no values become 1 and -1, others their first number."""
     body = trimmed(F.regexp_replace(_clean(), "^:", ""))

@@ -12,6 +12,8 @@ SPARK_WORDS = {
     "dash_ts": "date_format(ts, 'yyyy-MM-dd HH:mm:ss')",
     "agent_ts": "date_format(ts, 'MM/dd/yyyy HH:mm:ss')",
     "whole_ts": "date_trunc('second', ts)",
+    "list": "array",
+    "exploded": "p AS p, line AS line FROM s LATERAL VIEW posexplode(ls) x AS p, line",
     "numbered_lines": "p + 1 AS line_no, line AS text FROM {documents} LATERAL VIEW posexplode(split(text, '\\n')) x AS p, line",
 }
 DUCK_WORDS = {
@@ -19,6 +21,8 @@ DUCK_WORDS = {
     "dash_ts": "strftime(ts, '%Y-%m-%d %H:%M:%S')",
     "agent_ts": "strftime(ts, '%m/%d/%Y %H:%M:%S')",
     "whole_ts": "date_trunc('second', ts)",
+    "list": "list_value",
+    "exploded": "p, ls[p + 1] AS line FROM s, unnest(range(0, len(ls))) AS u(p)",
     "numbered_lines": """i AS line_no, parts[i] AS text FROM (
             SELECT *, string_split(text, chr(10)) AS parts FROM documents), unnest(range(1, len(parts) + 1)) AS u(i)""",
 }
@@ -57,6 +61,45 @@ VIEWS = {
                    ELSE concat('Neighbour 00:1b:17:00:01:', 10 + user_id % 80, ' moved, dump core-', event_id, '.tgz')
                  END) AS text
         FROM {events}""",
+    "monitor_log": """
+        SELECT file_id, 0 AS entry_ord, concat('var/log/pan/', plane, '-monitor.log') AS path, e * 32 + p AS line_no,
+               line AS text FROM (
+        WITH b AS (SELECT event_id AS e, user_id AS u, CAST(floor(value * 100) AS BIGINT) AS v, event_type AS t,
+                     concat('bundle', user_id % 2) AS file_id, CASE WHEN user_id % 4 < 2 THEN 'mp' ELSE 'dp' END AS plane,
+                     concat({dash_ts}, '.087 -0700  --- ') AS h
+                   FROM {events}),
+        s AS (SELECT *, CASE e % 12
+          WHEN 0 THEN {list}(concat(h, 'panio'), ':Global counters:',
+            concat(':Elapsed time since last sampling: ', 50 + u, '.5 seconds'), ':name   value  rate',
+            concat(':pkt_', t, '   ', v, '   3'), concat(':pkt_sent   ', u, '   -1'), ':Total counters shown: 2',
+            ':pkt_late 1 1')
+          WHEN 1 THEN {list}(concat(h, 'panio'), ':CPU load (%) during last 15 minutes:', ':core    0     11',
+            ':     avg max avg max', concat(':  ', u, ' 2 ', v, ' 4'), ':  7   8', concat(':  1 2 3 ', u), ':core 2',
+            concat(':  ', v, ' 9'))
+          WHEN 2 THEN {list}(concat(h, 'cpu'), 'Last 180 seconds', 'Avg (%)    Max (%)', concat(u, '   ', v), '1  2',
+            'Load Avg:', concat(u, '.25 1.5 ', u, '.75 1/1449 49'))
+          WHEN 3 THEN {list}(concat(h, 'ifconfig'), concat('1: eth', u, '@if5: <UP> mtu 1'),
+            '    RX:  bytes packets  missed', concat('   ', v, ' ', u, '  0'), '   5 6 7', '    TX:  bytes packets',
+            '  1 2 3', concat('   TX:  bytes collsns'), concat(' 3  ', v))
+          WHEN 4 THEN {list}(concat(h, 'memory'), concat('Mem   ', v, '   2  8000000 ', u), concat('Swap ', u, ' 0 ', v))
+          WHEN 5 THEN {list}(concat(h, 'netstat_detail'), 'Proto Recv-Q Send-Q Local Foreign State PID',
+            concat('tcp   ', v, ' 2 0.0.0.0:1 0.0.0.0:* LISTEN  33/app', u % 3), 'tcp 3 1 a b ESTABLISHED -',
+            concat('tcp6   4 ', u, ' :::1 :::* LISTEN  34/app', u % 3), concat('tcp   5 6 0.0.0.0:1 x LISTEN  35/app', u % 3))
+          WHEN 6 THEN {list}(concat(h, 'processes'), 'Name PID CPU FDs Virt Res State Lazy',
+            concat('proc', u % 9, ' ', u, '  ', u % 100, ' 11 ', v, ' 900 S 800'), concat('Total num processes: ', u),
+            concat('Totals 3 ', v, ' 5 6 7'))
+          WHEN 7 THEN {list}(concat(h, 'panio_infreq'), ':Vsys: 2', ':15 1 2 3 4 5',
+            concat(':', u, '   ', v, ' 27 15 0 3'), ':---')
+          WHEN 8 THEN {list}(concat(h, 'panio'), ':Resource utilization (%) during last 15 minutes:',
+            ':packet buffer (average):', concat(':   ', u, '  ', v), ':  9 9', ':session (maximum):', concat(':  ', v))
+          WHEN 9 THEN {list}(concat(h, 'panio'), concat(':Number of sessions supported:   ', v), ':Hardware session offloading: True',
+            concat(':TCP default timeout:    ', u, ' secs'), ':Tunnel acceleration:   False')
+          WHEN 10 THEN {list}(concat(h, 'top'), concat('top - 11:00 up 3 days, 02:0', u % 10, ',  ', u, ' users,  load average: 1.5, 2.5, ', u),
+            concat('%Cpu(s):  1.5 us, ', u, ' sy, 4 wa'), concat(u, ' root 20 0 ', v, 'm 12g 100 S 5.5 0.1 1:02.5 proc', u % 3))
+          ELSE {list}(concat(h, 'panio'), ':Software Pools', concat(':[ 1] Pool A  (  0):   ', v, '/1024'), ':[ 2] B (1): 3/0',
+            ':Mem-Pool-Type  MaxSz', concat(':fptcp ', v, ' 2 3(0)'), ':thread 1 deq 5', ':pow parameters:', concat(':thread 3 sel ok ', u),
+            concat(':io: wqe alloc 4 wqe null ', v)) END AS ls FROM b)
+        SELECT file_id, plane, e, {exploded}) q""",
     "counters": """
         SELECT concat('bundle', user_id % 2) AS file_id, concat('mp__evt__', event_type, '_', user_id % 5) AS name,
                ts, value, 0 AS entry_ord, event_id AS line_no, 0 AS emit_ord
