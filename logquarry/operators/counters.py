@@ -241,7 +241,7 @@ def blocks(lines: DataFrame, monitor_file: str = MONITOR_FILE) -> DataFrame:
         F.regexp_extract("path", monitor_file, 1).alias("plane"),
         trimmed(F.col("text")).alias("clean"),
     )
-    header = extract(_clean(), BLOCK_HEADER, 1)
+    header = F.when(_clean().contains("---"), extract(_clean(), BLOCK_HEADER, 1))
     block = F.struct(F.col("line_no").alias("at"), extract(_clean(), BLOCK_HEADER, 2).alias("name"))
     marked = marked.select(
         "*", F.when(header.isNotNull(), block).alias("_block"), F.when(header.isNotNull(), iso_ntz(header)).alias("_ts")

@@ -46,7 +46,7 @@ def structure_monitor(lines: DataFrame, start: datetime | None = None, end: date
     """Monitor-log entries: the block or section is the label, timestamps carry over to following lines."""
     text = F.rtrim(F.col("text"), F.lit("\r"))
     clean = trimmed(text)
-    header = extract(clean, BLOCK_HEADER, 1)
+    header = F.when(clean.contains("---"), extract(clean, BLOCK_HEADER, 1))
     stamp = F.when(header.isNotNull(), iso_ntz(header)).otherwise(iso_ntz(extract(clean, LEADING_STAMP)))
 
     def label(name: Column, resource: bool) -> Column:

@@ -61,6 +61,24 @@ VIEWS = {
                    ELSE concat('Neighbour 00:1b:17:00:01:', 10 + user_id % 80, ' moved, dump core-', event_id, '.tgz')
                  END) AS text
         FROM {events}""",
+    "memory_counters": """
+        SELECT concat('bundle', user_id % 3) AS file_id,
+               CASE event_type WHEN 'view' THEN 'mp__memory__mem_available' WHEN 'click' THEN 'mp__memorydetail__sunreclaim'
+                 WHEN 'signup' THEN concat('mp__slabinfo__kmalloc_', user_id % 4, '_totalactsize')
+                 ELSE concat('mp__processes__proc', user_id % 10, '_', CASE WHEN user_id % 10 < 5 THEN user_id % 10
+                             ELSE user_id END, '_res_swap') END AS name,
+               {whole_ts} AS ts, floor(value * 64) * 1024 AS value, 0 AS entry_ord, event_id AS line_no, 0 AS emit_ord
+        FROM {events}""",
+    "kernel_log": """
+        SELECT concat('bundle', user_id % 3) AS file_id, 0 AS entry_ord, 'var/log/messages' AS path, event_id AS line_no,
+               CASE event_id % 6
+                 WHEN 0 THEN concat(CASE WHEN event_id % 4 = 0 THEN '' ELSE concat({dash_ts}, ' ') END, 'proc', user_id,
+                                    ' invoked oom-killer: order=0')
+                 WHEN 1 THEN concat({dash_ts}, ' Out of memory: Killed process ', user_id, ' (app', user_id % 7, ')',
+                                    CASE WHEN event_id % 5 = 0 THEN '' ELSE concat(' score ', event_id % 900) END)
+                 WHEN 2 THEN concat({dash_ts}, ' Kill process ', user_id, ' without a name')
+                 ELSE concat({dash_ts}, ' all quiet ', user_id) END AS text
+        FROM {events}""",
     "monitor_log": """
         SELECT file_id, 0 AS entry_ord, concat('var/log/pan/', plane, '-monitor.log') AS path, e * 32 + p AS line_no,
                line AS text FROM (
