@@ -67,8 +67,29 @@ VIEWS = {
                  WHEN 'signup' THEN concat('mp__slabinfo__kmalloc_', user_id % 4, '_totalactsize')
                  ELSE concat('mp__processes__proc', user_id % 10, '_', CASE WHEN user_id % 10 < 5 THEN user_id % 10
                              ELSE user_id END, '_res_swap') END AS name,
-               {whole_ts} AS ts, floor(value * 64) * 1024 AS value, 0 AS entry_ord, event_id AS line_no, 0 AS emit_ord
+               date_trunc('minute', ts) AS ts, floor(value * 64) * 1024 AS value, 0 AS entry_ord, event_id AS line_no, 0 AS emit_ord
         FROM {events}""",
+    "cli_dump": """
+        SELECT concat('bundle', CAST(floor(k / 400) AS BIGINT)) AS file_id, CAST(floor(k / 200) AS BIGINT) % 2 AS entry_ord,
+               concat('tmp/cli/part', CAST(floor(k / 200) AS BIGINT) % 2, '.txt') AS path, k AS line_no,
+               CASE WHEN r IN (10, 160) THEN '> show running application statistics'
+                    WHEN r IN (11, 50) THEN concat('Vsys: vsys', k % 7)
+                    WHEN r = 99 THEN '----- ----'
+                    WHEN r = 100 THEN concat('Total ', k, ' 2 3 4 5')
+                    WHEN r BETWEEN 12 AND 98 THEN concat(p_name, ' v', k, '  ', p_size, ' ', k % 50, '   ',
+                                                         CAST(floor(p_retailprice) AS BIGINT), ' 0 ',
+                                                         CASE WHEN r = 70 THEN 'n/a' ELSE '3' END)
+                    WHEN r = 102 THEN '> request license info'
+                    WHEN r BETWEEN 104 AND 139 THEN CASE k % 6 WHEN 0 THEN 'License entry:'
+                         WHEN 1 THEN CASE WHEN k % 5 = 0 THEN '' ELSE concat('Feature: ', p_brand) END
+                         WHEN 2 THEN concat('Expires: day ', k) WHEN 3 THEN concat('Expired?: ', CASE WHEN k % 4 = 1 THEN 'yes'
+                         ELSE 'no' END) WHEN 4 THEN concat('Custom Key: ', p_type) ELSE 'no pair here' END
+                    WHEN r = 140 THEN '> show system info'
+                    WHEN r = 142 THEN concat('hostname: fw', k)
+                    WHEN r BETWEEN 143 AND 149 THEN CASE WHEN k % 4 = 0 THEN '' ELSE concat('key-', k, ': ', p_name) END
+                    WHEN r = 150 THEN 'device-certificate-status: valid'
+                    ELSE concat('other ', p_name) END AS text
+        FROM (SELECT *, p_partkey AS k, p_partkey % 200 AS r FROM {part}) q""",
     "kernel_log": """
         SELECT concat('bundle', user_id % 3) AS file_id, 0 AS entry_ord, 'var/log/messages' AS path, event_id AS line_no,
                CASE event_id % 6
