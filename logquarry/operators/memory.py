@@ -71,7 +71,7 @@ def oom_events(lines: DataFrame, year: int) -> DataFrame:
     )
     marked = lines.select("file_id", "path", "entry_ord", "line_no", F.when(worth, event).alias("e"))
     marked = marked.where(F.col("e.kind").isNotNull())
-    rows = by_lines(marked).shift({"before": "e"}).shift({"next": "e"}, back=True).rows()
+    rows = by_lines(marked).shift({"before": "e"}, {"next": "e"}).rows()
     paired = F.coalesce(F.col("before.kind") == "invoke", F.lit(False))
     waiting = F.coalesce(F.col("next.kind") == "kill", F.lit(False))
     rows = rows.where((F.col("e.kind") == "kill") | ~waiting)

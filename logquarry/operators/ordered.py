@@ -79,47 +79,65 @@ class Ordered:
     def rows(self) -> DataFrame:
         return self.df.drop(CHUNK)
 
-    def carry(self, columns: dict[str, str], back: bool = False, exclusive: bool = False) -> Ordered:
-        """Last non-null value up to each row (`back`: next non-null), as {new column: source column}."""
-        frame = self._rows(back).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
-        local = {new: F.last(F.col(old), ignorenulls=True).over(frame) for new, old in columns.items()}
+    def carry(
+        self,
+        last: dict[str, str] | None = None,
+        above: dict[str, str] | None = None,
+        next: dict[str, str] | None = None,
+        below: dict[str, str] | None = None,
+    ) -> Ordered:
+        """Nearest non-null values, each as {new column: source column}.
+
+        `last` looks at the row itself and the rows before it, `above` only before it,
+        `next` at the row itself and the rows after it, `below` only after it.
+        """
+        kinds = ((last, False, 0), (above, False, -1), (next, True, 0), (below, True, -1))
+        local, incoming = {}, {}
+        for columns, back, end in kinds:
+            frame = self._rows(back).rowsBetween(Window.unboundedPreceding, end)
+            for new, old in (columns or {}).items():
+                local[new] = F.last(F.col(old), ignorenulls=True).over(frame)
+                incoming[new] = (old, back)
         if self.whole:
             return self._with(self.df.select("*", *[c.alias(n) for n, c in local.items()]))
-        pick = F.min_by if back else F.max_by
-        rank = F.struct(*self.order)
-        tails = self.df.groupBy(*self.keys, CHUNK).agg(
-            *[pick(F.col(o), F.when(F.col(o).isNotNull(), rank)).alias(f"_in_{n}") for n, o in columns.items()]
-        )
-        entry = tails.select(
+        tails = {}
+        for old, back in set(incoming.values()):
+            rank = F.when(F.col(old).isNotNull(), F.struct(*self.order))
+            tails[old, back] = (F.min_by if back else F.max_by)(F.col(old), rank).alias(f"_{'n' if back else 'l'}_{old}")
+        entry = self.df.groupBy(*self.keys, CHUNK).agg(*tails.values())
+        entry = entry.select(
             *self.keys,
             CHUNK,
-            *[F.last(f"_in_{n}", ignorenulls=True).over(self._chunks(back)).alias(f"_in_{n}") for n in columns],
+            *[
+                F.last(f"_{'n' if back else 'l'}_{old}", ignorenulls=True).over(self._chunks(back)).alias(f"_in_{new}")
+                for new, (old, back) in incoming.items()
+            ],
         )
         seen = F.lit(False)
-        for n in columns:
-            seen = seen | F.col(f"_in_{n}").isNotNull()
-        entry = entry.where(seen)
+        for new in incoming:
+            seen = seen | F.col(f"_in_{new}").isNotNull()
         df = self.df.select("*", *[c.alias(f"_own_{n}") for n, c in local.items()])
-        df = self._join(df, entry)
-        return self._with(
-            df.select(*self.df.columns, *[F.coalesce(f"_own_{n}", f"_in_{n}").alias(n) for n in columns])
-        )
+        df = self._join(df, entry.where(seen))
+        return self._with(df.select(*self.df.columns, *[F.coalesce(f"_own_{n}", f"_in_{n}").alias(n) for n in local]))
 
-    def shift(self, columns: dict[str, str], back: bool = False) -> Ordered:
-        """Value of the previous row (`back`: next row), null at the end of a key."""
-        window = self._rows(back)
-        row = F.struct(*[F.col(o).alias(n) for n, o in columns.items()])
+    def shift(self, previous: dict[str, str] | None = None, next: dict[str, str] | None = None) -> Ordered:
+        """Values of the previous and of the next row, null at the ends of a key."""
+        sides = [(c, back) for c, back in ((previous, False), (next, True)) if c]
         if self.whole:
-            return self._with(self.df.select("*", *[F.lag(o).over(window).alias(n) for n, o in columns.items()]))
-        pick = F.min_by if back else F.max_by
-        tails = self.df.groupBy(*self.keys, CHUNK).agg(pick(row, F.struct(*self.order)).alias("_in"))
-        order = F.col(CHUNK).desc() if back else F.col(CHUNK).asc()
-        entry = tails.select(
-            *self.keys, CHUNK, F.lag("_in").over(Window.partitionBy(*self.keys).orderBy(order)).alias("_in")
-        ).where(F.col("_in").isNotNull())
-        df = self._join(self.df.withColumn("_own", F.lag(row).over(window)), entry)
-        own = F.coalesce("_own", "_in")
-        return self._with(df.select(*self.df.columns, *[own.getField(n).alias(n) for n in columns]))
+            local = [F.lag(o).over(self._rows(back)).alias(n) for c, back in sides for n, o in c.items()]
+            return self._with(self.df.select("*", *local))
+        ends, entry, local, out = [], [], [], []
+        for columns, back in sides:
+            tag, row = ("n" if back else "p"), F.struct(*[F.col(o).alias(n) for n, o in columns.items()])
+            order = F.col(CHUNK).desc() if back else F.col(CHUNK).asc()
+            ends.append((F.min_by if back else F.max_by)(row, F.struct(*self.order)).alias(f"_end_{tag}"))
+            entry.append(F.lag(f"_end_{tag}").over(Window.partitionBy(*self.keys).orderBy(order)).alias(f"_in_{tag}"))
+            local.append(F.lag(row).over(self._rows(back)).alias(f"_own_{tag}"))
+            own = F.coalesce(f"_own_{tag}", f"_in_{tag}")
+            out += [own.getField(n).alias(n) for n in columns]
+        chunks = self.df.groupBy(*self.keys, CHUNK).agg(*ends).select(*self.keys, CHUNK, *entry)
+        df = self._join(self.df.select("*", *local), chunks)
+        return self._with(df.select(*self.df.columns, *out))
 
     def positions(self, number: str = "rn", total: str | None = None) -> Ordered:
         """1-based row number inside the key and, if named, the number of rows of the key."""

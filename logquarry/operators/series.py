@@ -110,7 +110,7 @@ def nearest_samples(counters: DataFrame, probes: DataFrame, ties: Sequence[str]
         allowMissingColumns=True,
     )
     both = both.fillna(0, subset=list(ties))
-    rows = by_range(both, KEYS, ("ts", "side", *ties)).carry({"before": "sample"}).carry({"after": "sample"}, back=True)
+    rows = by_range(both, KEYS, ("ts", "side", *ties)).carry(above={"before": "sample"}, next={"after": "sample"})
     found = rows.rows().where(F.col("side") == 0)
 
     def away(name: str) -> Column:
