@@ -26,10 +26,6 @@ def structured_page(spark, sf_dir):
     return rows.select("file_id", "line", "entry_no", "total", "label")
 
 
-def agent_structure(spark, sf_dir):
-    rows = st.structure(view(spark, sf_dir, "agent_log"))
-    return rows.select("file_id", "path", "line", "part_no", "ts", "ts_text", "label", "msg")
-
 
 def time_filter(spark, sf_dir):
     rows = st.filter_lines(view(spark, sf_dir, "monitor"), 2024, START, END)

@@ -69,6 +69,26 @@ VIEWS = {
                              ELSE user_id END, '_res_swap') END AS name,
                date_trunc('minute', ts) AS ts, floor(value * 64) * 1024 AS value, 0 AS entry_ord, event_id AS line_no, 0 AS emit_ord
         FROM {events}""",
+    "agent_log": """
+        SELECT concat('host', user_id % 8) AS file_id, 0 AS entry_ord, 'logs/pan_gp_event.log' AS path, event_id AS line_no,
+               CASE WHEN event_id % 97 = 5 THEN '' WHEN event_id % 89 = 7 THEN concat('  continued ', user_id)
+               ELSE concat({agent_ts}, ':', 100 + event_id % 900, CASE WHEN event_id % 13 = 1 THEN ' [Error]: ' ELSE ' [Info ]: ' END,
+               CASE event_type
+                 WHEN 'signup' THEN CASE WHEN user_id % 3 = 0 THEN 'SSO starts for user' ELSE
+                      concat('started the portal pre-login to the portal vpn', user_id, '.example.com') END
+                 WHEN 'view' THEN CASE event_id % 6 WHEN 0 THEN 'Load the SAML Browser now' WHEN 1 THEN 'logging into portal'
+                      WHEN 2 THEN concat('Unserialized non-empty cookie for portal p.example.com and user user', user_id)
+                      WHEN 3 THEN 'Enter login credentials' WHEN 4 THEN 'network discovery started' ELSE 'Gateway Login starts to x' END
+                 WHEN 'click' THEN CASE event_id % 5 WHEN 0 THEN 'portal status is Connected.' WHEN 1 THEN 'portal pre-login result received'
+                      WHEN 2 THEN concat('Portal login completed with address p', user_id, '.example.com')
+                      WHEN 3 THEN concat('Gateway pre-login starts to gw', user_id, '.example.com')
+                      ELSE concat('hip report submitted to the gateway gw', user_id, '.example.com') END
+                 WHEN 'error' THEN CASE event_id % 5 WHEN 0 THEN 'Auth failed for portal p.example.com' WHEN 1 THEN 'no network connectivity'
+                      WHEN 2 THEN 'The network connection is unreachable or the gateway is unresponsive'
+                      WHEN 3 THEN concat('tunnel creation failed ', {agent_ts}, ':123 [Info]: tail ', user_id)
+                      ELSE 'captive page' END
+                 ELSE concat('IPSec tunnel creation finished with gateway gw', user_id, '.example.com') END) END AS text
+        FROM {events}""",
     "cli_dump": """
         SELECT concat('bundle', CAST(floor(k / 400) AS BIGINT)) AS file_id, CAST(floor(k / 200) AS BIGINT) % 2 AS entry_ord,
                concat('tmp/cli/part', CAST(floor(k / 200) AS BIGINT) % 2, '.txt') AS path, k AS line_no,
