@@ -226,8 +226,9 @@ def field_table(entries: DataFrame, nodes: DataFrame, fields: Sequence[tuple[str
     """Entries with one column per field: the collected text of the child with that tag, blank if absent."""
     wanted = children(nodes).where(F.col("field").isin([t for _, t in fields]))
     cells = wanted.groupBy(*NODE).agg(*[F.max(F.when(F.col("field") == t, F.col("collected"))).alias(h) for h, t in fields])
-    joined = entries.join(cells, list(NODE), "left")
-    return joined.select(*entries.columns, *[F.coalesce(F.col(f"`{h}`"), F.lit("")).alias(h) for h, _ in fields])
+    kept = [c for c in entries.columns if c in (*NODE, "name", "place", "origin", "origin_ord")]
+    joined = entries.select(*kept).join(cells, list(NODE), "left")
+    return joined.select(*kept, *[F.coalesce(F.col(f"`{h}`"), F.lit("")).alias(h) for h, _ in fields])
 
 
 def section_table(nodes: DataFrame, tag: str, parent: str | None = None) -> DataFrame:
