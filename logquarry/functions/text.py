@@ -61,6 +61,11 @@ def rows_where(condition: Column, *fields: Column) -> Column:
     return F.inline(F.when(condition, F.array(F.struct(*fields))))
 
 
+def computed(*fields: Column) -> Column:
+    """Columns computed once per row: later filters and constraints see plain columns, not the expressions."""
+    return F.inline(F.array(F.struct(*fields)))
+
+
 def fields(text: Column) -> Column:
     """Whitespace-separated fields; an empty array for a blank string."""
     clean = trimmed(text)

@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.functions.text import any_case, base_name, extract, first_case, groups, rows_where, trimmed, unix
+from logquarry.functions.text import any_case, base_name, computed, extract, first_case, groups, rows_where, trimmed, unix
 from logquarry.functions.timestamps import agent_timestamp
-from logquarry.operators.ordered import by_lines, by_range
+from logquarry.operators.ordered import by_lines, by_range, settle
 from logquarry.operators.structure import EVENT_LINE
 
 # Log names, phases, stages, markers and message shapes.
@@ -136,8 +136,7 @@ def timeline(lines: DataFrame, limit: int = TIMELINE_LIMIT) -> DataFrame:
     rows = by_range(events, ("file_id",), ("ts", *PLACE)).positions("ord", "_n").rows()
     if limit > 0:
         rows = rows.where(F.col("ord") > F.col("_n") - limit)
-    rows = rows.drop("_n").withColumn("_p", phase(F.col("msg"), F.col("severity")))
-    return rows.select("*", "_p.phase", "_p.outcome").drop("_p")
+    return rows.select(*[c for c in rows.columns if c != "_n"], F.inline(F.array(phase(F.col("msg"), F.col("severity")))))
 
 
 def phase_counts(events: DataFrame) -> DataFrame:
@@ -177,7 +176,7 @@ def attempt_starts(events: DataFrame) -> DataFrame:
     these certain starts, and only the stretches between them are decided in order.
     """
     marks = {"is_start": ATTEMPT_START, "is_browser": BROWSER, "is_gateway": GATEWAY_LOGIN, "is_settled": PORTAL_SETTLED}
-    flagged = events.select("file_id", *PLACE, "ts", *[_says(p).alias(n) for n, p in marks.items()])
+    flagged = events.select("file_id", *PLACE, "ts", computed(*[_says(p).alias(n) for n, p in marks.items()]))
     flagged = flagged.where(F.col("is_start") | F.col("is_browser") | F.col("is_gateway") | F.col("is_settled"))
     seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
     place = F.struct(*PLACE)
@@ -212,8 +211,8 @@ def attempt_lines(events: DataFrame) -> DataFrame:
     rows = rows.withColumn("_gateway", F.when(_says(GATEWAY_LOGIN), F.struct(*PLACE)))
     rows = by_lines(rows, ("file_id",), PLACE).carry({"attempt_at": "_opens", "gateway_at": "_gateway"}).rows()
     at_gateway = F.coalesce(F.col("gateway_at") >= F.col("attempt_at"), F.lit(False))
-    kept = [c for c in events.columns]
-    return rows.where(F.col("attempt_at").isNotNull()).select(*kept, "attempt_at", at_gateway.alias("at_gateway"))
+    kept = events.columns
+    return settle(rows.where(F.col("attempt_at").isNotNull()).select(*kept, "attempt_at", at_gateway.alias("at_gateway")))
 
 
 def stage_results(rows: DataFrame, strict_gateway_ok: bool = False) -> DataFrame:
@@ -259,9 +258,8 @@ def stage_results(rows: DataFrame, strict_gateway_ok: bool = False) -> DataFrame
     failed = F.col("failed_at").isNotNull() | forced
     result = F.when(failed, F.col("failure")).otherwise(F.coalesce("success", "touched"))
     word = F.when(failed, "failed").when(F.col("success").isNotNull(), "ok").otherwise("reached")
-    return stages.select(*ATTEMPT, "stage", word.alias("status"), result["ts"].alias("at"), result["detail"].alias("detail")).where(
-        F.col("at").isNotNull()
-    )
+    results = stages.select(*ATTEMPT, "stage", word.alias("status"), result["ts"].alias("at"), result["detail"].alias("detail"))
+    return settle(results.where(F.col("at").isNotNull()))
 
 
 def attempts(lines: DataFrame, strict_gateway_ok: bool = False) -> DataFrame:
@@ -282,8 +280,11 @@ def attempt_table(rows: DataFrame, stages: DataFrame) -> DataFrame:
     stage = first_case([(_says(p), F.lit(STAGES.index(s))) for p, s, _, _ in STAGE_MARKERS])
     gateway = F.when(stage.isin(*late), _found(FLOW_GATEWAY))
     facts = rows.select(
-        *ATTEMPT, *PLACE, "ts", "at_gateway", kind.alias("kind"), portal.alias("portal"), user.alias("user"), gateway.alias("gateway"),
-        F.lower(msg).contains("logging into portal").alias("entering"),
+        *ATTEMPT, *PLACE, "ts", "at_gateway",
+        computed(
+            kind.alias("kind"), portal.alias("portal"), user.alias("user"), gateway.alias("gateway"),
+            F.lower(msg).contains("logging into portal").alias("entering"),
+        ),
     )
     at_portal = ~F.col("at_gateway")
     browser = F.col("kind") == "browser"

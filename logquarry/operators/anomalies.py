@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from logquarry.functions.matching import Condition, line_test
 from logquarry.functions.text import any_case, first_case, groups, rows_where, trim_zeros, trimmed, unix
 from logquarry.functions.timestamps import formatted_ntz
-from logquarry.operators.ordered import by_range, median_by_position
+from logquarry.operators.ordered import by_range, median_by_position, settle
 
 # Line shape, noise, known events, template replacements, severities, thresholds.
 SYSTEM_LOG_FILE = r"show_log_system.*\.txt$"
@@ -239,7 +239,8 @@ def growing_queues(counters: DataFrame, ties: tuple[str, ...] = ("entry_ord", "l
     """Samples of socket queues whose last third has a higher median than the first third."""
     keys = ("file_id", "name")
     queues = counters.where(F.col("name").rlike(QUEUE_NAME)).select(*keys, "ts", *ties, "value")
-    ranked = by_range(queues, keys, ("ts", *ties)).positions("rn", "n").rows().where(F.col("n") >= QUEUE_MIN_SAMPLES)
+    ranked = by_range(queues, keys, ("ts", *ties)).positions("rn", "n").rows()
+    ranked = settle(ranked.where(F.col("n") >= QUEUE_MIN_SAMPLES))
     third = F.greatest(F.floor(F.col("n") / 3), F.lit(1))
     first = median_by_position(ranked.where(F.col("rn") <= third), keys, "value", ("rn",), "first_median")
     last = median_by_position(ranked.where(F.col("rn") > F.col("n") - third), keys, "value", ("rn",), "last_median")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.functions.text import any_case, extract, fields, number, trimmed, unix
+from logquarry.functions.text import any_case, computed, extract, fields, number, trimmed, unix
 from logquarry.operators.ordered import by_lines
 
 # File name, command echoes, keys and row shapes.
@@ -42,7 +42,7 @@ def command_body(lines: DataFrame, command: str) -> DataFrame:
     dump = lines.where(F.col("path").rlike(DUMP_FILE))
     text = F.rtrim(F.col("text"), F.lit("\r"))
     echo = extract(trimmed(text), COMMAND_ECHO)
-    rows = dump.select(*FILE, "entry_ord", "line_no", text.alias("text"), echo.alias("echo"))
+    rows = dump.select(*FILE, "entry_ord", "line_no", computed(text.alias("text"), echo.alias("echo")))
     wanted = rows.where(F.col("echo").rlike(any_case(command)))
     first = wanted.groupBy(*FILE).agg(F.min("line_no").alias("command_at"))
     mark = F.when(F.col("echo").isNotNull(), F.col("line_no"))
@@ -56,7 +56,7 @@ def system_info(lines: DataFrame) -> DataFrame:
     clean = trimmed(F.col("text"))
     rows = lines.where(F.col("path").rlike(DUMP_FILE)).select(*FILE, "entry_ord", "line_no", clean.alias("text"))
     key = extract(F.col("text"), SYSTEM_PAIR)
-    rows = rows.withColumn("key", key)
+    rows = rows.select("*", computed(key.alias("key")))
 
     def first(source: DataFrame, after: str | None, condition: Column, name: str) -> DataFrame:
         kept = source.where(condition if after is None else condition & (F.col("line_no") > F.col(after)))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logquarry.functions.text import (
+    computed,
     extract,
     fields,
     first_case,
@@ -23,7 +24,7 @@ from logquarry.functions.text import (
     unix,
 )
 from logquarry.functions.timestamps import iso_ntz
-from logquarry.operators.ordered import by_lines
+from logquarry.operators.ordered import by_lines, settle
 from logquarry.operators.structure import BLOCK_HEADER
 
 # File name, sections, row shapes, column names and labels.
@@ -244,7 +245,7 @@ def blocks(lines: DataFrame, monitor_file: str = MONITOR_FILE) -> DataFrame:
     header = F.when(_clean().contains("---"), extract(_clean(), BLOCK_HEADER, 1))
     block = F.struct(F.col("line_no").alias("at"), extract(_clean(), BLOCK_HEADER, 2).alias("name"))
     marked = marked.select(
-        "*", F.when(header.isNotNull(), block).alias("_block"), F.when(header.isNotNull(), iso_ntz(header)).alias("_ts")
+        "*", computed(F.when(header.isNotNull(), block).alias("_block"), F.when(header.isNotNull(), iso_ntz(header)).alias("_ts"))
     )
     rows = by_lines(marked).carry({"block": "_block", "ts": "_ts"}).rows()
     return rows.where(F.col("ts").isNotNull() & (F.col("line_no") > F.col("block.at"))).select(
@@ -282,7 +283,7 @@ def _states(rows: DataFrame) -> DataFrame:
         "res": _at(_clean().startswith(":") & _clean().contains("):") & _is(RESOURCE_LABEL), name=label),
         "thread": _at(_clean().startswith(":thread") & _is(THREAD), id=_part(THREAD).cast("int")),
     }
-    rows = rows.select("*", *[c.alias(f"_{n}") for n, c in marks.items()])
+    rows = rows.select("*", computed(*[c.alias(f"_{n}") for n, c in marks.items()]))
     rows = rows.select(
         *[c for c in rows.columns if not c.startswith("_")],
         *[F.last(f"_{n}", ignorenulls=True).over(upto).alias(n) for n in marks],
@@ -567,7 +568,7 @@ def extract_counters(
 
     Overlapping tables repeat (name, ts); `dedupe` keeps the last one.
     """
-    rows = blocks(lines, monitor_file)
+    rows = settle(blocks(lines, monitor_file))
     states = _states(rows.where(~F.col("block").isin("netstat_detail", "panio_infreq")))
     own = F.col("block").isin(*OWN_FORMAT)
     samples = F.when(own, first_case(_block_rows())).otherwise(first_case(_section_rows()))

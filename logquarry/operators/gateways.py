@@ -7,9 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logquarry.functions.text import any_case, first_case, trimmed, unix
+from logquarry.functions.text import any_case, computed, first_case, trimmed, unix
 from logquarry.operators.agentlogs import PLACE, place, service_lines
-from logquarry.operators.ordered import by_lines
+from logquarry.operators.ordered import by_lines, settle
 
 # Line shapes, tried in this order.
 KINDS = (
@@ -51,7 +51,7 @@ def gateway_lines(lines: DataFrame) -> DataFrame:
             [(F.col("kind") == k, F.regexp_extract("text", p, number)) for k, p in KINDS if _group_count(p) >= number]
         )
 
-    rows = rows.select("file_id", *PLACE, "kind", *[group(i).alias(f"g{i}") for i in (1, 2, 3, 4)])
+    rows = rows.select("file_id", *PLACE, computed(F.col("kind"), *[group(i).alias(f"g{i}") for i in (1, 2, 3, 4)]))
     marks = {
         "_round": F.when(F.col("kind") == "round", place()),
         "_tcp": F.when(F.col("kind") == "tcp", F.struct(*PLACE, F.col("g1").cast("int").alias("ms"))),
@@ -135,8 +135,8 @@ def gateway_rounds(facts: DataFrame) -> DataFrame:
 
 def selection(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(gateways of the last round, selection summary) of every archive."""
-    rows = gateway_lines(lines)
-    scored = scores(rows)
+    rows = settle(gateway_lines(lines))
+    scored = settle(scores(rows))
     at, kind = place(), F.col("kind")
 
     def last(value: Column, name: str) -> Column:

@@ -10,9 +10,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logquarry.functions.text import any_case, as_gb, first_case, trim_zeros, trimmed
+from logquarry.functions.text import any_case, as_gb, computed, first_case, trim_zeros, trimmed
 from logquarry.functions.timestamps import line_timestamp
-from logquarry.operators.ordered import Ordered, by_lines, by_range, median_by_position
+from logquarry.operators.ordered import Ordered, by_lines, by_range, median_by_position, settle
 
 # Line shapes, counter names, units and thresholds.
 INVOKED = r"([\w./-]+)\s+invoked\s+oom-killer"
@@ -69,7 +69,7 @@ def oom_events(lines: DataFrame, year: int) -> DataFrame:
         F.when(score != "", score).alias("score"),
         trimmed(text).alias("raw"),
     )
-    marked = lines.select("file_id", "path", "entry_ord", "line_no", F.when(worth, event).alias("e"))
+    marked = lines.select("file_id", "path", "entry_ord", "line_no", computed(F.when(worth, event).alias("e")))
     marked = marked.where(F.col("e.kind").isNotNull())
     rows = by_lines(marked).shift({"before": "e"}, {"next": "e"}).rows()
     paired = F.coalesce(F.col("before.kind") == "invoke", F.lit(False))
@@ -155,7 +155,7 @@ def restarts(samples: DataFrame, ties: Sequence[str] = TIES) -> Ordered:
 
 def process_growth(counters: DataFrame, trend: DataFrame, ties: Sequence[str] = TIES) -> DataFrame:
     """Memory growth of every process that grew, and its share of the available-memory decline."""
-    rows = restarts(resident_samples(counters, ties), ties).rows()
+    rows = settle(restarts(resident_samples(counters, ties), ties).rows())
     stats = rows.groupBy(*PROCESS).agg(
         F.min_by("value", "rn").alias("start_kb"),
         F.max_by("value", "rn").alias("end_kb"),
@@ -177,7 +177,7 @@ def process_growth(counters: DataFrame, trend: DataFrame, ties: Sequence[str] =
     reclaimed = F.when(restarted, F.col("peak_kb") - F.col("post_restart_kb")).otherwise(0.0)
     net = F.col("end_kb") - F.col("start_kb")
     growth = F.when(restarted, F.greatest(net, F.col("peak_kb") - F.col("start_kb"), reclaimed)).otherwise(net)
-    return joined.select(
+    grown = joined.select(
         *PROCESS,
         "counter",
         "pids",
@@ -190,7 +190,8 @@ def process_growth(counters: DataFrame, trend: DataFrame, ties: Sequence[str] =
         post_kb.alias("post_restart_kb"),
         reclaimed.alias("reclaimed_kb"),
         "drop_kb",
-    ).where(F.col("growth_kb") > 0)
+    )
+    return settle(grown.where(F.col("growth_kb") > 0))
 
 
 def _share(growth: Column) -> Column:

@@ -46,6 +46,12 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="logquarry-checkpoint-"))
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a table once that several later steps read; its lineage is cut by a checkpoint."""
+    use_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 @dataclass(frozen=True)
 class Ordered:
     """A DataFrame with a chunk column, its keys and its row order (all ascending)."""

@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.functions.text import any_case, first_case, groups, trimmed, unix
+from logquarry.functions.text import any_case, computed, groups, trimmed, unix
 from logquarry.functions.timestamps import agent_timestamp
 from logquarry.operators.agentlogs import PLACE, place, service_lines
-from logquarry.operators.ordered import by_lines
+from logquarry.operators.ordered import by_lines, settle
 from logquarry.operators.structure import EVENT_LINE, TRACE_LINE
 
 # Line shapes.
@@ -100,7 +100,7 @@ def portal_lines(lines: DataFrame) -> DataFrame:
         "assigned_ip": _got(ASSIGNED_IP, 1, "<ip-address>"),
         "gateway_user": _got(GATEWAY_USER, 1, "<user>"),
     }
-    rows = service_lines(lines).select("file_id", *PLACE, *[c.alias(f"_{n}") for n, c in parts.items()])
+    rows = service_lines(lines).select("file_id", *PLACE, computed(*[c.alias(f"_{n}") for n, c in parts.items()]))
     ordered = by_lines(rows, ("file_id",), PLACE).carry(
         {"seen": "_ts", "segment": "_prelogin", "portal": "_named", "round": "_discover"},
         above={"portal_above": "_named", "round_above": "_discover"},
@@ -120,7 +120,12 @@ def portal_lines(lines: DataFrame) -> DataFrame:
     waits = F.col("portal_next").isNotNull() & (F.col("segment_below").isNull() | (at("portal_next") < F.col("segment_below")))
     pending = F.when(direct.isNull() & waits, F.col("portal_next.address"))
     kept = [n for n in parts if n not in ("ts", "prelogin")]
-    return rows.select(
+    flags = ("signed_in", "asked", "cloud", "tunnel", "report")
+    told = F.coalesce(*[F.col(f"_{n}").cast("string") for n in kept if n not in flags and n not in ("named", "discover", "gateway")])
+    told = told.isNotNull() | F.col("_named").isNotNull() | F.col("_discover").isNotNull() | F.col("_gateway").isNotNull()
+    for n in flags:
+        told = told | F.coalesce(F.col(f"_{n}"), F.lit(False))
+    facts = rows.where(told).select(
         "file_id",
         *PLACE,
         *[F.col(f"_{n}").alias(n) for n in kept],
@@ -133,6 +138,7 @@ def portal_lines(lines: DataFrame) -> DataFrame:
         F.col("round.count").alias("round_count"),
         F.col("round.cutoff").alias("round_cutoff"),
     )
+    return settle(facts)
 
 
 def _gateway_facts() -> Column:
@@ -220,8 +226,11 @@ def _round_gateways(rows: DataFrame, rounds: DataFrame) -> DataFrame:
 
 def portal_gateways(rows: DataFrame) -> DataFrame:
     """Gateways of the newest committed round of each portal."""
-    rounds = _rounds(rows)
-    found = _round_gateways(rows, rounds)
+    rounds = settle(_rounds(rows))
+    return _newest_gateways(rounds, _round_gateways(rows, rounds))
+
+
+def _newest_gateways(rounds: DataFrame, found: DataFrame) -> DataFrame:
     newest = rounds.groupBy(*PORTAL).agg(F.max("commit_at").alias("commit_at"))
     return found.join(newest, [*PORTAL, "commit_at"], "left_semi").drop("round_at", "commit_at")
 
@@ -261,14 +270,14 @@ def portals(rows: DataFrame) -> DataFrame:
         last("assigned_ip"),
         F.min_by("gateway_user", F.when(F.col("gateway_user").isNotNull(), at)).alias("gateway_user"),
     )
-    rounds = _rounds(rows)
-    found = _round_gateways(rows, rounds)
+    rounds = settle(_rounds(rows))
+    found = settle(_round_gateways(rows, rounds))
     committed = rounds.groupBy(*PORTAL).agg(
         F.max_by("round_count", F.when(F.col("round_count") > 0, F.col("commit_at"))).alias("counted"),
         F.max_by("round_cutoff", F.when(F.col("round_cutoff").isNotNull(), F.col("commit_at"))).alias("cutoff_secs"),
     )
     chosen = found.where("selected").groupBy(*PORTAL).agg(F.max_by("fqdn", F.struct("commit_at", "ord")).alias("selected_gateway"))
-    sizes = portal_gateways(rows).groupBy(*PORTAL).agg(F.count(F.lit(1)).alias("listed"))
+    sizes = _newest_gateways(rounds, found).groupBy(*PORTAL).agg(F.count(F.lit(1)).alias("listed"))
     joined = named
     for more in (identity, firm, prompted, outcomes, committed, chosen, sizes):
         joined = joined.join(more, list(PORTAL), "left")

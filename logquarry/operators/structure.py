@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.functions.text import extract, first_case, groups, trimmed, unix
+from logquarry.functions.text import computed, extract, first_case, groups, trimmed, unix
 from logquarry.functions.timestamps import agent_timestamp, iso_ntz, line_timestamp
 from logquarry.operators.ordered import by_lines
 
@@ -66,7 +66,7 @@ def structure_monitor(lines: DataFrame, start: datetime | None = None, end: date
     name = extract(clean, SUB_SECTION)
     sub = F.when(name.isNotNull(), F.struct(F.col("line_no").alias("at"), F.concat(F.lit(":"), name).alias("name")))
     marked = lines.select(
-        *FILE, "line_no", text.alias("msg"), stamp.alias("_stamp"), labels.alias("_label"), sub.alias("_sub")
+        *FILE, "line_no", text.alias("msg"), computed(stamp.alias("_stamp"), labels.alias("_label"), sub.alias("_sub"))
     )
     rows = by_lines(marked).carry({"ts": "_stamp", "block": "_label", "part": "_sub"}).rows()
     inside = F.col("block.resource") & (F.col("part.at") > F.col("block.at"))
@@ -117,7 +117,7 @@ def agent_entry(text: Column) -> Column:
 def structure_agent(lines: DataFrame, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
     """Endpoint-agent entries; lines in no known format continue the entry above them."""
     order = ("line_no", "part_no")
-    rows = split_embedded(lines).select(*FILE, *order, "text", agent_entry(F.col("text")).alias("own"))
+    rows = split_embedded(lines).select(*FILE, *order, "text", computed(agent_entry(F.col("text")).alias("own")))
     rows = rows.where(F.col("own").isNotNull() | (trimmed(F.col("text")) != ""))
     stamp = F.when(F.col("own.ts").isNotNull(), F.struct("own.ts", "own.millis"))
     rows = rows.select(*FILE, *order, "text", "own", stamp.alias("_stamp"), F.col("own.label").alias("_label"))
