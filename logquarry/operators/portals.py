@@ -100,12 +100,18 @@ def portal_lines(lines: DataFrame) -> DataFrame:
         "assigned_ip": _got(ASSIGNED_IP, 1, "<ip-address>"),
         "gateway_user": _got(GATEWAY_USER, 1, "<user>"),
     }
-    rows = service_lines(lines).select("file_id", *PLACE, computed(*[c.alias(f"_{n}") for n, c in parts.items()]))
+    rows = service_lines(lines).select("file_id", *PLACE, computed(*[c.alias(n) for n, c in parts.items()]))
+    flags = ("signed_in", "asked", "cloud", "tunnel", "report")
+    told = F.exists(F.array(*flags), lambda f: F.coalesce(f, F.lit(False)))
+    for n in parts:
+        if n not in (*flags, "ts", "prelogin"):
+            told = told | F.col(n).isNotNull()
+    rows = rows.select("*", computed(told.alias("told")))
     ordered = by_lines(rows, ("file_id",), PLACE).carry(
-        {"seen": "_ts", "segment": "_prelogin", "portal": "_named", "round": "_discover"},
-        above={"portal_above": "_named", "round_above": "_discover"},
-        next={"portal_next": "_named"},
-        below={"segment_below": "_prelogin"},
+        {"seen": "ts", "segment": "prelogin", "portal": "named", "round": "discover"},
+        above={"portal_above": "named", "round_above": "discover"},
+        next={"portal_next": "named"},
+        below={"segment_below": "prelogin"},
     )
     rows, segment = ordered.rows(), F.col("segment")
 
@@ -120,15 +126,10 @@ def portal_lines(lines: DataFrame) -> DataFrame:
     waits = F.col("portal_next").isNotNull() & (F.col("segment_below").isNull() | (at("portal_next") < F.col("segment_below")))
     pending = F.when(direct.isNull() & waits, F.col("portal_next.address"))
     kept = [n for n in parts if n not in ("ts", "prelogin")]
-    flags = ("signed_in", "asked", "cloud", "tunnel", "report")
-    told = F.coalesce(*[F.col(f"_{n}").cast("string") for n in kept if n not in flags and n not in ("named", "discover", "gateway")])
-    told = told.isNotNull() | F.col("_named").isNotNull() | F.col("_discover").isNotNull() | F.col("_gateway").isNotNull()
-    for n in flags:
-        told = told | F.coalesce(F.col(f"_{n}"), F.lit(False))
-    facts = rows.where(told).select(
+    facts = rows.where(F.col("told")).select(
         "file_id",
         *PLACE,
-        *[F.col(f"_{n}").alias(n) for n in kept],
+        *kept,
         "seen",
         current.alias("current"),
         F.coalesce(direct, pending).alias("owner"),
