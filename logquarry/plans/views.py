@@ -11,6 +11,7 @@ SPARK_WORDS = {
     "slash_ts": "date_format(ts, 'yyyy/MM/dd HH:mm:ss')",
     "dash_ts": "date_format(ts, 'yyyy-MM-dd HH:mm:ss')",
     "agent_ts": "date_format(ts, 'MM/dd/yyyy HH:mm:ss')",
+    "trace_ts": "date_format(ts, 'MM/dd/yy HH:mm:ss')",
     "whole_ts": "date_trunc('second', ts)",
     "list": "array",
     "exploded": "p AS p, line AS line FROM s LATERAL VIEW posexplode(ls) x AS p, line",
@@ -20,6 +21,7 @@ DUCK_WORDS = {
     "slash_ts": "strftime(ts, '%Y/%m/%d %H:%M:%S')",
     "dash_ts": "strftime(ts, '%Y-%m-%d %H:%M:%S')",
     "agent_ts": "strftime(ts, '%m/%d/%Y %H:%M:%S')",
+    "trace_ts": "strftime(ts, '%m/%d/%y %H:%M:%S')",
     "whole_ts": "date_trunc('second', ts)",
     "list": "list_value",
     "exploded": "p, ls[p + 1] AS line FROM s, unnest(range(0, len(ls))) AS u(p)",
@@ -89,6 +91,54 @@ VIEWS = {
                       ELSE 'captive page' END
                  ELSE concat('IPSec tunnel creation finished with gateway gw', user_id, '.example.com') END) END AS text
         FROM {events}""",
+    "service_log": """
+        SELECT concat('host', user_id % 6) AS file_id, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 1 ELSE 0 END AS entry_ord,
+               CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 'logs/PanGPS.1.log' ELSE 'logs/PanGPS.log' END AS path,
+               event_id AS line_no,
+               concat('(P1-T2)Debug( 10): ', {trace_ts}, ':123 ', CASE event_type
+                 WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'Parse gateway list for user u' ELSE '----Portal Pre-login starts----' END
+                 WHEN 'view' THEN CASE event_id % 4
+                   WHEN 0 THEN concat('Gateway gw', user_id % 5, '.example.com(Name', user_id % 5, '): ipv4 10.0.0.', user_id, ', ipv6 , FQDN yes')
+                   WHEN 1 THEN concat('tcp connection time is ', user_id)
+                   WHEN 2 THEN concat('Unserialized non-empty cookie for portal p', user_id % 3, '.example.com and user user', user_id)
+                   ELSE concat('REGION-PRIO, region code is R', user_id % 7) END
+                 WHEN 'click' THEN concat('One external gateway gw', user_id % 5, '.example.com, priority=', user_id % 9, ', manual is ', user_id % 2)
+                 WHEN 'error' THEN CASE event_id % 3 WHEN 0 THEN 'One external gateway and the priority is -2, region does not match'
+                   WHEN 1 THEN 'gateway list is empty' ELSE concat('Portal login completed with address p', user_id % 3, '.example.com.') END
+                 ELSE CASE event_id % 3 WHEN 0 THEN 'IPSec tunnel creation finished' WHEN 1 THEN concat('Gateway selection type is Auto', user_id % 2)
+                   ELSE concat('m_pBestGateway=x (gateway=GW', user_id % 5, '.example.com)') END END) AS text
+        FROM {events}""",
+    "config_xml": """
+        SELECT concat('fw', c_nationkey) AS file_id, 0 AS entry_ord, 'opt/pancfg/mgmt/running-config.xml' AS path, c_custkey AS line_no,
+               CASE WHEN c_custkey % 5 < 3 THEN concat('<', rb, '><security><rules><entry name="', c_name, '"><from><member>z', c_custkey % 9,
+                      '</member><member>any</member></from><action>', lower(c_mktsegment), '</action></entry></rules></security></', rb, '>')
+                    WHEN c_custkey % 5 = 3 THEN concat('<zone><entry name="zone', c_custkey, '"><network><layer3><member>ethernet1/', c_custkey % 7,
+                      '</member></layer3></network></entry></zone>')
+                    WHEN c_custkey % 10 = 9 THEN concat('<deviceconfig><system><host-name>h', c_custkey, '</host-name><dns><primary>', c_mktsegment,
+                      '</primary></dns><allowed><entry name="e', c_custkey, '"/></allowed></system></deviceconfig>')
+                    ELSE concat('<interface><ethernet><entry name="ethernet1/', c_custkey % 7, '"><layer3><ip><entry name="10.0.0.', c_custkey,
+                      '/24"/></ip></layer3><comment>', c_mktsegment, '</comment></entry></ethernet></interface>') END AS text
+        FROM (SELECT *, CASE c_custkey % 5 WHEN 0 THEN 'pre-rulebase' WHEN 1 THEN 'rulebase' ELSE 'post-rulebase' END AS rb FROM {customer}) q
+        UNION ALL SELECT concat('fw', n_nationkey), 0, 'opt/pancfg/mgmt/running-config.xml', -1, '<config version="1"><vsys>' FROM {nation}
+        UNION ALL SELECT concat('fw', n_nationkey), 0, 'opt/pancfg/mgmt/running-config.xml', 4000000000, '</vsys></config>' FROM {nation}""",
+    "report_xml": """
+        SELECT concat('pc', p_size) AS file_id, 0 AS entry_ord, 'pan_gp_hrpt.xml' AS path, p_partkey AS line_no,
+               CASE WHEN p_partkey % 4 = 0 THEN concat('<entry name="patches', p_partkey, '"><missing-patches><entry><title>KB', p_partkey,
+                      '</title><severity>', p_size, '</severity></entry></missing-patches></entry>')
+                    WHEN p_partkey % 4 = 1 THEN concat('<entry name="none', p_partkey, '"><list/></entry>')
+                    ELSE concat('<entry name="cat', p_partkey % 3, '"><list><entry><ProductInfo><Prod vendor="', p_brand, '" name="', p_name,
+                      '" version="', p_partkey, '"/><is-enabled>', CASE WHEN p_partkey % 3 = 0 THEN 'yes' ELSE '' END,
+                      '</is-enabled></ProductInfo></entry></list></entry>') END AS text
+        FROM {part}
+        UNION ALL SELECT DISTINCT concat('pc', p_size), 0, 'pan_gp_hrpt.xml', CAST(-1 AS BIGINT),
+          concat('<hip-report><generate-time>01/02/2024 03:04:05</generate-time><user-name>u', p_size, '</user-name><categories>') FROM {part}
+        UNION ALL SELECT DISTINCT concat('pc', p_size), 0, 'pan_gp_hrpt.xml', CAST(4000000000 AS BIGINT), '</categories></hip-report>' FROM {part}""",
+    "bundle_entries": """
+        SELECT concat('a', CAST(floor(doc_id / 7) AS BIGINT)) AS file_id, doc_id % 7 AS entry_ord, n_chars AS size, false AS is_binary,
+               CASE WHEN doc_id % 31 = 3 THEN concat('x/opt/pancfg/', lang, '.conf') WHEN doc_id % 29 = 4 THEN 'var/log/pan/dp0-monitor.log'
+                    WHEN doc_id % 11 = 5 THEN concat('./logs/PanGPS.log.', doc_id) WHEN doc_id % 13 = 2 THEN 'HipReport.xml'
+                    WHEN doc_id % 3 < 2 THEN concat('logs/', source, '.log') ELSE concat('data/', doc_id, '.bin') END AS path
+        FROM {documents}""",
     "cli_dump": """
         SELECT concat('bundle', CAST(floor(k / 400) AS BIGINT)) AS file_id, CAST(floor(k / 200) AS BIGINT) % 2 AS entry_ord,
                concat('tmp/cli/part', CAST(floor(k / 200) AS BIGINT) % 2, '.txt') AS path, k AS line_no,
