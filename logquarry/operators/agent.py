@@ -204,40 +204,44 @@ def attempt_starts(events: DataFrame) -> DataFrame:
 ATTEMPT = ("file_id", "attempt_at")
 
 
-def attempt_lines(events: DataFrame) -> DataFrame:
-    """Event lines with the place of the attempt they belong to and whether the gateway phase has begun."""
+def attempt_lines(events: DataFrame, strict_gateway_ok: bool = False) -> DataFrame:
+    """Event lines with their attempt, whether its gateway phase has begun, and the stage marker they match.
+
+    With `strict_gateway_ok` the specific gateway-login marker is tried before the general one.
+    """
+    order = list(range(len(STAGE_MARKERS)))
+    if strict_gateway_ok:
+        order[11], order[12] = order[12], order[11]
     starts = attempt_starts(events).withColumn("_opens", F.struct(*PLACE))
     rows = events.join(starts, ["file_id", *PLACE], "left")
     rows = rows.withColumn("_gateway", F.when(_says(GATEWAY_LOGIN), F.struct(*PLACE)))
     rows = by_lines(rows, ("file_id",), PLACE).carry({"attempt_at": "_opens", "gateway_at": "_gateway"}).rows()
     at_gateway = F.coalesce(F.col("gateway_at") >= F.col("attempt_at"), F.lit(False))
     kept = events.columns
-    return settle(rows.where(F.col("attempt_at").isNotNull()).select(*kept, "attempt_at", at_gateway.alias("at_gateway")))
+    rows = rows.where(F.col("attempt_at").isNotNull()).select(*kept, "attempt_at", at_gateway.alias("at_gateway"))
+    marker = first_case([(_says(STAGE_MARKERS[i][0]), F.lit(i)) for i in order])
+    return settle(rows.select("*", computed(marker.alias("marker"))))
 
 
-def stage_results(rows: DataFrame, strict_gateway_ok: bool = False) -> DataFrame:
+def stage_results(rows: DataFrame) -> DataFrame:
     """Status of every stage an attempt touched: failed beats ok beats reached, later lines win ties.
 
-    The two unspecific failures only count when the stage was not already ok at that moment. With
-    `strict_gateway_ok` the specific gateway-login marker is tried before the general one.
+    The two unspecific failures only count when the stage was not already ok at that moment.
     """
-    order = list(range(len(STAGE_MARKERS)))
-    if strict_gateway_ok:
-        order[11], order[12] = order[12], order[11]
 
     def hit(stage: str, status: str, detail: Column) -> Column:
         return F.struct(F.lit(STAGES.index(stage)).alias("stage"), F.lit(status).alias("status"), detail.alias("detail"))
 
     marker = first_case(
         [
-            (_says(p), F.array(hit(stage, status, F.lit(reason) if reason else F.col("msg"))))
-            for p, stage, status, reason in (STAGE_MARKERS[i] for i in order)
+            (F.col("marker") == i, F.array(hit(stage, status, F.lit(reason) if reason else F.col("msg"))))
+            for i, (_, stage, status, reason) in enumerate(STAGE_MARKERS)
         ]
     )
     general = F.array_compact(
         F.array(*[F.when(_says(p), hit(stage, "forced", F.lit(detail))) for p, stage, detail in (NO_GATEWAY, NO_NETWORK)])
     )
-    hits = rows.select(*ATTEMPT, *PLACE, "ts", F.inline(F.coalesce(marker, general)))
+    hits = rows.select(*ATTEMPT, *PLACE, "ts", F.inline(F.when(F.col("marker").isNotNull(), marker).otherwise(general)))
     place, status = F.struct(*PLACE), F.col("status")
 
     def first(name: str) -> Column:
@@ -264,9 +268,8 @@ def stage_results(rows: DataFrame, strict_gateway_ok: bool = False) -> DataFrame
 
 def attempts(lines: DataFrame, strict_gateway_ok: bool = False) -> DataFrame:
     """One row per connection attempt with its furthest stage, verdict and authentication."""
-    rows = attempt_lines(event_lines(lines))
-    stages = stage_results(rows, strict_gateway_ok)
-    return attempt_table(rows, stages)
+    rows = attempt_lines(event_lines(lines), strict_gateway_ok)
+    return attempt_table(rows, stage_results(rows))
 
 
 def attempt_table(rows: DataFrame, stages: DataFrame) -> DataFrame:
@@ -276,9 +279,9 @@ def attempt_table(rows: DataFrame, stages: DataFrame) -> DataFrame:
     )
     portal, user = _found(FLOW_PORTAL), _found(FLOW_USER)
     user = F.when(F.lower(user) != "pre-logon", F.rtrim(user, F.lit(".")))
-    late = [STAGES.index(s) for s in ("gateway auth", "tunnel", "HIP")]
-    stage = first_case([(_says(p), F.lit(STAGES.index(s))) for p, s, _, _ in STAGE_MARKERS])
-    gateway = F.when(stage.isin(*late), _found(FLOW_GATEWAY))
+    late = ("gateway auth", "tunnel", "HIP")
+    after_select = F.col("marker").isin([i for i, m in enumerate(STAGE_MARKERS) if m[1] in late])
+    gateway = F.when(after_select, _found(FLOW_GATEWAY))
     facts = rows.select(
         *ATTEMPT, *PLACE, "ts", "at_gateway",
         computed(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logquarry.functions.matching import Condition, line_test
-from logquarry.functions.text import any_case, first_case, groups, rows_where, trim_zeros, trimmed, unix
+from logquarry.functions.text import any_case, first_case, fold, groups, rows_where, trim_zeros, trimmed, unix
 from logquarry.functions.timestamps import formatted_ntz
 from logquarry.operators.ordered import by_range, median_by_position, settle
 
@@ -46,6 +46,26 @@ KNOWN_EVENTS = (
     ("Certificate Expiring/Expired", r"certificate.*expir"),
     ("License Issue", r"license.*(expir|invalid|fail)"),
 )
+# A text matching a known event contains one of its words; testing them first is cheaper than the pattern.
+EVENT_WORDS = {
+    "Device Telemetry Send Failure": ("TELEMETRY", "DT_",),
+    "Device Telemetry Error": ("TELEMETRY",),
+    "LACP Down": ("LACP",),
+    "LACP Up": ("LACP",),
+    "HA Failover": ("HA",),
+    "BFD Session Down": ("BFD",),
+    "OSPF Neighbor Down": ("OSPF",),
+    "BGP Peer Down": ("BGP",),
+    "IPSec/VPN Tunnel Down": ("IPSEC", "VPN", "TUNNEL",),
+    "Route Flap": ("ROUTE",),
+    "Interface Link Down": ("INTERFACE",),
+    "Interface Link Up": ("INTERFACE",),
+    "Dataplane/Management CPU High": ("CPU",),
+    "Session Table Full": ("SESSION",),
+    "Content Update Failure": ("CONTENT", "WILDFIRE", "ANTIVIRUS",),
+    "Certificate Expiring/Expired": ("CERTIFICATE",),
+    "License Issue": ("LICENSE",),
+}
 TEMPLATE_STEPS = (
     (r"(?iu)conn id:\s*\S+", "conn id: <id>"),
     (r"'[^']*'", "'<file>'"),
@@ -106,7 +126,15 @@ def event_label(description: Column) -> Column:
     """First known event that matches, else the clipped template."""
     generic = template(description)
     clipped = F.regexp_replace(generic, f"(?s)^(.{{{TEMPLATE_LIMIT}}}).+$", "$1…")
-    return first_case([(description.rlike(any_case(p)), F.lit(n)) for n, p in KNOWN_EVENTS], clipped)
+    folded = fold(description)
+
+    def known(name: str, pattern: str) -> Column:
+        worth = F.lit(False)
+        for word in EVENT_WORDS[name]:
+            worth = worth | folded.contains(word)
+        return worth & description.rlike(any_case(pattern))
+
+    return first_case([(known(n, p), F.lit(n)) for n, p in KNOWN_EVENTS], clipped)
 
 
 def log_occurrences(lines: DataFrame) -> DataFrame:

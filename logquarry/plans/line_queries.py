@@ -11,6 +11,7 @@ from logquarry.functions.matching import phrase, term
 from logquarry.functions.text import fold
 from logquarry.operators import search as se
 from logquarry.operators import structure as st
+from logquarry.operators.ordered import settle
 from logquarry.plans.views import table, view, with_views
 
 START, END = datetime(2024, 1, 5), datetime(2024, 1, 20, 12)
@@ -95,14 +96,14 @@ def trigram_files(spark, sf_dir):
 
 def trigram_candidates(spark, sf_dir):
     lines = view(spark, sf_dir, "lines")
-    grams, common = se.split_common(se.trigrams(lines), 20)
+    grams, common = se.split_common(settle(se.trigrams(lines)), 20)
     return se.candidates(lines, grams, common, (phrase("license") & phrase("copyright")) | phrase("secret"))
 
 
 def pruned_search(spark, sf_dir):
     lines = view(spark, sf_dir, "lines")
     condition = phrase("license") | phrase("password")
-    grams, common = se.split_common(se.trigrams(lines), 20)
+    grams, common = se.split_common(settle(se.trigrams(lines)), 20)
     rows = se.match_lines(lines, condition, candidates=se.candidates(lines, grams, common, condition))
     return rows.select("path", "line_no", F.md5("text").alias("digest"))
 

@@ -132,7 +132,7 @@ SERVICE = r"""
     r AS (SELECT *, coalesce(max(CASE WHEN m LIKE 'Parse gateway list%' THEN o END) OVER w, 0) AS rd,
         max(CASE WHEN m LIKE '%Pre-login starts%' THEN o END) OVER w AS sg FROM l
         WINDOW w AS (PARTITION BY file_id ORDER BY o)),
-    t AS (SELECT file_id, o, rd, regexp_extract(m, 'gateway (\S+?), priority', 1) AS fq, regexp_extract(m, 'priority=(\d+)', 1)::INT AS pr,
+    t AS (SELECT file_id, o, rd, regexp_extract(m, 'gateway (\S+?), priority', 1) AS fq, try_cast(regexp_extract(m, 'priority=(\d+)', 1) AS INT) AS pr,
         m LIKE '%manual is 1' AS man,
         last_value(CASE WHEN m LIKE 'tcp%' THEN o END IGNORE NULLS) OVER x AS tcp_at,
         last_value(CASE WHEN m LIKE 'tcp%' THEN regexp_extract(m, 'is (\d+)', 1)::INT END IGNORE NULLS) OVER x AS tcp,

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from logquarry.operators.ordered import is_small
+
 SPARK_WORDS = {
     "slash_ts": "date_format(ts, 'yyyy/MM/dd HH:mm:ss')",
     "dash_ts": "date_format(ts, 'yyyy-MM-dd HH:mm:ss')",
@@ -230,13 +232,21 @@ VIEWS = {
 }
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small table out over the cores: one small file is one task, however costly its rows are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if is_small(df) and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name].format(**SPARK_WORDS, **{t: "{" + t + "}" for t in TABLES})
-    tables = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
+    tables = {t: spread(table(spark, sf_dir, t)) for t in TABLES if "{" + t + "}" in text}
     return spark.sql(text, **tables)
 
 
