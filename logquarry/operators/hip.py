@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logquarry.functions.text import base_name, groups, trimmed
 from logquarry.functions.timestamps import formatted_ntz
 from logquarry.operators.agentlogs import SERVICE_LOGS, age
-from logquarry.operators.ordered import by_lines, by_range
+from logquarry.operators.ordered import by_lines
 from logquarry.operators.structure import PORTAL_LINE, TRACE_LINE
 
 # Block markers, file names, attributes and fact names.
@@ -252,8 +252,9 @@ def facts(nodes: DataFrame) -> DataFrame:
     for table in tables[1:]:
         merged = merged.unionByName(table)
     merged = merged.where(trimmed(F.col("f.value")) != "").select(*DOCUMENT, "category", "item", "group", "place", "pos", "f.field", "f.value")
-    order = ("category", "item", "group", "place", "pos")
-    return by_range(merged, DOCUMENT, order).positions("ord").rows().drop("group", "place", "pos")
+    # one report is one document of bounded size, so its facts are numbered in one window
+    window = Window.partitionBy(*DOCUMENT).orderBy("category", "item", "group", "place", "pos")
+    return merged.withColumn("ord", F.row_number().over(window)).drop("group", "place", "pos")
 
 
 def search(table: DataFrame, needle: str) -> DataFrame:

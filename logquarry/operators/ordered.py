@@ -6,8 +6,8 @@ therefore spread over as many tasks as it has chunks.
 
 Two ways to cut:
 * `by_lines`: the chunk is the line number divided by a constant, so no chunk exceeds that many lines;
-* `by_range`: a range partitioning on (keys, order); the partition number is the chunk, fixed by a
-  checkpoint so that both uses of it (rows and hand-over rows) agree even after an executor is lost.
+* `by_range`: a range partitioning on (keys, order); the partition number is the chunk, fixed by writing
+  the table, so that both uses of it (rows and hand-over rows) agree even after an executor is lost.
 
 Inputs whose estimated size is below `WHOLE_LIMIT` use one chunk per key.
 """
@@ -15,6 +15,7 @@ Inputs whose estimated size is below `WHOLE_LIMIT` use one chunk per key.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,21 +36,34 @@ def is_small(df: DataFrame, limit: int | None = None) -> bool:
     return estimated_bytes(df) <= (WHOLE_LIMIT if limit is None else limit)
 
 
-def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the session names; only a local session may fall back to a scratch folder."""
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the session names; only a local session may fall back to a scratch folder."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not context.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="logquarry-checkpoint-"))
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="logquarry-"))
+    return context.getCheckpointDir()
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute a table once that several later steps read; its lineage is cut by a checkpoint."""
-    use_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Compute a table once that several later steps read: written to the shared folder and read back.
+
+    The lineage is cut, a lost executor only re-reads files, later steps read just the columns they
+    need, and the size estimate becomes that of the files.
+    """
+    folder = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def grounded(df: DataFrame, limit: int | None) -> tuple[DataFrame, bool]:
+    """The table and whether it is small; an estimate above the limit, as after joins, is settled by writing it."""
+    if is_small(df, limit):
+        return df, True
+    df = settle(df)
+    return df, is_small(df, limit)
 
 
 @dataclass(frozen=True)
@@ -200,7 +214,8 @@ def by_lines(
     limit: int | None = None,
 ) -> Ordered:
     """Cut on the line number; order columns in front of it are part of the chunk."""
-    if is_small(df, limit):
+    df, small = grounded(df, limit)
+    if small:
         return Ordered(df.withColumn(CHUNK, F.lit(0)), tuple(keys), tuple(order), True)
     block, front = F.floor(F.col(line) / lines), order[: order.index(line)]
     chunk = F.struct(*front, block.alias("block")) if front else block
@@ -209,16 +224,13 @@ def by_lines(
 
 def by_range(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], limit: int | None = None) -> Ordered:
     """Cut a global range partitioning on (keys, order) at its partition borders."""
-    size = estimated_bytes(df)
-    if size <= (WHOLE_LIMIT if limit is None else limit):
+    df, small = grounded(df, limit)
+    if small:
         return Ordered(df.withColumn(CHUNK, F.lit(0)), tuple(keys), tuple(order), True)
-    spark = df.sparkSession
-    use_checkpoint_dir(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if size < 1 << 60:  # an unknown size is reported as a huge one
-        parts = max(parts, -(-size // PARTITION_BYTES))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(parts, -(-estimated_bytes(df) // PARTITION_BYTES))
     ranged = df.repartitionByRange(parts, *keys, *order).withColumn(CHUNK, F.spark_partition_id())
-    return Ordered(ranged.checkpoint(), tuple(keys), tuple(order), False)
+    return Ordered(settle(ranged), tuple(keys), tuple(order), False)
 
 
 def median_by_position(df: DataFrame, keys: tuple[str, ...], value: str, ties: tuple[str, ...], name: str) -> DataFrame:
