@@ -97,12 +97,12 @@ def trigram_files(spark, sf_dir):
 def trigram_candidates(spark, sf_dir):
     lines = view(spark, sf_dir, "lines")
     grams, common = se.split_common(settle(se.trigrams(lines)), 20)
-    return se.candidates(lines, grams, common, (phrase("license") & phrase("copyright")) | phrase("secret"))
+    return se.candidates(lines, grams, common, (phrase("license") & phrase("apache")) | phrase("token"))
 
 
 def pruned_search(spark, sf_dir):
     lines = view(spark, sf_dir, "lines")
-    condition = phrase("license") | phrase("password")
+    condition = phrase("license") | phrase("token")
     grams, common = se.split_common(settle(se.trigrams(lines)), 20)
     rows = se.match_lines(lines, condition, candidates=se.candidates(lines, grams, common, condition))
     return rows.select("path", "line_no", F.md5("text").alias("digest"))
@@ -240,7 +240,7 @@ ORACLE = {
     "trigram_candidates": with_views(
         GRAMS
         + """, fr AS (SELECT file_id, tri, count(*) AS n FROM t GROUP BY ALL),
-        w AS (SELECT DISTINCT alt, substr(word, i, 3) AS tri FROM (VALUES (0, 'LICENSE'), (0, 'COPYRIGHT'), (1, 'SECRET'))
+        w AS (SELECT DISTINCT alt, substr(word, i, 3) AS tri FROM (VALUES (0, 'LICENSE'), (0, 'APACHE'), (1, 'TOKEN'))
               AS v(alt, word), unnest(range(1, length(word) - 1)) AS u(i)),
         fl AS (SELECT DISTINCT file_id, path FROM v_lines),
         nd AS (SELECT b.file_id, w.alt, w.tri FROM (SELECT DISTINCT file_id FROM fl) b, w
@@ -252,7 +252,7 @@ ORACLE = {
     ),
     "pruned_search": with_views(
         """SELECT path, line_no, md5(text) AS digest FROM v_lines
-           WHERE contains(lower(text), 'license') OR contains(lower(text), 'password')""",
+           WHERE contains(lower(text), 'license') OR contains(lower(text), 'token')""",
         "lines",
     ),
 }
