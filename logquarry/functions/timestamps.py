@@ -35,11 +35,15 @@ def line_timestamp(text: Column, year: int | Column) -> Column:
 
 
 def agent_timestamp(date: Column, clock: Column) -> Column:
-    """Endpoint-agent stamp; an eight-character date has a two-digit year."""
-    stamp = F.concat_ws(" ", date, clock)
-    return F.when(F.length(date) == 8, formatted_ntz(stamp, "MM/dd/yy HH:mm:ss")).otherwise(
-        formatted_ntz(stamp, "MM/dd/yyyy HH:mm:ss")
-    )
+    """Endpoint-agent stamp `MM/dd/yyyy` or `MM/dd/yy`; two-digit years from 69 on belong to the last century.
+
+    The parts are put in ISO order and cast, so no session time zone takes part.
+    """
+    short = F.substring(date, 7, 4)
+    century = F.when(short >= "69", "19").otherwise("20")
+    year = F.when(F.length(date) == 8, F.concat(century, short)).otherwise(short)
+    iso = F.concat(year, F.lit("-"), F.substring(date, 1, 2), F.lit("-"), F.substring(date, 4, 2), F.lit(" "), clock)
+    return iso.try_cast("timestamp_ntz")
 
 
 def parse_time_parameter(text: str | None) -> datetime | None:

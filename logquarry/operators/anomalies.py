@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from logquarry.functions.matching import Condition, line_test
 from logquarry.functions.text import any_case, first_case, fold, groups, rows_where, trim_zeros, trimmed, unix
-from logquarry.functions.timestamps import formatted_ntz
+from logquarry.functions.timestamps import iso_ntz
 from logquarry.operators.ordered import by_range, median_by_position, settle
 
 # Line shape, noise, known events, template replacements, severities, thresholds.
@@ -97,7 +97,7 @@ def parse_system_log(lines: DataFrame) -> DataFrame:
     line = F.rtrim(F.col("text"), F.lit("\r"))
     part = groups(line, SYSTEM_LOG_LINE, 4)
     rest = [c for c in lines.columns if c != "text"]
-    stamp = formatted_ntz(F.regexp_replace(part[0], r"\s+", " "), "yyyy/MM/dd HH:mm:ss")
+    stamp = iso_ntz(F.regexp_replace(part[0], r"\s+", " "))
     events = lines.select(
         *rest,
         rows_where(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logquarry.functions.text import base_name, groups, trimmed
-from logquarry.functions.timestamps import formatted_ntz
+from logquarry.functions.timestamps import agent_timestamp
 from logquarry.operators.agentlogs import SERVICE_LOGS, age
 from logquarry.operators.ordered import by_lines
 from logquarry.operators.structure import PORTAL_LINE, TRACE_LINE
@@ -265,4 +265,5 @@ def search(table: DataFrame, needle: str) -> DataFrame:
 
 def generated_time(head: DataFrame) -> DataFrame:
     """Report with the time it was generated, for judging its age."""
-    return head.withColumn("generated_ts", formatted_ntz(trimmed(F.col("generated_at")), "MM/dd/yyyy HH:mm:ss"))
+    stamp = trimmed(F.col("generated_at"))
+    return head.withColumn("generated_ts", agent_timestamp(F.substring(stamp, 1, 10), F.substring(stamp, 12, 8)))
