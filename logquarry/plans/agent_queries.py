@@ -10,10 +10,14 @@ from logquarry.plans.views import view, with_views
 
 
 def agent_structure(spark, sf_dir):
-    rows = st.structure(view(spark, sf_dir, "agent_log"))
+    rows = st.structure_agent(view(spark, sf_dir, "agent_log"))
     return rows.select("file_id", "line", "part_no", "ts", "ts_text", "label", "msg")
 
 
+def agent_files(spark, sf_dir):
+    return st.agent_files(view(spark, sf_dir, "agent_log")).select("file_id")
+
+
 def embedded_split(spark, sf_dir):
     return st.split_embedded(view(spark, sf_dir, "agent_log")).select("file_id", "line_no", "part_no", "text")
 
@@ -70,6 +74,7 @@ def agent_overview(spark, sf_dir):
 
 QUERIES = {
     "agent_structure": agent_structure,
+    "agent_files": agent_files,
     "embedded_split": embedded_split,
     "agent_timeline": agent_timeline,
     "phase_counts": phase_counts,
@@ -202,6 +207,11 @@ ORACLE = {
           CASE WHEN e THEN regexp_extract(text, '\]:\s?(.*)$', 1) ELSE text END AS msg FROM cr""",
         "agent_log",
     ),
+    "agent_files": with_views(
+        r"""SELECT file_id FROM v_agent_log WHERE line_no <= 20 AND trim(text) <> '' GROUP BY 1 HAVING 2 * count_if(
+          regexp_matches(text, '^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}:\d{3}\s*\[[A-Za-z]+\s*\]:')) >= count(*)""",
+        "agent_log",
+    ),
     "embedded_split": with_views(PARTS + " SELECT file_id, line_no, part_no::INT AS part_no, text FROM pt", "agent_log"),
     "agent_timeline": with_views(
         PHASED + " SELECT file_id, line_no, ts, severity, phase, outcome FROM tl WHERE back <= 40", "agent_log"
