@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from logquarry.llm.common import pieces_of, shuffle_partitions
 
@@ -161,8 +162,8 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
             names = [n for n in batch.schema.names if n != "fingerprint"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([f for f, _ in found], pa.string())], [*names, "fingerprint"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "fingerprint")
-    return docs.mapInArrow(run, f"{fields}, fingerprint string")
+    kept = [f for f in docs.schema.fields if f.name != "fingerprint"]
+    return docs.mapInArrow(run, StructType([*kept, StructField("fingerprint", StringType())]))
 
 
 def _range_of(key: Column, bounds: list[float]) -> Column:

@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from logquarry.llm import decontaminate, merkle, mixing, sanitise, simhash, urlrules
+from logquarry.llm import compression, decontaminate, langid, merkle, mixing, sanitise, simhash, suffixes, toxicity, urlrules
 from logquarry.shipping import shipped
 
 
@@ -33,17 +32,44 @@ def op4_mixed_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sampled(docs).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(_table(spark, sf_dir, "documents"))
+
+
+def op6_quality_by_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_language_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predicted(_table(spark, sf_dir, "documents"))
+
+
 def op10_private_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitise.report(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: shipped(f)
-    for f in (op1_merkle_fingerprints, op2_url_filter, op3_simhash_components, op4_mixed_sample, op8_benchmark_matches, op10_private_terms)
+    for f in (
+        op1_merkle_fingerprints,
+        op2_url_filter,
+        op3_simhash_components,
+        op4_mixed_sample,
+        op5_suffix_dedup,
+        op6_quality_by_compression,
+        op7_toxicity_trees,
+        op8_benchmark_matches,
+        op9_language_pieces,
+        op10_private_terms,
+    )
 }
 
 ORACLE: dict[str, str] = {

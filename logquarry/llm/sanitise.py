@@ -86,12 +86,12 @@ def _checked(kind: str) -> Column:
 
 
 def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with `base`: the checked spans of all kinds, in order."""
+    """`docs` with `_base`: the checked spans of all kinds, in order."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     found = {f"_{k}": F.regexp_extract_all(whole, F.lit(p), F.lit(0)) if k not in MARKS else F.when(F.contains(whole, F.lit(MARKS[k])), F.regexp_extract_all(whole, F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>")) for k, p in PATTERNS.items()}
     out = docs.withColumns(found)
     out = out.withColumns({f"_{k}_gaps": F.when(F.size(f"_{k}") > 0, F.split(whole, p, -1)) for k, p in PATTERNS.items()})
-    return out.withColumn("base", F.concat(*[_checked(k) for k in PATTERNS])).drop(*found, *[f"_{k}_gaps" for k in PATTERNS])
+    return out.withColumn("_base", F.concat(*[_checked(k) for k in PATTERNS])).drop(*found, *[f"_{k}_gaps" for k in PATTERNS])
 
 
 def _words(text: Column) -> Column:
@@ -106,15 +106,15 @@ def _beside(text: Column, span: Column) -> Column:
 
 
 def revealing(based: DataFrame, text: str = "text", key: str = "doc_id", min_texts: int = MIN_TEXTS, min_chance: float = MIN_CHANCE, min_bits: float = MIN_BITS) -> DataFrame:
-    """(doc_id, terms): for each document that holds them, the terms that give an entity away."""
-    rows = based.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"), "base").where("_text is not null")
-    held = rows.where(F.size("base") > 0).select(F.xxhash64("_text").alias("same"), F.explode("base").alias("span"), "_text")
+    """(_key, _told): for each document that holds them, the terms that give an entity away."""
+    rows = based.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"), "_base").where("_text is not null")
+    held = rows.where(F.size("_base") > 0).select(F.xxhash64("_text").alias("same"), F.explode("_base").alias("span"), "_text")
     entity = F.concat_ws(":", "span.kind", F.lower("span.value"))
     beside = held.select("same", entity.alias("entity"), F.explode(_beside(F.col("_text"), F.col("span"))).alias("term"))
     pairs = saved(
         beside.groupBy("term", "entity", "same").count().groupBy("term", "entity").agg(F.count("*").alias("texts"), F.sum("count").alias("together")).where(F.col("texts") >= min_texts)
     )
-    owned = rows.where(F.size("base") > 0).select(F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))).alias("entity"))
+    owned = rows.where(F.size("_base") > 0).select(F.explode(F.array_distinct(F.transform("_base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))).alias("entity"))
     entities = owned.groupBy("entity").agg(F.count("*").alias("n_entity"))
     # every document's words, of which the candidates are kept
     words = rows.select("_key", F.explode(_words(F.col("_text"))).alias("term"))
@@ -123,19 +123,19 @@ def revealing(based: DataFrame, text: str = "text", key: str = "doc_id", min_tex
     total = rows.agg(F.count("*").alias("n"))
     chance = F.least(F.lit(1.0), F.col("together") / F.col("n_term"))
     told = pairs.join(seen, "term").join(entities, "entity").crossJoin(total).where((chance >= min_chance) & (F.log2(chance * F.col("n") / F.col("n_entity")) >= min_bits))
-    return places.join(told.select("term").distinct(), "term").where("_key is not null").groupBy("_key").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    return places.join(told.select("term").distinct(), "term").where("_key is not null").groupBy("_key").agg(F.sort_array(F.collect_set("term")).alias("_told"))
 
 
 def with_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", **thresholds) -> DataFrame:
-    """`docs` with `base` and `spans`, the latter with the terms that give entities away."""
+    """`docs` with `_base` and `_spans`, the latter with the terms that give entities away."""
     based = with_base(docs, text)
     told = revealing(based, text, key, **thresholds)
     joined = based.join(told, F.col(key) == F.col("_key"), "left").drop("_key")
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
-    joined = joined.withColumn("_terms", F.when(F.col("terms").isNotNull(), F.regexp_extract_all(whole, pattern, F.lit(0))).otherwise(F.array().cast("array<string>")))
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("_told", "|"), F.lit(r")(?!\p{L})"))
+    joined = joined.withColumn("_terms", F.when(F.col("_told").isNotNull(), F.regexp_extract_all(whole, pattern, F.lit(0))).otherwise(F.array().cast("array<string>")))
     joined = joined.withColumn("_terms_gaps", F.when(F.size("_terms") > 0, F.split(whole, pattern, -1)))
-    return joined.withColumn("spans", F.concat("base", _placed(TERM, "_terms", "_terms_gaps"))).drop("terms", "_terms", "_terms_gaps")
+    return joined.withColumn("_spans", F.concat("_base", _placed(TERM, "_terms", "_terms_gaps"))).drop("_told", "_terms", "_terms_gaps")
 
 
 def _listed(spans: str) -> Column:
@@ -145,9 +145,9 @@ def _listed(spans: str) -> Column:
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", **thresholds) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)."""
     found = with_spans(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", **thresholds)
-    kinds = F.transform("base", lambda s: s["kind"])
-    counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in PATTERNS]
-    return found.select("doc_id", *counts, F.sha2(_listed("base").cast("binary"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
+    kinds = F.transform("_base", lambda s: s["kind"])
+    counts = [(F.size("_base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in PATTERNS]
+    return found.select("doc_id", *counts, F.sha2(_listed("_base").cast("binary"), 256).alias("base_sha256"), _listed("_spans").alias("spans"))
 
 
 def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text", **thresholds) -> DataFrame:
@@ -156,7 +156,7 @@ def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text", **thresh
     Overlapping spans are replaced together, by the kind of the first.
     """
     found = with_spans(docs, key, text, **thresholds)
-    order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("back"), s["kind"].alias("kind"))))
+    order = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("back"), s["kind"].alias("kind"))))
 
     def step(held: Column, s: Column) -> Column:
         stop = F.greatest(held["at"], -s["back"])
@@ -165,7 +165,7 @@ def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text", **thresh
         return F.struct(stop.alias("at"), F.concat(held["out"], F.when(s["start"] >= held["at"], added).otherwise(F.lit(""))).alias("out"))
 
     whole = F.aggregate(order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda held: F.concat(held["out"], F.substring(F.col(text), held["at"] + 1, F.length(text))))
-    changed = found.withColumn(text, F.when(F.size("spans") > 0, whole).otherwise(F.col(text)))
+    changed = found.withColumn(text, F.when(F.size("_spans") > 0, whole).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.size("spans") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        changed = changed.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return changed.select(*docs.columns)

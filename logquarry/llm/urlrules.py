@@ -70,7 +70,7 @@ def rarest_tokens(subjects: DataFrame, rules: Iterable[Rule]) -> list[str | None
     """For each rule the literal token that the fewest rows of `subjects` contain; null for a rule without tokens."""
     rules = list(rules)
     named = subjects.sparkSession.createDataFrame([(t,) for r in rules for t in r.tokens], "token string").distinct()
-    seen = subjects.select(F.explode(_tokens(F.col("subject"))).alias("token")).groupBy("token").count()
+    seen = subjects.select(F.explode(_tokens(F.col("_subject"))).alias("token")).groupBy("token").count()
     # one row for each token that a rule names
     counts = {r["token"]: r["count"] or 0 for r in named.join(seen, "token", "left").collect()}
     return [min(r.tokens, key=lambda t: (counts[t], t)) if r.tokens else None for r in rules]
@@ -107,10 +107,10 @@ def judged(pages: DataFrame, rules: Iterable[Rule] = RULES, url: str = "url", de
     """`pages` with host, path, rule and verdict."""
     rules = sorted(rules, key=_better)
     parts = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    parts = parts.withColumn("subject", F.concat("host", "path"))
+    parts = parts.withColumn("_subject", F.concat("host", "path"))
     filed = rarest_tokens(parts, rules)
     parts = _by_index(parts, rules, filed) if len(rules) <= task_rules else _by_join(parts, rules, filed)
-    return parts.withColumns({"rule": F.col("found.rule"), "verdict": F.coalesce("found.verdict", F.lit(default))}).drop("subject", "found")
+    return parts.withColumns({"rule": F.col("_found.rule"), "verdict": F.coalesce("_found.verdict", F.lit(default))}).drop("_subject", "_found")
 
 
 def _by_index(parts: DataFrame, rules: list[Rule], filed: list[str | None]) -> DataFrame:
@@ -122,15 +122,15 @@ def _by_index(parts: DataFrame, rules: list[Rule], filed: list[str | None]) -> D
         for subjects in batches:
             yield pd.DataFrame([index.judge(s) for s in subjects], columns=["rule", "verdict"])
 
-    return parts.withColumn("found", find("subject"))
+    return parts.withColumn("_found", find("_subject"))
 
 
 def _by_join(parts: DataFrame, rules: list[Rule], filed: list[str | None]) -> DataFrame:
     """Tokens of the distinct subjects meet the rules in a shuffled join; both sides are exchanged, so a hot token can be split."""
     listed = [(token, i, r.pattern, r.name, r.action) for i, (r, token) in enumerate(zip(rules, filed, strict=True))]
     table = parts.sparkSession.createDataFrame(listed, "token string, rank int, pattern string, rule string, verdict string")
-    subjects = parts.select("subject").distinct()
-    tokens = subjects.select("subject", F.explode(F.concat(F.array(F.lit(None).cast("string")), _tokens(F.col("subject")))).alias("token"))
-    fits = tokens.join(table, tokens.token.eqNullSafe(table.token)).where(F.expr("subject rlike pattern"))
-    best = fits.groupBy("subject").agg(F.min_by(F.struct("rule", "verdict"), "rank").alias("found"))
-    return parts.join(best, "subject", "left")
+    subjects = parts.select("_subject").distinct()
+    tokens = subjects.select("_subject", F.explode(F.concat(F.array(F.lit(None).cast("string")), _tokens(F.col("_subject")))).alias("token"))
+    fits = tokens.join(table, tokens.token.eqNullSafe(table.token)).where(F.expr("_subject rlike pattern"))
+    best = fits.groupBy("_subject").agg(F.min_by(F.struct("rule", "verdict"), "rank").alias("_found"))
+    return parts.join(best, "_subject", "left")
