@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 WHITESPACE = " \t\n\x0b\f\r"
+#: Separates parts of a text: a code point that is never a character.
+MARK = "\uffff"
 NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -49,8 +53,8 @@ def extract(text: Column, pattern: str, group: int = 1) -> Column:
 
 def groups(text: Column, pattern: str, count: int) -> Column:
     """All groups of a pattern anchored at both ends as one array, null without a match."""
-    joined = F.regexp_replace(text, unix(pattern), "\u0001".join(f"${g + 1}" for g in range(count)))
-    return F.when(text.rlike(unix(pattern)), F.split(joined, "\u0001", -1))
+    joined = F.regexp_replace(text, unix(pattern), MARK.join(f"${g + 1}" for g in range(count)))
+    return F.when(text.rlike(unix(pattern)), F.split(joined, MARK, -1))
 
 
 def rows_where(condition: Column, *fields: Column) -> Column:
@@ -98,15 +102,35 @@ def sanitise(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(trimmed(text)), "[^a-z0-9]+", "_"), F.lit("_"))
 
 
-def clip(text: Column, limit: int = 400) -> Column:
-    """Right-strip carriage returns and cut to `limit` characters with an ellipsis."""
+def clip(text: Column, limit: int | None = None) -> Column:
+    """Right-strip carriage returns and, if a limit is named, cut to that many characters with an ellipsis."""
     clean = F.rtrim(text, F.lit("\r"))
+    if limit is None:
+        return clean
     return F.when(F.length(clean) > limit, F.concat(F.substring(clean, 1, limit), F.lit("…"))).otherwise(clean)
 
 
+def _variants() -> tuple[str, str]:
+    """Lower-case letters whose upper-case form has another lower-case form, and that form."""
+    pairs = [(c, c.upper().lower()) for c in map(chr, range(128, 0x10000)) if c == c.lower() and len(c.upper()) == 1]
+    pairs = [(c, d) for c, d in pairs if c != d and len(d) == 1]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+VARIANTS, VARIANT_FORMS = _variants()
+
+
 def fold(text: Column) -> Column:
-    """Case folding that also joins letters sharing one upper-case form."""
-    return F.upper(F.lower(text))
+    """Case folding that also joins letters sharing one upper-case form.
+
+    Nested `upper` and `lower` would do, but the optimizer keeps only the outer one of them.
+    """
+    return F.translate(F.lower(text), VARIANTS, VARIANT_FORMS)
+
+
+def folded(text: str) -> str:
+    """`fold` of a string known beforehand."""
+    return text.lower().translate(str.maketrans(VARIANTS, VARIANT_FORMS))
 
 
 def normal_path(path: Column) -> Column:
@@ -128,9 +152,13 @@ def as_gb(kilobytes: Column) -> Column:
 
 
 def valid_regex(pattern: str) -> str:
-    """The pattern itself when it compiles, else its literal form."""
+    """The pattern itself when the engine that will run it compiles it, else its literal form."""
+    session = SparkSession.getActiveSession()
     try:
-        re.compile(pattern)
+        if session is None:
+            re.compile(pattern)
+        else:
+            session.sparkContext._jvm.java.util.regex.Pattern.compile(any_case(pattern))
         return pattern
-    except re.error:
+    except (re.error, Py4JJavaError, IllegalArgumentException):
         return re.escape(pattern)

@@ -17,7 +17,6 @@ from logquarry.operators.structure import EVENT_LINE
 EVENT_LOG = "pan_gp_event.log"
 SERVICE_LOG = "pangps.log"
 TIMELINE_LOGS = ("pan_gp_event.log", "pan_gpa_event.log", "pan_cp_events.log", "pan_gpa_cp_event.log")
-TIMELINE_LIMIT = 20000
 PHASES = (
     (r"failed to pre ?- ?login", "prelogin", "fail"),
     (r"auth failed|authentication failed", "auth", "fail"),
@@ -40,27 +39,27 @@ STAGES = (
     "gateway select", "gateway auth", "tunnel", "HIP",
 )
 STAGE_MARKERS = (
-    (r"failed to pre ?- ?login to the portal", "portal pre-login", "failed", "the portal did not answer the pre-login request"),
-    (r"portal status is Invalid portal", "portal pre-login", "failed", "portal address rejected or unreachable"),
+    (r"failed to pre ?- ?login to the portal", "portal pre-login", "failed", "pre-login got no answer"),
+    (r"portal status is Invalid portal", "portal pre-login", "failed", "bad portal address, or no route to it"),
     (r"portal pre-login result received", "portal pre-login", "ok", ""),
     (r"started the portal pre ?- ?login", "portal pre-login", "reached", ""),
-    (r"auth failed for portal|portal status is User authentication failed", "portal auth", "failed", "the portal rejected the credentials"),
+    (r"auth failed for portal|portal status is User authentication failed", "portal auth", "failed", "sign-in refused by the portal"),
     (r"portal status is Connected", "portal auth", "ok", ""),
     (r"portal login starts|logging into portal", "portal auth", "reached", ""),
     (r"portal login completed with address", "portal config", "ok", ""),
-    (r"matching client config not found|no client configuration", "portal config", "failed", "the portal has no agent config matching this user or device"),
+    (r"matching client config not found|no client configuration", "portal config", "failed", "no client configuration fits"),
     (r"network discovery started|discovering (internal|external) network", "network discovery", "reached", ""),
     (r"gateway pre-?login starts to|prelogin to gateway", "gateway select", "ok", ""),
     (r"gateway login (finished|starts) ", "gateway auth", "reached", ""),
     (r"(auto |manual )?gateway login finished with address", "gateway auth", "ok", ""),
     (r"(ipsec|ssl) tunnel creation finished", "tunnel", "ok", ""),
     (r"trying to create tunnel with gateway", "tunnel", "reached", ""),
-    (r"tunnel creation failed|failed to create tunnel", "tunnel", "failed", "the tunnel could not be established"),
+    (r"tunnel creation failed|failed to create tunnel", "tunnel", "failed", "no tunnel came up"),
     (r"hip report submitted to the gateway", "HIP", "ok", ""),
     (r"completed hip report check with gateway", "HIP", "reached", ""),
 )
-NO_GATEWAY = (r"network connection is unreachable or the gateway is unresponsive", "gateway select", "no gateway could be used — see the gateway table for priority and region scoring")
-NO_NETWORK = (r"no network connectivity", "portal pre-login", "no network connectivity to the portal")
+NO_GATEWAY = (r"network connection is unreachable or the gateway is unresponsive", "gateway select", "every gateway was out of reach")
+NO_NETWORK = (r"no network connectivity", "portal pre-login", "no network on the way to the portal")
 ATTEMPT_START = r"^(started the portal pre ?- ?login|SSO starts)"
 ATTEMPT_GAP_SECONDS = 2
 FLOW_PORTAL = r"(?:portal|to the portal) ([A-Za-z0-9][A-Za-z0-9.\-]*\.[A-Za-z0-9.\-]+)"
@@ -130,7 +129,7 @@ def phase(msg: Column, severity: Column) -> Column:
     return F.struct(row["phase"].alias("phase"), F.when(failed, F.lit("fail")).otherwise(row["outcome"]).alias("outcome"))
 
 
-def timeline(lines: DataFrame, limit: int = TIMELINE_LIMIT) -> DataFrame:
+def timeline(lines: DataFrame, limit: int = 0) -> DataFrame:
     """Classified events of each archive in time order; with a limit the latest ones."""
     events = event_lines(lines, TIMELINE_LOGS)
     rows = by_range(events, ("file_id",), ("ts", *PLACE)).positions("ord", "_n").rows()

@@ -76,7 +76,6 @@ TEMPLATE_STEPS = (
     (r"(?iu)port:?\s*\d+", "port: <port>"),
     (r"\d+", "<n>"),
 )
-TEMPLATE_LIMIT = 110
 SEVERITY_RANK = {"critical": 5, "high": 4, "medium": 3, "low": 2, "informational": 1, "info": 1}
 LOAD_BANDS = ((5.0, "critical", "above 5"), (2.5, "critical", "above 2.5"))
 IOWAIT_BANDS = ((5.0, "critical", "above 5"), (2.0, "high", "above 2"))
@@ -85,6 +84,7 @@ PROCESS_BANDS = ((85.0, "high", "above 85%"),)
 QUEUE_NAME = r"^(mp|dp)__netstat_detail__(.+)_(recv_q|send_q)$"
 QUEUE_MIN_SAMPLES = 5
 QUEUE_HIGH_BYTES = 100000
+TIES = ("entry_ord", "line_no", "emit_ord")
 CLUSTER_STEPS = ((12 * 3600, 30 * 60), (6 * 3600, 15 * 60), (2 * 3600, 10 * 60), (45 * 60, 5 * 60))
 
 
@@ -123,18 +123,16 @@ def template(description: Column) -> Column:
 
 
 def event_label(description: Column) -> Column:
-    """First known event that matches, else the clipped template."""
-    generic = template(description)
-    clipped = F.regexp_replace(generic, f"(?s)^(.{{{TEMPLATE_LIMIT}}}).+$", "$1…")
+    """First known event that matches, else the template."""
     folded = fold(description)
 
     def known(name: str, pattern: str) -> Column:
         worth = F.lit(False)
         for word in EVENT_WORDS[name]:
-            worth = worth | folded.contains(word)
+            worth = worth | folded.contains(word.lower())
         return worth & description.rlike(any_case(pattern))
 
-    return first_case([(known(n, p), F.lit(n)) for n, p in KNOWN_EVENTS], clipped)
+    return first_case([(known(n, p), F.lit(n)) for n, p in KNOWN_EVENTS], template(description))
 
 
 def log_occurrences(lines: DataFrame) -> DataFrame:
@@ -295,13 +293,13 @@ def growing_queues(counters: DataFrame, ties: tuple[str, ...] = ("entry_ord", "l
 
 def counter_occurrences(counters: DataFrame) -> DataFrame:
     """Band breaches and growing queues in one flat table."""
-    columns = ("file_id", "name", "ts", "value", "label", "severity", "subtype", "description")
+    columns = ("file_id", "name", "ts", *TIES, "value", "label", "severity", "subtype", "description")
     return band_breaches(counters).select(*columns).unionByName(growing_queues(counters).select(*columns))
 
 
 def counter_groups(counters: DataFrame) -> DataFrame:
-    """Counter anomalies per label; the first sample is the earliest by (ts, name)."""
-    return group_occurrences(counter_occurrences(counters), order=("ts", "name"))
+    """Counter anomalies per label; the first sample is the earliest by (ts, name) and place in the log."""
+    return group_occurrences(counter_occurrences(counters), order=("ts", "name", *TIES))
 
 
 def cluster_width(span_seconds: Column) -> Column:

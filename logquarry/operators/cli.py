@@ -28,7 +28,7 @@ LICENCE_KEYS = {
     "issued": ("issued",), "expires": ("expires",), "expired": ("expired?", "expired"), "base_license": ("base license",),
 }
 
-FILE = ("file_id", "path")
+FILE = ("file_id", "entry_ord", "path")
 
 
 def _first_file(rows: DataFrame) -> DataFrame:
@@ -42,19 +42,19 @@ def command_body(lines: DataFrame, command: str) -> DataFrame:
     dump = lines.where(F.col("path").rlike(DUMP_FILE))
     text = F.rtrim(F.col("text"), F.lit("\r"))
     echo = extract(trimmed(text), COMMAND_ECHO)
-    rows = dump.select(*FILE, "entry_ord", "line_no", computed(text.alias("text"), echo.alias("echo")))
+    rows = dump.select(*FILE, "line_no", computed(text.alias("text"), echo.alias("echo")))
     wanted = rows.where(F.col("echo").rlike(any_case(command)))
     first = wanted.groupBy(*FILE).agg(F.min("line_no").alias("command_at"))
     mark = F.when(F.col("echo").isNotNull(), F.col("line_no"))
     ordered = by_lines(rows.withColumn("_echo_at", mark)).carry({"command_at": "_echo_at"}).rows()
     body = ordered.where(F.col("echo").isNull()).join(first, [*FILE, "command_at"], "left_semi")
-    return _first_file(body.select(*FILE, "entry_ord", "line_no", "text"))
+    return _first_file(body.select(*FILE, "line_no", "text"))
 
 
 def system_info(lines: DataFrame) -> DataFrame:
     """(file_id, ord, key, value) pairs of the system-information block."""
     clean = trimmed(F.col("text"))
-    rows = lines.where(F.col("path").rlike(DUMP_FILE)).select(*FILE, "entry_ord", "line_no", clean.alias("text"))
+    rows = lines.where(F.col("path").rlike(DUMP_FILE)).select(*FILE, "line_no", clean.alias("text"))
     key = extract(F.col("text"), SYSTEM_PAIR)
     rows = rows.select("*", computed(key.alias("key")))
 

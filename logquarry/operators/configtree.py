@@ -11,17 +11,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logquarry.functions.text import first_case
-from logquarry.operators.ordered import by_range
+from logquarry.functions.text import computed, first_case
+from logquarry.operators.ordered import by_lines, by_range
 
 # File tiers, limits, management tags, sections and interface kinds.
 TIERS = (
     r"(?i)(^|/)opt/pancfg/mgmt/",
     r"(?i)(running|candidate|merged|pushed|panorama)[-_]?.*config.*\.xml$|mergesp\.xml$",
 )
-SNIFF_CHARS = 4096
-MAX_CONFIG_BYTES = 192 << 20
-MAX_TRIES = 8
 MANAGED_TAGS = ("pre-rulebase", "post-rulebase", "device-group", "template-stack", "template", "panorama")
 RULEBASES = (("pre-rulebase", "pre"), ("rulebase", "local"), ("post-rulebase", "post"))
 INTERFACE_KINDS = {"Ethernet": "ethernet", "VLAN": "vlan", "Loopback": "loopback", "Tunnel": "tunnel", "SD-WAN": "sdwan"}
@@ -29,7 +26,6 @@ ZONE_MEMBER_KINDS = ("layer3", "layer2", "virtual-wire", "tap")
 ZONE_TYPES = {"layer3": "Layer3", "layer2": "Layer2", "virtual-wire": "Virtual Wire", "tap": "Tap", "external": "External"}
 LAYER_TYPES = {"layer3": "Layer3", "virtual-wire": "Virtual Wire", "layer2": "Layer2"}
 ROUTER_PROTOCOLS = {"OSPF": "ospf", "OSPFv3": "ospfv3", "BGP": "bgp", "RIPv2": "rip", "Multicast": "multicast"}
-GENERIC_ENTRIES = 25
 # (group, label, tag, parent tag)
 SECTIONS = (
     ("policies", "Security", "security", "rulebase"),
@@ -125,7 +121,7 @@ SECTION_FIELDS = {
     "tag": (("Color", "color"), ("Comments", "comments")),
 }
 
-DOCUMENT = ("file_id", "path")
+DOCUMENT = ("file_id", "entry_ord", "path")
 NODE = (*DOCUMENT, "node_id")
 
 
@@ -134,40 +130,42 @@ def rank_candidates(entries: DataFrame) -> DataFrame:
     rows = entries.where(F.lower("path").endswith(".xml"))
     path = F.col("path")
     tier = first_case([(path.rlike(p), F.lit(i)) for i, p in enumerate(TIERS)], F.lit(len(TIERS)))
-    rows = rows.select("file_id", "path", "size", tier.alias("tier"), (-F.col("size")).alias("_smaller"))
-    return by_range(rows, ("file_id",), ("tier", "_smaller", "path")).positions("rank").rows().drop("_smaller")
+    rows = rows.select(*DOCUMENT, "size", tier.alias("tier"), (-F.col("size")).alias("_smaller"))
+    return by_range(rows, ("file_id",), ("tier", "_smaller", "path", "entry_ord")).positions("rank").rows().drop("_smaller")
 
 
 def root_tags(lines: DataFrame) -> DataFrame:
-    """Root element of every XML file, looked for in its first characters."""
-    head = lines.where(F.lower("path").endswith(".xml") & (F.col("line_no") <= SNIFF_CHARS))
-    piece = F.struct("line_no", F.substring("text", 1, SNIFF_CHARS).alias("text"))
-    heads = head.groupBy(*DOCUMENT).agg(F.array_sort(F.collect_list(piece)).alias("p"))
-    text = F.substring(F.array_join(F.transform("p", lambda x: x["text"]), "\n"), 1, SNIFF_CHARS)
-    opening = r"(?s)^(?:[^<]|<\?.*?\?>|<!--.*?-->|<![^-].*?>)*<([A-Za-z_][^\s/>]*)[\s/>]"
-    return heads.select(*DOCUMENT, F.regexp_replace(F.regexp_extract(text, opening, 1), "^.*:", "").alias("root"))
+    """Root element of every XML file: the first start tag outside comments."""
+    clean = F.regexp_replace(F.col("text"), r"<!--.*?-->|<\?.*?\?>", "")
+    rows = lines.where(F.lower("path").endswith(".xml")).select(*DOCUMENT, "line_no", computed(clean.alias("clean")))
+    opened, closed = F.instr("clean", "<!--"), F.instr("clean", "-->")
+    mark = F.when(opened > closed, "open").when(closed > 0, "closed")
+    rows = by_lines(rows.withColumn("_mark", mark), DOCUMENT).carry(above={"inside": "_mark"}).rows()
+    after = F.when(closed > 0, F.expr("substring(clean, instr(clean, '-->') + 3)")).otherwise("")
+    shown = F.substring_index(F.when(F.coalesce(F.col("inside") == "open", F.lit(False)), after).otherwise(F.col("clean")), "<!--", 1)
+    tag = F.regexp_extract(shown, r"<([A-Za-z_][^\s/>]*)", 1)
+    first = F.min_by(tag, F.when(tag != "", F.col("line_no"))).alias("root")
+    roots = rows.groupBy(*DOCUMENT).agg(first)
+    return roots.select(*DOCUMENT, F.regexp_replace(F.coalesce("root", F.lit("")), "^.*:", "").alias("root"))
 
 
 def choose_config(entries: DataFrame, lines: DataFrame) -> DataFrame:
     """Every candidate with the reason it was passed over, or picked."""
     ranked = rank_candidates(entries).join(root_tags(lines), list(DOCUMENT), "left")
-    fits = (F.col("size") > 0) & (F.col("size") <= MAX_CONFIG_BYTES)
-    rows = by_range(ranked.withColumn("_fits", fits.cast("int")), ("file_id",), ("rank",)).running({"tries": "_fits"}).rows()
-    good = fits & (F.col("tries") <= MAX_TRIES) & (F.col("root") == "config")
-    picked = rows.where(good).groupBy("file_id").agg(F.min("rank").alias("picked_rank"))
-    rows = rows.join(picked, "file_id", "left")
+    fits = F.col("size") > 0
+    picked = ranked.where(fits & (F.col("root") == "config")).groupBy("file_id").agg(F.min("rank").alias("picked_rank"))
+    rows = ranked.join(picked, "file_id", "left")
     root = F.coalesce("root", F.lit(""))
     reason = first_case(
         [
             (F.col("rank") == F.col("picked_rank"), F.lit("")),
             (F.col("rank") > F.col("picked_rank"), F.lit("not needed")),
-            (~fits, F.lit("size out of range")),
-            (F.col("tries") > MAX_TRIES, F.lit("not attempted")),
+            (~fits, F.lit("empty")),
         ],
         F.concat(F.lit("root element is <"), root, F.lit(">, not <config>")),
     )
     chosen = F.coalesce(F.col("rank") == F.col("picked_rank"), F.lit(False))
-    return rows.select("file_id", "path", "size", "tier", "rank", chosen.alias("picked"), reason.alias("reason"))
+    return rows.select(*DOCUMENT, "size", "tier", "rank", chosen.alias("picked"), reason.alias("reason"))
 
 
 def managed_markers(lines: DataFrame) -> DataFrame:
@@ -234,15 +232,19 @@ def field_table(entries: DataFrame, nodes: DataFrame, fields: Sequence[tuple[str
 def section_table(nodes: DataFrame, tag: str, parent: str | None = None) -> DataFrame:
     """A catalogue section with its columns; policies come from all three rulebases."""
     entries = policy_entries(nodes, tag) if parent == "rulebase" else section_entries(nodes, tag, parent)
-    return field_table(entries, nodes, SECTION_FIELDS[tag])
+    if tag in SECTION_FIELDS:
+        return field_table(entries, nodes, SECTION_FIELDS[tag])
+    # no listed columns: every child's text by its tag
+    cell = F.struct("field", "collected")
+    cells = children(nodes).where(F.col("field") != "entry").groupBy(*NODE).agg(F.map_from_entries(F.array_sort(F.collect_list(cell))).alias("fields"))
+    kept = [c for c in entries.columns if c in (*NODE, "name", "place", "origin", "origin_ord")]
+    return entries.select(*kept).join(cells, list(NODE), "left")
 
 
 def generic_fields(entries: DataFrame, nodes: DataFrame, keys: Sequence[str] = DOCUMENT) -> DataFrame:
-    """(field, ord) of the distinct child tags of a section's first entries, in the order they appear."""
-    window = Window.partitionBy(*keys).orderBy("place")
-    first = entries.select(*NODE, "place").withColumn("rn", F.row_number().over(window)).where(F.col("rn") <= GENERIC_ENTRIES)
-    held = children(nodes).where(F.col("field") != "entry").join(first.select(*NODE, "rn"), list(NODE))
-    seen = held.groupBy(*keys, "field").agg(F.min(F.struct("rn", "ord")).alias("seen"))
+    """(field, ord) of the distinct child tags of a section's entries, in the order they appear."""
+    held = children(nodes).where(F.col("field") != "entry").join(entries.select(*NODE, "place"), list(NODE))
+    seen = held.groupBy(*keys, "field").agg(F.min(F.struct("place", "ord")).alias("seen"))
     return seen.withColumn("ord", F.row_number().over(Window.partitionBy(*keys).orderBy("seen"))).drop("seen")
 
 

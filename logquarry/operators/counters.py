@@ -187,7 +187,7 @@ OWN_FORMAT = (
     "netstat_stats", "processes", "filesystem", "top", "panio_infreq",
 )
 
-FILE = ("file_id", "path")
+FILE = ("file_id", "entry_ord", "path")
 BLOCK = (*FILE, "block_at")
 SAMPLE = "array<struct<name:string,value:double,minutes:int>>"
 
@@ -237,7 +237,6 @@ def blocks(lines: DataFrame, monitor_file: str = MONITOR_FILE) -> DataFrame:
     lines = lines.where(F.col("path").rlike(monitor_file))
     marked = lines.select(
         *FILE,
-        "entry_ord",
         "line_no",
         F.regexp_extract("path", monitor_file, 1).alias("plane"),
         trimmed(F.col("text")).alias("clean"),
@@ -249,7 +248,7 @@ def blocks(lines: DataFrame, monitor_file: str = MONITOR_FILE) -> DataFrame:
     )
     rows = by_lines(marked).carry({"block": "_block", "ts": "_ts"}).rows()
     return rows.where(F.col("ts").isNotNull() & (F.col("line_no") > F.col("block.at"))).select(
-        *FILE, "entry_ord", "line_no", "plane", "clean", "ts", F.col("block.at").alias("block_at"), F.col("block.name").alias("block")
+        *FILE, "line_no", "plane", "clean", "ts", F.col("block.at").alias("block_at"), F.col("block.name").alias("block")
     )
 
 
@@ -534,9 +533,9 @@ def socket_queues(rows: DataFrame) -> DataFrame:
     )
     base = _name("__netstat_detail__", sanitise(f[0]), F.lit("_"), sanitise(program))
     sockets = sockets.select(
-        *BLOCK, "entry_ord", "ts", base.alias("base"), number_or_zero(f[1]).alias("recv_q"), number_or_zero(f[2]).alias("send_q")
+        *BLOCK, "ts", base.alias("base"), number_or_zero(f[1]).alias("recv_q"), number_or_zero(f[2]).alias("send_q")
     )
-    sums = sockets.groupBy(*BLOCK, "entry_ord", "ts", "base").agg(F.sum("recv_q").alias("r"), F.sum("send_q").alias("s"))
+    sums = sockets.groupBy(*BLOCK, "ts", "base").agg(F.sum("recv_q").alias("r"), F.sum("send_q").alias("s"))
     queues = F.array(
         F.struct(F.concat("base", F.lit("_recv_q")).alias("name"), F.col("r").alias("value")),
         F.struct(F.concat("base", F.lit("_send_q")).alias("name"), F.col("s").alias("value")),

@@ -42,7 +42,7 @@ PATCH_FACTS = {
     "vendor": "vendor", "installed": "installed", "description": "description",
 }
 
-FILE = ("file_id", "path")
+FILE = ("file_id", "entry_ord", "path")
 DOCUMENT = ("file_id", "path")
 
 
@@ -52,22 +52,22 @@ def report_lines(lines: DataFrame) -> DataFrame:
     logs = lines.where(base.rlike(SERVICE_LOGS))
     text = F.col("text")
     mark = _marker(text)
-    stamped = logs.select(*FILE, "entry_ord", "line_no", "text", mark.alias("mark"))
+    stamped = logs.select(*FILE, "line_no", "text", mark.alias("mark"))
     stamped = stamped.withColumn("_mark", F.when(F.col("mark").isNotNull(), F.struct(F.col("line_no").alias("at"), F.col("mark").alias("kind"))))
     rows = by_lines(stamped).carry(above={"open": "_mark"}).rows()
     inside = F.col("open.kind") == "start"
     body = rows.where(inside & F.col("mark").isNull()).withColumn("block_at", F.col("open.at"))
     ends = rows.where(inside & (F.col("mark") == "end")).select(*FILE, F.col("open.at").alias("block_at"))
-    whole = body.groupBy(*FILE, "entry_ord", "block_at").agg(F.max(F.col("text").contains(REPORT_END)).alias("whole"))
+    whole = body.groupBy(*FILE, "block_at").agg(F.max(F.col("text").contains(REPORT_END)).alias("whole"))
     whole = whole.where("whole").join(ends, [*FILE, "block_at"], "left_semi")
     rank = F.struct(age(base_name(F.col("path"))).alias("age"), (-F.col("entry_ord")).alias("later"), (-F.col("block_at")).alias("last"))
-    best = whole.groupBy("file_id").agg(F.min_by(F.struct("path", "block_at"), rank).alias("b")).select("file_id", "b.*")
+    best = whole.groupBy("file_id").agg(F.min_by(F.struct("entry_ord", "path", "block_at"), rank).alias("b")).select("file_id", "b.*")
     picked = body.join(best, [*FILE, "block_at"], "left_semi")
     trace, portal = groups(F.col("text"), TRACE_LINE, 8), groups(F.col("text"), PORTAL_LINE, 8)
-    picked = picked.select(*FILE, "entry_ord", "line_no", F.coalesce(trace[7], portal[7], F.col("text")).alias("text"))
+    picked = picked.select(*FILE, "line_no", F.coalesce(trace[7], portal[7], F.col("text")).alias("text"))
     files = lines.where(base.rlike(REPORT_FILE)).join(best.select("file_id"), "file_id", "left_anti")
     last = files.groupBy("file_id").agg(F.max("entry_ord").alias("entry_ord"))
-    files = files.join(last, ["file_id", "entry_ord"], "left_semi").select(*FILE, "entry_ord", "line_no", "text")
+    files = files.join(last, ["file_id", "entry_ord"], "left_semi").select(*FILE, "line_no", "text")
     return _from_root(picked.unionByName(files))
 
 
@@ -82,7 +82,7 @@ def _from_root(rows: DataFrame) -> DataFrame:
     joined = rows.join(first, list(FILE), "left").where(F.col("root_at").isNull() | (F.col("line_no") >= F.col("root_at")))
     cut = F.expr("substring(text, instr(text, '<hip-report'))")
     text = F.when(F.col("line_no") == F.col("root_at"), cut).otherwise(F.col("text"))
-    return joined.select(*FILE, "entry_ord", "line_no", text.alias("text"))
+    return joined.select(*FILE, "line_no", text.alias("text"))
 
 
 def _under(*tags: str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logquarry.functions.text import first_case, normal_path
 
-# Marker paths, labels and limits.
+# Marker paths and labels.
 FIREWALL_MARKERS = (
     r"(?i)(^|/)opt/pancfg/",
     r"(?i)(^|/)tmp/cli/",
@@ -32,8 +32,6 @@ AGENT_MARKERS = (
 )
 LABELS = {"firewall": "Firewall tech-support", "gp-agent": "GlobalProtect agent"}
 UNKNOWN_LABEL = "Unrecognised archive"
-MAX_MARKERS = 6
-MAX_BUNDLE_ENTRIES = 200
 FIREWALL_PASS_KINDS = ("firewall", "unknown")
 AGENT_PASS_KINDS = ("gp-agent",)
 
@@ -47,11 +45,11 @@ def _first_hits(patterns: Sequence[str]) -> Column:
     return F.array_sort(F.array_compact(F.array(*hits)))
 
 
-def detect_kind(entries: DataFrame) -> DataFrame:
+def detect_kind(entries: DataFrame, max_bundle_entries: int | None = None) -> DataFrame:
     """Kind, marker paths and number of distinct markers of every archive.
 
     Any firewall marker decides; the agent count is only reported without one. Archives without
-    markers count as agent bundles when they are small and mostly logs.
+    markers count as agent bundles when they are mostly logs and, if a limit is named, not larger than it.
     """
     rows = entries.select("file_id", "entry_ord", normal_path(F.col("path")).alias("path")).where(F.col("path") != "")
     base = F.lower(F.substring_index("path", "/", -1))
@@ -62,18 +60,20 @@ def detect_kind(entries: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.count_if(is_log).alias("logs"),
     )
-    bundle = (F.col("n") <= MAX_BUNDLE_ENTRIES) & (F.col("logs") >= 2) & (F.col("logs") * 2 >= F.col("n"))
+    bundle = (F.col("logs") >= 2) & (F.col("logs") * 2 >= F.col("n"))
+    if max_bundle_entries is not None:
+        bundle = bundle & (F.col("n") <= max_bundle_entries)
     plain = (F.size("firewall") == 0) & (F.size("agent") == 0) & bundle
-    # only bundles of at most MAX_BUNDLE_ENTRIES entries are collected
+    # the log paths of one archive, which one task has listed
     named = rows.where(F.lower("path").contains(".log")).join(facts.where(plain).select("file_id"), "file_id", "left_semi")
     named = named.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("entry_ord", "path"))).alias("shown"))
     joined = facts.withColumn("plain", plain).join(named, "file_id", "left")
 
     def paths(column: str) -> Column:
-        return F.slice(F.array_distinct(F.transform(column, lambda h: h["path"])), 1, MAX_MARKERS)
+        return F.array_distinct(F.transform(column, lambda h: h["path"]))
 
     firewall, agent = F.size("firewall") > 0, F.size("agent") > 0
-    shown = F.slice(F.transform("shown", lambda h: h["path"]), 1, MAX_MARKERS)
+    shown = F.transform("shown", lambda h: h["path"])
     markers = F.when(firewall, paths("firewall")).when(agent, paths("agent")).when(F.col("plain"), shown)
     return joined.select(
         "file_id",

@@ -19,7 +19,6 @@ INVOKED = r"([\w./-]+)\s+invoked\s+oom-killer"
 KILLED = r"(?:out of memory:\s*)?kill(?:ed)?\s+process\s+(\d+)\s+\(([^)]+)\)"
 SCORE = r"score\s+(\d+)"
 KERNEL_LOG_FILE = r"(?i)(dmesg|messages|kern|syslog|show_log_system|_log_|\.log)"
-MAX_KERNEL_LOG_BYTES = 64 << 20
 MARKER_WORDS = ("oom", "out of memory", "kill process", "killed process")
 AVAILABLE = (("__memorydetail__memavailable", 1.0), ("__memory__mem_available", 1.0), ("__top__avail_mem", 1024.0))
 TOTAL = (("__memorydetail__memtotal", 1.0), ("__memory__mem_total", 1.0), ("__top__mem_total", 1024.0))
@@ -31,7 +30,6 @@ KERNEL_SERIES = {
 }
 RESTART_FRACTION = 0.5
 MIN_SUSPECT_PCT = 5.0
-MAX_SUSPECTS = 12
 USER_SPACE_EXPLAINS_PCT = 50.0
 LARGE_DROP_KB = 2 * 1024 * 1024
 CONFIG_FILE = r"(?i)(^|/)mergesp\.xml$"
@@ -44,11 +42,9 @@ TIES = ("entry_ord", "line_no", "emit_ord")
 
 
 def kernel_lines(lines: DataFrame, entries: DataFrame) -> DataFrame:
-    """Lines of files that may hold kernel messages and are not implausibly large."""
-    files = entries.where(
-        F.col("path").rlike(KERNEL_LOG_FILE) & (F.col("size") > 0) & (F.col("size") <= MAX_KERNEL_LOG_BYTES)
-    )
-    return lines.join(files.select("file_id", "path"), ["file_id", "path"], "left_semi")
+    """Lines of files that may hold kernel messages."""
+    files = entries.where(F.col("path").rlike(KERNEL_LOG_FILE) & (F.col("size") > 0))
+    return lines.join(files.select("file_id", "entry_ord"), ["file_id", "entry_ord"], "left_semi")
 
 
 def oom_events(lines: DataFrame, year: int) -> DataFrame:
@@ -207,12 +203,13 @@ def duplicates(counters: DataFrame, growth: DataFrame, ties: Sequence[str] = TIE
     return found.join(growth.where(F.col("pids") > 1).select(*PROCESS), list(PROCESS), "left_semi")
 
 
-def suspects(growth: DataFrame, limit: int = MAX_SUSPECTS) -> DataFrame:
-    """The largest growths of each plane; small shares are skipped unless the process restarted."""
+def suspects(growth: DataFrame, limit: int | None = None) -> DataFrame:
+    """Growths of each plane ranked by size, the first ones only if a limit is named; small shares are skipped unless the process restarted."""
     small = (F.col("drop_kb") > 0) & (F.col("pct_of_drop") < MIN_SUSPECT_PCT) & ~F.col("restarted")
     window = Window.partitionBy(*PLANE).orderBy(F.col("growth_kb").desc(), "process")
     kept = growth.where(~F.coalesce(small, F.lit(False)))
-    return kept.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= limit)
+    ranked = kept.withColumn("rank", F.row_number().over(window))
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
 def explained(growth: DataFrame, trend: DataFrame) -> DataFrame:
@@ -374,10 +371,10 @@ def config_size_risk(planes: DataFrame, entries: DataFrame, counters: DataFrame,
     )
 
 
-def overlay_series(trend: DataFrame, top: DataFrame, counters: DataFrame, shown: int = 3, limit: int = 12) -> DataFrame:
-    """Names to plot: the trend counter, then every pid series of the top suspects, at most `limit` per plane."""
+def overlay_series(trend: DataFrame, top: DataFrame, counters: DataFrame) -> DataFrame:
+    """Names to plot, numbered: the trend counter, then every pid series of the suspects in `top` by their rank."""
     names = resident_samples(counters).select(*PROCESS, "name").distinct()
-    chosen = names.join(top.where(F.col("rank") <= shown).select(*PROCESS, "rank"), list(PROCESS))
+    chosen = names.join(top.select(*PROCESS, "rank"), list(PROCESS))
     rows = trend.select(*PLANE, F.col("counter").alias("name"), F.lit(0).alias("rank")).unionByName(chosen.select(*PLANE, "name", "rank"))
     window = Window.partitionBy(*PLANE).orderBy("rank", "name")
-    return rows.withColumn("ord", F.row_number().over(window)).where(F.col("ord") <= limit).select(*PLANE, "ord", "name")
+    return rows.withColumn("ord", F.row_number().over(window)).select(*PLANE, "ord", "name")

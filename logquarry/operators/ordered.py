@@ -9,7 +9,7 @@ Two ways to cut:
 * `by_range`: a range partitioning on (keys, order); the partition number is the chunk, fixed by writing
   the table, so that both uses of it (rows and hand-over rows) agree even after an executor is lost.
 
-Inputs whose estimated size is below `WHOLE_LIMIT` use one chunk per key.
+Every input takes this one path, whatever its size.
 """
 
 from __future__ import annotations
@@ -23,28 +23,18 @@ from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
 CHUNK_LINES = 65536
-WHOLE_LIMIT = 32 << 20
-PARTITION_BYTES = 128 << 20
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimised plan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def is_small(df: DataFrame, limit: int | None = None) -> bool:
-    return estimated_bytes(df) <= (WHOLE_LIMIT if limit is None else limit)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the session names; only a local session may fall back to a scratch folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
+    """The shared folder that `spark.checkpoint.dir` names; only a local session without it gets one of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="logquarry-"))
-    return context.getCheckpointDir()
+        named = tempfile.mkdtemp(prefix="logquarry-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -58,14 +48,6 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def grounded(df: DataFrame, limit: int | None) -> tuple[DataFrame, bool]:
-    """The table and whether it is small; an estimate above the limit, as after joins, is settled by writing it."""
-    if is_small(df, limit):
-        return df, True
-    df = settle(df)
-    return df, is_small(df, limit)
-
-
 @dataclass(frozen=True)
 class Ordered:
     """A DataFrame with a chunk column, its keys and its row order (all ascending)."""
@@ -73,7 +55,6 @@ class Ordered:
     df: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    whole: bool
 
     def _rows(self, back: bool = False):
         order = [F.col(c).desc() if back else F.col(c).asc() for c in self.order]
@@ -118,8 +99,6 @@ class Ordered:
             for new, old in (columns or {}).items():
                 local[new] = F.last(F.col(old), ignorenulls=True).over(frame)
                 incoming[new] = (old, back)
-        if self.whole:
-            return self._with(self.df.select("*", *[c.alias(n) for n, c in local.items()]))
         tails = {}
         for old, back in set(incoming.values()):
             rank = F.when(F.col(old).isNotNull(), F.struct(*self.order))
@@ -143,9 +122,6 @@ class Ordered:
     def shift(self, previous: dict[str, str] | None = None, next: dict[str, str] | None = None) -> Ordered:
         """Values of the previous and of the next row, null at the ends of a key."""
         sides = [(c, back) for c, back in ((previous, False), (next, True)) if c]
-        if self.whole:
-            local = [F.lag(o).over(self._rows(back)).alias(n) for c, back in sides for n, o in c.items()]
-            return self._with(self.df.select("*", *local))
         ends, entry, local, out = [], [], [], []
         for columns, back in sides:
             tag, row = ("n" if back else "p"), F.struct(*[F.col(o).alias(n) for n, o in columns.items()])
@@ -162,10 +138,6 @@ class Ordered:
     def positions(self, number: str = "rn", total: str | None = None) -> Ordered:
         """1-based row number inside the key and, if named, the number of rows of the key."""
         df = self.df.withColumn(number, F.row_number().over(self._rows()).cast("long"))
-        if self.whole:
-            if total:
-                df = df.withColumn(total, F.count(F.lit(1)).over(Window.partitionBy(*self.keys)))
-            return self._with(df)
         sizes = self.df.groupBy(*self.keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
         entry = sizes.select(
             *self.keys,
@@ -184,8 +156,6 @@ class Ordered:
         """Running `sum` or `max` of a column in row order, as {new column: source column}."""
         fn = {"sum": F.sum, "max": F.max}[how]
         frame = self._rows().rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
-        if self.whole:
-            return self._with(self.df.select("*", *[fn(o).over(frame).alias(n) for n, o in columns.items()]))
         tails = self.df.groupBy(*self.keys, CHUNK).agg(*[fn(o).alias(f"_in_{n}") for n, o in columns.items()])
         entry = tails.select(
             *self.keys, CHUNK, *[fn(f"_in_{n}").over(self._chunks()).alias(f"_in_{n}") for n in columns]
@@ -207,30 +177,22 @@ class Ordered:
 
 def by_lines(
     df: DataFrame,
-    keys: tuple[str, ...] = ("file_id", "path"),
+    keys: tuple[str, ...] = ("file_id", "entry_ord", "path"),
     order: tuple[str, ...] = ("line_no",),
     line: str = "line_no",
-    lines: int = CHUNK_LINES,
-    limit: int | None = None,
+    lines: int | None = None,
 ) -> Ordered:
     """Cut on the line number; order columns in front of it are part of the chunk."""
-    df, small = grounded(df, limit)
-    if small:
-        return Ordered(df.withColumn(CHUNK, F.lit(0)), tuple(keys), tuple(order), True)
-    block, front = F.floor(F.col(line) / lines), order[: order.index(line)]
+    block, front = F.floor(F.col(line) / (lines or CHUNK_LINES)), order[: order.index(line)]
     chunk = F.struct(*front, block.alias("block")) if front else block
-    return Ordered(df.withColumn(CHUNK, chunk), tuple(keys), tuple(order), False)
+    return Ordered(df.withColumn(CHUNK, chunk), tuple(keys), tuple(order))
 
 
-def by_range(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], limit: int | None = None) -> Ordered:
+def by_range(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> Ordered:
     """Cut a global range partitioning on (keys, order) at its partition borders."""
-    df, small = grounded(df, limit)
-    if small:
-        return Ordered(df.withColumn(CHUNK, F.lit(0)), tuple(keys), tuple(order), True)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(parts, -(-estimated_bytes(df) // PARTITION_BYTES))
     ranged = df.repartitionByRange(parts, *keys, *order).withColumn(CHUNK, F.spark_partition_id())
-    return Ordered(settle(ranged), tuple(keys), tuple(order), False)
+    return Ordered(settle(ranged), tuple(keys), tuple(order))
 
 
 def median_by_position(df: DataFrame, keys: tuple[str, ...], value: str, ties: tuple[str, ...], name: str) -> DataFrame:

@@ -9,16 +9,13 @@ from pyspark.sql import functions as F
 
 from logquarry.functions.linefields import FieldCondition
 from logquarry.functions.matching import Condition
-from logquarry.functions.text import clip, fold
+from logquarry.functions.text import clip, fold, folded
 from logquarry.operators.ordered import by_lines
 
-# Caps of one search.
-MAX_RESULTS = 2000
-MAX_FILE_HITS = 500
+# Fixed value: the most context lines that a query text may ask for.
 MAX_INLINE_CONTEXT = 30
-COMMON_TRIGRAM_FILES = 2048
 
-FILE = ("file_id", "path")
+FILE = ("file_id", "entry_ord", "path")
 HIT = (*FILE, "line_no")
 
 
@@ -33,7 +30,7 @@ def _gate(condition: Condition, text: Column) -> Column:
     if not alternatives or len(alternatives) != 1:
         return condition.on(text)
     longest = max(alternatives[0], key=len)
-    return F.when(fold(text).contains(longest.lower().upper()), condition.on(text)).otherwise(False)
+    return F.when(fold(text).contains(folded(longest)), condition.on(text)).otherwise(False)
 
 
 def match_lines(
@@ -57,7 +54,7 @@ def line_hits(
     before: int = 0,
     after: int = 0,
     keep: FieldCondition | None = None,
-    file_cap: int | None = MAX_FILE_HITS,
+    file_cap: int | None = None,
 ) -> DataFrame:
     """Hits marked `filtered` when the field filter rejects them; a rejected hit stays only to anchor context."""
     passes = keep.on(F.col("text")) if keep else F.lit(True)
@@ -70,20 +67,25 @@ def line_hits(
 
 
 def context_lines(
-    hits: DataFrame, lines: DataFrame, before: int, after: int, keep: FieldCondition | None = None
+    hits: DataFrame,
+    lines: DataFrame,
+    before: int,
+    after: int,
+    keep: FieldCondition | None = None,
+    clip_chars: int | None = None,
 ) -> DataFrame:
     """One row per context line of each hit: the lines above and below in the same file.
 
     Every hit asks for its line numbers and the lines are fetched by an equality join on
-    (file, path, line number), so no file has to be sorted or held in one task.
+    (file, line number), so no file has to be sorted or held in one task.
     """
     offsets = F.array(*[F.lit(o) for o in range(-before, after + 1) if o])
     wanted = hits.select(*FILE, F.col("line_no").alias("hit_line"), F.explode(offsets).alias("_offset"))
     wanted = wanted.withColumn("line_no", F.col("hit_line") + F.col("_offset"))
     rows = wanted.join(lines.select(*HIT, "text"), list(HIT))
-    above, shown = F.col("_offset") < 0, clip(F.col("text"))
+    above, shown = F.col("_offset") < 0, clip(F.col("text"), clip_chars)
     if keep:
-        rows = rows.where(F.when(above, keep.on(shown)).otherwise(keep.on(F.col("text"))))
+        rows = rows.where(keep.on(clip(F.col("text"))))
     return rows.select(*FILE, "hit_line", "line_no", shown.alias("text"), above.alias("before"))
 
 
@@ -95,15 +97,16 @@ def search(
     keep: FieldCondition | None = None,
     paths: Sequence[str] = (),
     candidates: DataFrame | None = None,
-    file_cap: int | None = MAX_FILE_HITS,
+    file_cap: int | None = None,
+    clip_chars: int | None = None,
 ) -> DataFrame:
     """Line hits with their context as an array of at most `before + after` lines."""
     hits = line_hits(match_lines(lines, condition, paths, candidates), before, after, keep, file_cap)
-    hits = hits.select("file_id", "path", "entry_ord", "line_no", clip(F.col("text")).alias("text"), "filtered")
+    hits = hits.select(*HIT, clip(F.col("text"), clip_chars).alias("text"), "filtered")
     if not before and not after:
         empty = F.array().cast("array<struct<line_no:bigint,text:string,before:boolean>>")
         return hits.withColumn("context", empty)
-    context = context_lines(hits, lines, before, after, keep)
+    context = context_lines(hits, lines, before, after, keep, clip_chars)
     nested = context.groupBy(*FILE, F.col("hit_line").alias("line_no")).agg(
         F.array_sort(F.collect_list(F.struct("line_no", "text", "before"))).alias("context")
     )
@@ -112,22 +115,22 @@ def search(
 
 
 def outcome(
-    results: DataFrame, files: DataFrame, file_id: str | None = None, limit: int = MAX_RESULTS
+    results: DataFrame, files: DataFrame, file_id: str | None = None, limit: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """The first `limit` results in archive order, file-name hits before line hits, and a summary row per archive."""
-    rows = files.select("file_id", "path", "entry_ord", F.lit("file").alias("type")).unionByName(
+    """Results in archive order, file-name hits before line hits, and a summary row per archive.
+
+    A limit keeps the first so many rows; the summary counts all of them and says whether it cut any.
+    """
+    rows = files.select(*FILE, F.lit("file").alias("type")).unionByName(
         results.withColumn("type", F.lit("line")), allowMissingColumns=True
     )
     if file_id is not None:
         rows = rows.where(F.col("file_id") == file_id)
-    kept = rows.orderBy("file_id", "entry_ord", "type", F.col("line_no").asc_nulls_first()).limit(limit)
-    per_file = rows.groupBy(*FILE).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("type") == "line").alias("hits"))
-    summary = per_file.groupBy("file_id").agg(
-        F.sum("n").alias("total"),
-        (F.sum("n") >= limit).alias("truncated"),
-        F.count_if(F.col("hits") >= MAX_FILE_HITS).alias("capped_files"),
-    )
-    return kept, summary
+    kept = rows.orderBy("file_id", "entry_ord", "type", F.col("line_no").asc_nulls_first())
+    total = F.count(F.lit(1)).alias("total")
+    cut = F.lit(False) if limit is None else F.col("total") >= limit
+    summary = rows.groupBy("file_id").agg(total, F.count_if(F.col("type") == "line").alias("line_hits"))
+    return kept if limit is None else kept.limit(limit), summary.withColumn("truncated", cut)
 
 
 def blocks(results: DataFrame) -> DataFrame:
@@ -164,22 +167,35 @@ def match_count(shown: DataFrame) -> DataFrame:
     return shown.groupBy(*FILE).agg(F.count_if("match").alias("matches"))
 
 
-def trigrams(lines: DataFrame) -> DataFrame:
-    """Distinct case-folded three-character sequences per file."""
-    grams = F.regexp_extract_all(fold(F.col("text")), F.lit(r"(?s)(?=(.{3}))"), 1)
-    return lines.select(*FILE, F.explode(F.array_distinct(grams)).alias("tri")).distinct()
+def trigrams(lines: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
+    """Distinct case-folded three-character sequences per file; of the named ones if any are.
 
+    Saved once, the whole table serves any search; one search needs no more than its own sequences.
+    """
+    grams = F.array_distinct(F.regexp_extract_all(fold(F.col("text")), F.lit(r"(?s)(?=(.{3}))"), 1))
+    if only is not None:
+        grams = F.array_intersect(grams, F.array(*[F.lit(t) for t in only]).cast("array<string>"))
+    return lines.select(*FILE, F.explode(grams).alias("tri")).distinct()
+
+
+def split_common(grams: DataFrame, max_files: int) -> tuple[DataFrame, DataFrame]:
+    """(selective trigrams, trigrams found in more than `max_files` files of one archive).
 
-def split_common(grams: DataFrame, max_files: int = COMMON_TRIGRAM_FILES) -> tuple[DataFrame, DataFrame]:
-    """(selective trigrams, trigrams found in too many files of one archive to prune anything there)."""
+    The latter prune next to nothing; a search skips them, which keeps every hit.
+    """
     frequency = grams.groupBy("file_id", "tri").agg(F.count(F.lit(1)).alias("files"))
     common = frequency.where(F.col("files") > max_files).select("file_id", "tri")
     return grams.join(common, ["file_id", "tri"], "left_anti"), common
 
 
 def literal_trigrams(literal: str) -> list[str]:
-    folded = "".join(c.lower().upper() for c in literal)
-    return sorted({folded[i : i + 3] for i in range(len(folded) - 2)})
+    whole = folded(literal)
+    return sorted({whole[i : i + 3] for i in range(len(whole) - 2)})
+
+
+def needed_trigrams(condition: Condition) -> list[str]:
+    """The sequences that `candidates` looks at for a condition."""
+    return sorted({t for group in condition.literal_groups() or () for x in group for t in literal_trigrams(x)})
 
 
 def candidates(files: DataFrame, grams: DataFrame, common: DataFrame, condition: Condition) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.functions.text import computed, extract, first_case, groups, trimmed, unix
+from logquarry.functions.text import MARK, computed, extract, first_case, groups, trimmed, unix
 from logquarry.functions.timestamps import agent_timestamp, iso_ntz, line_timestamp
 from logquarry.operators.ordered import by_lines
 
@@ -27,9 +27,8 @@ PORTAL_LINE = (
 )
 EMBEDDED_ENTRY = r"(?<=.)(\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}:\d{3}\s*\[)"
 SNIFF_LINES = 20
-PAGE_SIZE = 50000
 
-FILE = ("file_id", "path")
+FILE = ("file_id", "entry_ord", "path")
 
 
 def in_range(ts: Column, start: datetime | None, end: datetime | None, no_stamp: bool) -> Column:
@@ -85,7 +84,7 @@ def structure_monitor(lines: DataFrame, start: datetime | None = None, end: date
 
 def split_embedded(lines: DataFrame) -> DataFrame:
     """A second entry start inside a line begins a new row with the same line number."""
-    parts = F.split(F.regexp_replace(F.rtrim("text", F.lit("\r")), unix(EMBEDDED_ENTRY), "\u0001$1"), "\u0001", -1)
+    parts = F.split(F.regexp_replace(F.rtrim("text", F.lit("\r")), unix(EMBEDDED_ENTRY), f"{MARK}$1"), MARK, -1)
     return lines.select(*[c for c in lines.columns if c != "text"], F.posexplode(parts).alias("part_no", "text"))
 
 
@@ -154,7 +153,7 @@ def structure(lines: DataFrame, start: datetime | None = None, end: datetime | N
     )
 
 
-def page(entries: DataFrame, offset: int = 0, limit: int = PAGE_SIZE) -> DataFrame:
+def page(entries: DataFrame, offset: int, limit: int) -> DataFrame:
     """One page of every file's entries with the file's total; a limit of 0 or less returns all."""
     ranked = by_lines(entries, order=("line", "part_no"), line="line").positions("entry_no", "total").rows()
     kept = F.col("entry_no") > max(offset, 0)

@@ -23,16 +23,16 @@ def embedded_split(spark, sf_dir):
 
 
 def agent_timeline(spark, sf_dir):
-    rows = ag.timeline(view(spark, sf_dir, "agent_log"), 40)
+    rows = ag.timeline(view(spark, sf_dir, "agent_log"))
     return rows.select("file_id", "line_no", "ts", "severity", "phase", "outcome")
 
 
 def phase_counts(spark, sf_dir):
-    return ag.phase_counts(ag.timeline(view(spark, sf_dir, "agent_log"), 0))
+    return ag.phase_counts(ag.timeline(view(spark, sf_dir, "agent_log")))
 
 
 def agent_problems(spark, sf_dir):
-    rows = ag.problems(ag.timeline(view(spark, sf_dir, "agent_log"), 0))
+    rows = ag.problems(ag.timeline(view(spark, sf_dir, "agent_log")))
     return rows.select("file_id", "line_no", "phase", "severity")
 
 
@@ -214,7 +214,7 @@ ORACLE = {
     ),
     "embedded_split": with_views(PARTS + " SELECT file_id, line_no, part_no::INT AS part_no, text FROM pt", "agent_log"),
     "agent_timeline": with_views(
-        PHASED + " SELECT file_id, line_no, ts, severity, phase, outcome FROM tl WHERE back <= 40", "agent_log"
+        PHASED + " SELECT file_id, line_no, ts, severity, phase, outcome FROM tl", "agent_log"
     ),
     "phase_counts": with_views(PHASED + " SELECT file_id, phase, count(*) AS count FROM tl GROUP BY ALL", "agent_log"),
     "agent_problems": with_views(

@@ -11,7 +11,6 @@ from logquarry.functions.matching import phrase, term
 from logquarry.functions.text import fold
 from logquarry.operators import search as se
 from logquarry.operators import structure as st
-from logquarry.operators.ordered import settle
 from logquarry.plans.views import table, view, with_views
 
 START, END = datetime(2024, 1, 5), datetime(2024, 1, 20, 12)
@@ -60,14 +59,14 @@ def search_bool(spark, sf_dir):
 
 def search_context(spark, sf_dir):
     lines = view(spark, sf_dir, "lines")
-    hits = se.line_hits(se.match_lines(lines, QUERY), 2, 1, field(2).matches("[aeiou]r"), file_cap=None)
+    hits = se.line_hits(se.match_lines(lines, QUERY), 2, 1, field(2).matches("[aeiou]r"))
     return se.context_lines(hits, lines, 2, 1, field(2).matches("[aeiou]r")).select(
         "path", "hit_line", "line_no", "before", F.substring("text", 1, 40).alias("head")
     )
 
 
 def search_hits(spark, sf_dir):
-    found = se.search(view(spark, sf_dir, "lines"), QUERY, 2, 1, field(2).matches("[aeiou]r"), file_cap=5)
+    found = se.search(view(spark, sf_dir, "lines"), QUERY, 2, 1, field(2).matches("[aeiou]r"))
     return found.select("path", "line_no", "filtered", F.coalesce(F.size("context"), F.lit(0)).alias("context_lines"))
 
 
@@ -90,20 +89,30 @@ def search_in_entries(spark, sf_dir):
 
 
 def trigram_files(spark, sf_dir):
-    grams = se.trigrams(view(spark, sf_dir, "lines").where(F.col("text").rlike(r"^[\x00-\x7f]*$")))
+    grams = se.trigrams(view(spark, sf_dir, "lines"))
     return grams.groupBy("tri").agg(F.count(F.lit(1)).alias("files"))
 
 
 def trigram_candidates(spark, sf_dir):
     lines = view(spark, sf_dir, "lines")
-    grams, common = se.split_common(settle(se.trigrams(lines)), 20)
-    return se.candidates(lines, grams, common, (phrase("license") & phrase("apache")) | phrase("token"))
+    condition = (phrase("license") & phrase("apache")) | phrase("token")
+    grams, common = se.split_common(se.trigrams(lines, se.needed_trigrams(condition)), 20)
+    return se.candidates(lines, grams, common, condition).select("file_id", "path")
+
+
+def search_folding(spark, sf_dir):
+    """Words written with letters that fold to others: the gate and the trigrams must find what the plain condition finds."""
+    lines = view(spark, sf_dir, "lines").withColumn("text", F.translate("text", "kS", "\u212a\u017f"))
+    condition = phrase("token") | phrase("apache") & phrase("\u017fee")
+    grams, common = se.split_common(se.trigrams(lines, se.needed_trigrams(condition)), 20)
+    rows = se.match_lines(lines, condition, candidates=se.candidates(lines, grams, common, condition))
+    return rows.select("path", "line_no", F.md5("text").alias("digest"))
 
 
 def pruned_search(spark, sf_dir):
     lines = view(spark, sf_dir, "lines")
     condition = phrase("license") | phrase("token")
-    grams, common = se.split_common(settle(se.trigrams(lines)), 20)
+    grams, common = se.split_common(se.trigrams(lines, se.needed_trigrams(condition)), 20)
     rows = se.match_lines(lines, condition, candidates=se.candidates(lines, grams, common, condition))
     return rows.select("path", "line_no", F.md5("text").alias("digest"))
 
@@ -124,6 +133,7 @@ QUERIES = {
     "trigram_files": trigram_files,
     "trigram_candidates": trigram_candidates,
     "pruned_search": pruned_search,
+    "search_folding": search_folding,
 }
 STRUCTURED = r"""
     WITH h AS (SELECT *, regexp_extract(text, '^(\d{4}[-/]\d{2}[-/]\d{2} \d{2}:\d{2}:\d{2})', 1) AS s,
@@ -158,7 +168,7 @@ HITS = r"""
                  AND x.line_no <> h.line_no
             WHERE h.hit AND x.keep)"""
 GRAMS = r"""
-    WITH t AS (SELECT DISTINCT path, file_id, substr(upper(lower(text)), i, 3) AS tri
+    WITH t AS (SELECT DISTINCT path, file_id, substr(lower(upper(lower(text))), i, 3) AS tri
       FROM v_lines, unnest(range(1, length(text) - 1)) AS u(i) WHERE length(text) >= 3)"""
 ORACLE = {
     "structure_lines": with_views(
@@ -196,7 +206,7 @@ ORACLE = {
         HITS
         + """, h AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_no) AS r FROM x WHERE hit)
         SELECT h.path, h.line_no, NOT keep AS filtered, count(ctx.line_no) AS context_lines
-        FROM h LEFT JOIN ctx ON h.path = ctx.path AND h.line_no = ctx.hit_line WHERE r <= 5
+        FROM h LEFT JOIN ctx ON h.path = ctx.path AND h.line_no = ctx.hit_line 
         GROUP BY ALL HAVING keep OR count(ctx.line_no) > 0""".replace("NOT keep AS filtered, ", "NOT keep AS filtered, "),
         "lines",
     ),
@@ -215,10 +225,10 @@ ORACLE = {
         """WITH l AS (SELECT file_id, path, count(*) AS n FROM v_lines
              WHERE contains(lower(text), 'en/1') OR contains(lower(text), 'error') GROUP BY ALL),
            f AS (SELECT DISTINCT file_id, path FROM v_lines WHERE contains(path, 'en/1') OR contains(path, 'error')),
-           r AS (SELECT file_id, sum(least(n, 500)) AS n, count_if(n >= 500) AS c FROM l GROUP BY 1),
+           r AS (SELECT file_id, sum(n) AS n FROM l GROUP BY 1),
            s AS (SELECT file_id, count(*) AS n FROM f GROUP BY 1)
-           SELECT file_id, (coalesce(r.n, 0) + coalesce(s.n, 0))::BIGINT AS total,
-             coalesce(r.n, 0) + coalesce(s.n, 0) >= 40 AS truncated, coalesce(c, 0) AS capped_files
+           SELECT file_id, (coalesce(r.n, 0) + coalesce(s.n, 0))::BIGINT AS total, coalesce(r.n, 0)::BIGINT AS line_hits,
+             coalesce(r.n, 0) + coalesce(s.n, 0) >= 40 AS truncated
            FROM r FULL JOIN s USING (file_id)""",
         "lines",
     ),
@@ -233,14 +243,13 @@ ORACLE = {
         "monitor",
     ),
     "trigram_files": with_views(
-        GRAMS.replace("FROM v_lines,", "FROM (SELECT * FROM v_lines WHERE regexp_full_match(text, '[\\x00-\\x7f]*')),")
-        + " SELECT tri, count(DISTINCT path) AS files FROM t GROUP BY tri",
+        GRAMS + " SELECT tri, count(DISTINCT path) AS files FROM t GROUP BY tri",
         "lines",
     ),
     "trigram_candidates": with_views(
         GRAMS
         + """, fr AS (SELECT file_id, tri, count(*) AS n FROM t GROUP BY ALL),
-        w AS (SELECT DISTINCT alt, substr(word, i, 3) AS tri FROM (VALUES (0, 'LICENSE'), (0, 'APACHE'), (1, 'TOKEN'))
+        w AS (SELECT DISTINCT alt, substr(word, i, 3) AS tri FROM (VALUES (0, 'license'), (0, 'apache'), (1, 'token'))
               AS v(alt, word), unnest(range(1, length(word) - 1)) AS u(i)),
         fl AS (SELECT DISTINCT file_id, path FROM v_lines),
         nd AS (SELECT b.file_id, w.alt, w.tri FROM (SELECT DISTINCT file_id FROM fl) b, w
@@ -250,6 +259,11 @@ ORACLE = {
           AND NOT EXISTS (SELECT 1 FROM t WHERE t.path = fl.path AND t.tri = nd.tri))""",
         "lines",
     ),
+    "search_folding": with_views(
+        """SELECT path, line_no, md5(t) AS digest FROM (SELECT *, replace(replace(text, 'k', chr(8490)), 'S', chr(383)) AS t FROM v_lines)
+           WHERE contains(lower(t), 'token') OR (contains(lower(t), 'apache') AND contains(lower(t), chr(383) || 'ee'))""",
+        "lines",
+    ),
     "pruned_search": with_views(
         """SELECT path, line_no, md5(text) AS digest FROM v_lines
            WHERE contains(lower(text), 'license') OR contains(lower(text), 'token')""",

@@ -182,7 +182,7 @@ ORACLE = {
           WHERE drop_kb > 0 AND pct < 50 AND file_id IN (SELECT file_id FROM kg)
         UNION ALL SELECT file_id, 'mp', 'medium', concat('Multiple instances of ', process), 7 FROM du
         UNION ALL SELECT file_id, 'mp', 'medium', concat(process, ' appears to have restarted'), 8 FROM tp
-          WHERE restarted AND rank <= 12""",
+          WHERE restarted""",
         "kernel_log",
         "memory_counters",
     ),
@@ -190,9 +190,9 @@ ORACLE = {
         GROWTH
         + TOP
         + """, nm AS (SELECT DISTINCT rs.file_id, rs.name, tp.rank FROM rs JOIN tp ON tp.file_id = rs.file_id
-               AND tp.process = rs.process WHERE tp.rank <= 3 UNION ALL SELECT file_id, counter, 0 FROM tr)
+               AND tp.process = rs.process UNION ALL SELECT file_id, counter, 0 FROM tr)
         SELECT * FROM (SELECT file_id, 'mp' AS plane, row_number() OVER (PARTITION BY file_id ORDER BY rank, name) AS ord,
-          name FROM nm) WHERE ord <= 12""",
+          name FROM nm)""",
         "memory_counters",
     ),
     "oom_pairing": with_views(OOM + " SELECT * FROM ev", "kernel_log"),

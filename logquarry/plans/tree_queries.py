@@ -201,11 +201,9 @@ ORACLE = {
         )
         + r"""), c AS (SELECT file_id, side, count(*) AS hits FROM m GROUP BY ALL),
         d AS (SELECT file_id, side, path, min(o * 100 + i) AS o FROM m GROUP BY ALL),
-        k AS (SELECT file_id, side, string_agg(path, '|' ORDER BY o) AS markers FROM (SELECT *, row_number() OVER (PARTITION BY file_id, side ORDER BY o) AS n
-              FROM d) WHERE n <= 6 GROUP BY ALL),
+        k AS (SELECT file_id, side, string_agg(path, '|' ORDER BY o) AS markers FROM d GROUP BY ALL),
         b AS (SELECT file_id, count(*) AS n, count_if(path LIKE '%.log' OR regexp_matches(path, '\.log\.[^/]*$')) AS logs FROM e GROUP BY 1),
-        g AS (SELECT file_id, string_agg(path, '|' ORDER BY entry_ord) AS markers FROM (SELECT *, row_number() OVER (PARTITION BY file_id
-              ORDER BY entry_ord) AS n FROM e WHERE contains(path, '.log')) WHERE n <= 6 GROUP BY 1)
+        g AS (SELECT file_id, string_agg(path, '|' ORDER BY entry_ord) AS markers FROM e WHERE contains(path, '.log') GROUP BY 1)
         SELECT b.file_id, CASE WHEN cf.hits > 0 THEN 'firewall' WHEN ca.hits > 0 OR (logs >= 2 AND logs * 2 >= n) THEN 'gp-agent'
             ELSE 'unknown' END AS kind, coalesce(cf.hits, 0)::INT AS firewall_hits,
           CASE WHEN cf.hits > 0 THEN NULL ELSE coalesce(ca.hits, 0)::INT END AS agent_hits,

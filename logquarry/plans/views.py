@@ -7,8 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logquarry.operators.ordered import is_small
-
 SPARK_WORDS = {
     "slash_ts": "date_format(ts, 'yyyy/MM/dd HH:mm:ss')",
     "dash_ts": "date_format(ts, 'yyyy-MM-dd HH:mm:ss')",
@@ -233,11 +231,8 @@ VIEWS = {
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a small table out over the cores: one small file is one task, however costly its rows are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if is_small(df) and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    """Deal a table out over the cores: a view makes many lines of a row, and the tables here are one file each."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

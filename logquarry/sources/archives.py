@@ -6,6 +6,7 @@ their own. Each task streams its archives member by member and line by line.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import tarfile
 import zipfile
@@ -25,7 +26,8 @@ SNIFF_BYTES = 512
 READ_BYTES = 1 << 20
 BATCH_ROWS = 8192
 BATCH_CHARS = 8 << 20
-DAMAGED = (tarfile.TarError, zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, NotImplementedError)
+# What a damaged archive raises. Other errors, such as those of a file system, fail the task, so that it is tried again.
+DAMAGED = (tarfile.TarError, zipfile.BadZipFile, gzip.BadGzipFile, zlib.error, EOFError, NotImplementedError)
 RECORDS = (
     "file_id string, filename string, size_bytes long, uploaded_at timestamp, error string, entry_ord int, "
     "path string, size long, is_binary boolean, line_no int, text string"
@@ -45,8 +47,8 @@ def normal_path(name: str) -> str:
     return name.replace("\\", "/").removeprefix("./").removeprefix("/")
 
 
-def members(stream: BinaryIO) -> Iterator[tuple[str, int, BinaryIO]]:
-    """(path, size, content) of every regular file; a damaged tail ends the listing."""
+def members(stream: BinaryIO, damage: list[str]) -> Iterator[tuple[str, int, BinaryIO]]:
+    """(path, size, content) of every regular file; a damaged tail ends the listing and is told in `damage`."""
     magic = stream.read(3)
     stream.seek(0)
     if magic in ZIP_MAGICS:
@@ -56,7 +58,8 @@ def members(stream: BinaryIO) -> Iterator[tuple[str, int, BinaryIO]]:
                     continue
                 try:
                     content = archive.open(info)
-                except DAMAGED:
+                except (*DAMAGED, RuntimeError) as problem:  # RuntimeError: an encrypted member
+                    damage.append(f"{info.filename}: {problem}")
                     continue
                 yield normal_path(info.filename), info.file_size, content
         return
@@ -65,7 +68,8 @@ def members(stream: BinaryIO) -> Iterator[tuple[str, int, BinaryIO]]:
         while True:
             try:
                 info = archive.next()
-            except DAMAGED:
+            except DAMAGED as problem:
+                damage.append(str(problem))
                 return
             if info is None:
                 return
@@ -74,14 +78,15 @@ def members(stream: BinaryIO) -> Iterator[tuple[str, int, BinaryIO]]:
                 yield normal_path(info.name), info.size, content
 
 
-def lines_of(content: BinaryIO) -> Iterator[bytes | None]:
-    """None for a binary file, else its lines without line ends; a damaged tail keeps what was read."""
-    rest = b""
+def lines_of(content: BinaryIO, damage: list[str]) -> Iterator[bytes | None]:
+    """None for a binary file, else its lines without line ends; a damaged tail keeps what was read and is told in `damage`."""
+    rest: list[bytes] = []
     first = True
     while True:
         try:
             piece = content.read(READ_BYTES)
-        except DAMAGED:
+        except DAMAGED as problem:
+            damage.append(str(problem) or type(problem).__name__)
             piece = b""
         if first:
             if b"\0" in piece[:SNIFF_BYTES]:
@@ -90,11 +95,14 @@ def lines_of(content: BinaryIO) -> Iterator[bytes | None]:
             first = False
         if not piece:
             break
-        whole = (rest + piece).split(b"\n")
-        rest = whole.pop()
-        yield from whole
-    if rest:
-        yield rest
+        head, *whole = piece.split(b"\n")
+        rest.append(head)
+        if whole:
+            yield b"".join(rest)
+            rest = [whole.pop()]
+            yield from whole
+    if tail := b"".join(rest):
+        yield tail
 
 
 def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,13 +120,14 @@ def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for uri, length, modified in zip(batch["path"], batch["length"], batch["modificationTime"]):
             head = (hashlib.md5(uri.encode()).hexdigest(), uri.rsplit("/", 1)[-1], length, modified)
-            error, entry = None, 0
+            damage: list[str] = []
+            entry = 0
             try:
-                for path, size, content in members(open_stream(uri)):
+                for path, size, content in members(open_stream(uri), damage):
                     if not path:
                         continue
                     number, binary = 0, False
-                    for raw in lines_of(content):
+                    for raw in lines_of(content, damage):
                         if raw is None:
                             binary = True
                             break
@@ -132,8 +141,8 @@ def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     rows.append((*head, None, entry, path, size, binary, None, None))
                     entry += 1
             except DAMAGED as problem:
-                error = str(problem)[:500]
-            rows.append((*head, error, None, None, entry, None, None, None))
+                damage.append(str(problem) or type(problem).__name__)
+            rows.append((*head, "; ".join(damage)[:500] or None, None, None, entry, None, None, None))
     if rows:
         yield taken()
 

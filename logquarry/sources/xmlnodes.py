@@ -138,7 +138,7 @@ def _flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def xml_nodes(lines: DataFrame) -> DataFrame:
-    """Elements of every document (file_id, path) in `lines`; a broken document yields what was read."""
+    """Elements of every document (file_id, entry_ord, path) in `lines`; a broken document yields what was read."""
     rows = lines.select("file_id", "path", "entry_ord", "line_no", "text")
-    rows = rows.repartition("file_id", "path").sortWithinPartitions("file_id", "path", "line_no")
+    rows = rows.repartition("file_id", "entry_ord", "path").sortWithinPartitions("file_id", "entry_ord", "path", "line_no")
     return rows.mapInPandas(_flatten, NODE_COLUMNS)

@@ -129,7 +129,6 @@ ABSENT = ("dp__logreceiver_statistics__traffic_logs_written", "dp__gc01__short",
 @pytest.mark.parametrize("chunked", [False, True])
 def test_families(spark, monkeypatch, chunked):
     if chunked:
-        monkeypatch.setattr("logquarry.operators.ordered.WHOLE_LIMIT", 0)
         monkeypatch.setattr("logquarry.operators.ordered.CHUNK_LINES", 5)
     lines = line_table(spark, {"var/log/pan/dp-monitor.log": DATAPLANE, "mp-monitor.log.2": MANAGEMENT, "dp0-monitor.log": DATAPLANE})
     found: dict = {}

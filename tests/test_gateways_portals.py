@@ -129,7 +129,6 @@ def test_portals(spark):
 
 
 def test_portals_in_chunks(spark, monkeypatch):
-    monkeypatch.setattr("logquarry.operators.ordered.WHOLE_LIMIT", 0)
     monkeypatch.setattr("logquarry.operators.ordered.CHUNK_LINES", 3)
     test_portals(spark)
     test_gateway_selection(spark)

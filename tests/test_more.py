@@ -41,7 +41,7 @@ def test_oom_events_of_kernel_logs(spark):
         "big.log": "p invoked oom-killer",
     }
     entries = spark.createDataFrame(
-        [("f", "var/log/messages", 100), ("f", "big.log", me.MAX_KERNEL_LOG_BYTES + 1)], "file_id string, path string, size long"
+        [("f", 0, "var/log/messages", 100), ("f", 1, "big.log", 0)], "file_id string, entry_ord int, path string, size long"
     )
     events = me.oom_events(me.kernel_lines(line_table(spark, files), entries), 2026)
     rows = {(str(r.ts), r.invoked_by, r.killed, r.killed_pid, r.score) for r in events.collect()}

@@ -21,8 +21,8 @@ def rows(spark):
 
 def cut(kind, rows):
     if kind == "lines":
-        return by_lines(rows, lines=7, limit=0)
-    return by_range(rows, ("file_id", "path"), ("line_no",), limit=0)
+        return by_lines(rows, ("file_id", "path"), lines=7)
+    return by_range(rows, ("file_id", "path"), ("line_no",))
 
 
 def plain(kind_df):
@@ -32,7 +32,6 @@ def plain(kind_df):
 @pytest.mark.parametrize("kind", ["lines", "range"])
 def test_steps_match_plain_windows(rows, kind):
     ordered = cut(kind, rows)
-    assert not ordered.whole
     w = Window.partitionBy("file_id", "path").orderBy("line_no")
     d = Window.partitionBy("file_id", "path").orderBy(F.desc("line_no"))
     up, down = w.rowsBetween(Window.unboundedPreceding, 0), d.rowsBetween(Window.unboundedPreceding, 0)
@@ -65,8 +64,7 @@ def test_hot_key_is_spread_over_chunks(rows):
     assert ordered.df.where(F.col("file_id") == "hot").select("_chunk").distinct().count() > 1
 
 
-def test_median_by_position(rows, monkeypatch):
-    monkeypatch.setattr("logquarry.operators.ordered.WHOLE_LIMIT", 0)
+def test_median_by_position(rows):
     got = median_by_position(rows, ("file_id",), "v", ("line_no",), "m")
     want = rows.groupBy("file_id").agg(F.median("v").alias("m"))
     assert plain(got) == plain(want)

@@ -14,9 +14,9 @@ def test_query_matches_sql(spark, name):
     assert spark_rows(spark, queries()[name], f"{DATA}/sf0.001") == duck_rows(oracle_sql()[name], f"{DATA}/sf0.001")
 
 
-def test_chunked_path_gives_the_same_rows(spark, monkeypatch):
-    monkeypatch.setattr("logquarry.operators.ordered.WHOLE_LIMIT", 0)
-    for name in ("growing_queues", "counter_rate", "time_clusters"):
+def test_small_chunks_give_the_same_rows(spark, monkeypatch):
+    monkeypatch.setattr("logquarry.operators.ordered.CHUNK_LINES", 16)
+    for name in ("structure_lines", "growing_queues", "time_clusters"):
         assert spark_rows(spark, queries()[name], f"{DATA}/sf0.001") == duck_rows(oracle_sql()[name], f"{DATA}/sf0.001"), name
 
 
