@@ -108,14 +108,17 @@ def _beside(text: Column, span: Column) -> Column:
 def revealing(based: DataFrame, text: str = "text", key: str = "doc_id", min_texts: int = MIN_TEXTS, min_chance: float = MIN_CHANCE, min_bits: float = MIN_BITS) -> DataFrame:
     """(_key, _told): for each document that holds them, the terms that give an entity away."""
     rows = based.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"), "_base").where("_text is not null")
-    held = rows.where(F.size("_base") > 0).select(F.xxhash64("_text").alias("same"), F.explode("_base").alias("span"), "_text")
-    entity = F.concat_ws(":", "span.kind", F.lower("span.value"))
-    beside = held.select("same", entity.alias("entity"), F.explode(_beside(F.col("_text"), F.col("span"))).alias("term"))
-    pairs = saved(
-        beside.groupBy("term", "entity", "same").count().groupBy("term", "entity").agg(F.count("*").alias("texts"), F.sum("count").alias("together")).where(F.col("texts") >= min_texts)
-    )
-    owned = rows.where(F.size("_base") > 0).select(F.explode(F.array_distinct(F.transform("_base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))).alias("entity"))
-    entities = owned.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # one row for each document with a value: its entities, and each entity with each word next to it
+    named = F.transform("_base", lambda s: F.struct(F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"), _beside(F.col("_text"), s).alias("words")))
+    paired = F.flatten(F.transform("_named", lambda n: F.transform(n["words"], lambda w: F.struct(n["entity"].alias("entity"), w.alias("term")))))
+    held = rows.where(F.size("_base") > 0).select(F.xxhash64("_text").alias("same"), named.alias("_named"))
+    held = saved(held.select("same", F.array_distinct(F.transform("_named", lambda n: n["entity"])).alias("entities"), F.array_distinct(paired).alias("pairs")))
+    beside = held.select("same", F.inline("pairs"))
+    pairs = beside.groupBy("term", "entity", "same").count().groupBy("term", "entity").agg(F.count("*").alias("texts"), F.sum("count").alias("together"))
+    # at least so many documents hold the term: a common word next to many entities makes none of them likely
+    known = held.select(F.explode(F.array_distinct(F.transform("pairs", lambda p: p["term"]))).alias("term")).groupBy("term").agg(F.count("*").alias("n_beside"))
+    pairs = saved(pairs.where(F.col("texts") >= min_texts).join(known, "term").where(F.col("together") / F.col("n_beside") >= min_chance).drop("n_beside"))
+    entities = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     # every document's words, of which the candidates are kept
     words = rows.select("_key", F.explode(_words(F.col("_text"))).alias("term"))
     places = saved(words.join(pairs.select("term").distinct(), "term"))
