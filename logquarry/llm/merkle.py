@@ -60,6 +60,9 @@ def _block_pieces(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
     for shift in (1, 2, 4):
         wide[shift:] |= wide[:-shift] << np.uint64(8 * shift)
     cut = (wide * _MIX) >> np.uint64(64 - PIECE_BITS) == 0
+    # cuts look at bytes of their own paragraph only, whatever lies in front of it
+    for i in range(7):
+        cut[starts[starts + i < n] + i] = False
     cut[n - 1] = True
     cut[starts[starts > 0] - 1] = True
     ends = np.flatnonzero(cut) + 1
@@ -183,7 +186,7 @@ def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a range in order, each range followed by a copy of the row after it."""
     pending = None  # (range, id, text, tree) of the last row seen
 
-    for batch in batches:
+    for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
         rows = list(zip(batch.column("range").to_pylist(), batch.column("after").to_pylist(), batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()], strict=True))
         own = trees([t.encode() for *_, t in rows])
         todo = []
