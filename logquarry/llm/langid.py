@@ -43,43 +43,77 @@ START = "▁"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def vocabulary(path: str = VOCABULARY) -> dict[str, int]:
-    """Piece to number, and -1 for strings that only begin pieces."""
+def vocabulary(path: str = VOCABULARY) -> list[str]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-    pieces = sorted({p for p in pieces if p == p.lower() and len(p) <= LONGEST_PIECE})
-    known = {p[:i]: -1 for p in pieces for i in range(1, len(p))}
-    known.update((p, i) for i, p in enumerate(pieces))
-    return known
+    return sorted({p for p in pieces if p == p.lower() and len(p) <= LONGEST_PIECE})
+
+
+class Pieces:
+    """Numbers of the vocabulary's pieces by their hash, looked up for whole arrays at a time."""
+
+    BITS = 21
+
+    def __init__(self, pieces: list[str]):
+        self.count = len(pieces)
+        self.hashes = np.zeros(self.count, np.uint64)
+        codes = _codes(pieces, LONGEST_PIECE)
+        for length, h in _substrings(codes, LONGEST_PIECE):
+            own = np.array([len(p) == length for p in pieces], bool)
+            self.hashes[own] = h[own, 0]
+        # pieces whose place is taken go to the next table
+        self.tables, left = [], np.arange(self.count)
+        while len(left):
+            table = np.full(1 << self.BITS, -1, np.int32)
+            place = self._place(self.hashes[left], len(self.tables))
+            _, first = np.unique(place, return_index=True)
+            table[place[first]] = left[first]
+            self.tables.append(table)
+            left = np.delete(left, first)
+
+    def _place(self, h: np.ndarray, table: int) -> np.ndarray:
+        return ((h * np.uint64(2 * table + 0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Piece numbers, -1 where there is none."""
+        out = np.full(h.shape, -1, np.int32)
+        for i, table in enumerate(self.tables):
+            found = table[self._place(h, i)]
+            out = np.where((found >= 0) & (self.hashes[found] == h), found, out)
+        return out
+
+
+def _codes(words: list[str], width: int) -> np.ndarray:
+    """Code points of each word in a row, zeros after its end."""
+    return np.array(words, dtype=f"U{width}").view(np.uint32).reshape(len(words), width).astype(np.uint64)
+
+
+def _substrings(codes: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, hash of the substring of that length at each start)."""
+    signs = codes * np.uint64(0xD6E8FEB86659FD93)
+    h = np.zeros_like(signs)
+    for length in range(1, min(longest, codes.shape[1]) + 1):
+        n = codes.shape[1] - length + 1
+        h = h[:, :n] * np.uint64(0x9E3779B97F4A7C15) + (signs[:, length - 1 :] ^ (signs[:, length - 1 :] >> np.uint64(32)))
+        yield length, h
 
 
 class Lattice:
     """All pieces of some words: edges (word, from, to, piece). The piece after the last of the vocabulary is the unknown character."""
 
-    def __init__(self, words: list[str], known: dict[str, int], unknown: int):
-        row, start, end, piece = [], [], [], []
-        for i, word in enumerate(words):
-            marked = START + word
-            n = len(marked)
-            for a in range(n):
-                single = False
-                for b in range(a + 1, min(n, a + LONGEST_PIECE) + 1):
-                    found = known.get(marked[a:b])
-                    if found is None:
-                        break
-                    if found >= 0:
-                        single |= b == a + 1
-                        row.append(i)
-                        start.append(a)
-                        end.append(b)
-                        piece.append(found)
-                if not single:
-                    row.append(i)
-                    start.append(a)
-                    end.append(a + 1)
-                    piece.append(unknown)
+    def __init__(self, words: list[str], known: Pieces):
+        width = max(map(len, words), default=0) + 1
+        codes = _codes([START + w for w in words], width)
+        parts = []
+        for length, h in _substrings(codes, LONGEST_PIECE):
+            found = known.find(h)
+            found[codes[:, length - 1 :] == 0] = -1
+            if length == 1:
+                found[(found < 0) & (codes != 0)] = known.count
+            row, start = np.nonzero(found >= 0)
+            parts.append((row, start, start + length, found[row, start].astype(np.int64)))
+        self.row, self.start, self.end, self.piece = (np.concatenate(x) for x in zip(*parts, strict=True))
         self.size = np.array([len(w) + 1 for w in words], np.int64)
-        self.row, self.start, self.end, self.piece = (np.array(x, np.int64) for x in (row, start, end, piece))
         self.width = int(self.size.max(initial=0)) + 1
         order = np.argsort(self.end, kind="stable")
         self.into = np.split(order, np.searchsorted(self.end[order], np.arange(1, self.width)))[: self.width]
@@ -112,11 +146,10 @@ class Lattice:
         return out
 
 
-def fitted(words: list[str], counts: np.ndarray, known: dict[str, int], rounds: int = ROUNDS) -> np.ndarray:
+def fitted(words: list[str], counts: np.ndarray, known: Pieces, rounds: int = ROUNDS) -> np.ndarray:
     """(piece, language) probabilities; `counts` has a column for each language."""
-    unknown = max(known.values()) + 1
-    lattice = Lattice(words, known, unknown)
-    p = np.full((unknown + 1, counts.shape[1]), 1.0 / (unknown + 1))
+    lattice = Lattice(words, known)
+    p = np.full((known.count + 1, counts.shape[1]), 1.0 / (known.count + 1))
     for _ in range(rounds):
         used = lattice.expected(p, counts) + SMOOTHING
         p = used / used.sum(axis=0)
@@ -126,8 +159,8 @@ def fitted(words: list[str], counts: np.ndarray, known: dict[str, int], rounds:
 class Scorer:
     """Log probabilities of texts in each language; remembers words."""
 
-    def __init__(self, known: dict[str, int], p: np.ndarray):
-        self.known, self.p, self.unknown = known, p, len(p) - 1
+    def __init__(self, known: Pieces, p: np.ndarray):
+        self.known, self.p = known, p
         self.numbers: dict[str, int] = {}
         self.scores = np.zeros((0, p.shape[1]))
 
@@ -137,7 +170,7 @@ class Scorer:
         new = [w for w in words if w not in self.numbers]
         added = [self.scores]
         for at in range(0, len(new), 20_000):
-            lattice = Lattice(new[at : at + 20_000], self.known, self.unknown)
+            lattice = Lattice(new[at : at + 20_000], self.known)
             added.append(np.log(lattice.whole(lattice.forward(self.p))))
         self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
         self.scores = np.concatenate(added)
@@ -181,7 +214,7 @@ def learned_words(docs: DataFrame, text: str = "text", lang: str = "lang", key:
 def predicted(docs: DataFrame, path: str = VOCABULARY, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document."""
     languages, words, counts = learned_words(docs, text, lang, key)
-    known = vocabulary(path)
+    known = Pieces(vocabulary(path))
     model = docs.sparkSession.sparkContext.broadcast((known, fitted(words, counts, known) if languages else None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -83,13 +83,28 @@ def test_language_of_odd_rows(odd, nothing):
 
 
 def test_forward_sums_all_segmentations():
-    known = {"▁": 0, "a": 1, "ab": 2, "b": 3, "▁a": 4}
+    known = langid.Pieces(["▁", "a", "ab", "b", "▁a"])
     p = __import__("numpy").array([[0.1], [0.2], [0.3], [0.15], [0.05], [0.2]])
-    lattice = langid.Lattice(["ab", "z"], known, 5)
+    lattice = langid.Lattice(["ab", "z"], known)
     # ▁ a b, ▁ ab, ▁a b; and ▁ z with the unknown character
     assert lattice.whole(lattice.forward(p)).reshape(-1).tolist() == pytest.approx([0.1 * 0.2 * 0.15 + 0.1 * 0.3 + 0.05 * 0.15, 0.1 * 0.2])
 
 
+def test_pieces_are_found_by_their_text():
+    listed = langid.vocabulary()
+    known = langid.Pieces(listed)
+    words = ["über", "thé", "zzqx", "a", "internationalisation"]
+    lattice = langid.Lattice(words, known)
+    numbers = {p: i for i, p in enumerate(listed)}
+    expected = set()
+    for i, word in enumerate(langid.START + w for w in words):
+        for a in range(len(word)):
+            for b in range(a + 1, min(len(word), a + langid.LONGEST_PIECE) + 1):
+                if word[a:b] in numbers or b == a + 1:
+                    expected.add((i, a, b, numbers.get(word[a:b], len(listed))))
+    assert set(zip(*(x.tolist() for x in (lattice.row, lattice.start, lattice.end, lattice.piece)), strict=True)) == expected
+
+
 def test_obfuscated_words_count():
     plain = toxicity.features("you are an 1d10t today", frozenset(), frozenset())
     assert plain[0] == 1 / 5 and plain[3] == 1 / 5 and plain[8] == 1 / 5
