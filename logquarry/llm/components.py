@@ -8,20 +8,37 @@ from pyspark.sql import functions as F
 from logquarry.llm.common import saved
 
 
+def _roots(pairs: DataFrame) -> DataFrame:
+    """(node, root) where each node points to its smallest neighbour or itself, followed until the pointers stay."""
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    roots = saved(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("root")))
+    while True:
+        above = roots.select(F.col("node").alias("root"), F.col("root").alias("higher"))
+        step = saved(roots.join(above, "root").select("node", F.col("root").alias("old"), F.col("higher").alias("root")))
+        roots = step.select("node", "root")
+        if step.where("old <> root").isEmpty():
+            return roots
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of `links`; the component is its smallest node.
 
-    Each round takes the smallest label among a node's neighbours and then the label of that label, so
-    distances at least halve. Every round is written to the shared folder; only a count comes to the driver.
+    Each round points every node to its smallest neighbour, follows the pointers, and replaces the links by
+    those between different roots. At least half of the nodes that still have links go in a round, and the
+    links that fell together are not looked at again. Every round is written to the shared folder; only the
+    question whether anything is left comes to the driver.
     """
-    pairs = links.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node <> other")
-    both = saved(pairs.unionByName(pairs.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
-    labels = saved(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("component")))
+    pairs = saved(links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct())
+    found = None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("near"))
-        lowered = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("component").alias("jump"))
-        step = saved(lowered.join(jump, "low", "left").select("node", "old", F.coalesce(F.least("low", "jump"), "low").alias("component")))
-        labels = step.select("node", "component")
-        if step.where("old <> component").isEmpty():
-            return labels
+        roots = _roots(pairs)
+        if found is None:
+            found = roots.select("node", F.col("root").alias("component"))
+        else:
+            up = roots.select(F.col("node").alias("component"), "root")
+            found = saved(found.join(up, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
+        left = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("x")), "a")
+        left = left.join(roots.select(F.col("node").alias("b"), F.col("root").alias("y")), "b").where("x <> y")
+        pairs = saved(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        if pairs.isEmpty():
+            return found
