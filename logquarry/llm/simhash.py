@@ -231,11 +231,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 1, bits: int
     return prints.join(known, "print", "left").select("doc_id", F.lower(F.hex("print")).alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, words: int = 5, bits: int = 50, blocks: int = 6, chosen: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def first_of_each(docs: DataFrame, words: int = 6, bits: int = 67, blocks: int = 6, chosen: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` without near copies: of each component the row with the smallest id stays, once; rows without an id stay.
 
-    The defaults take shingles of five words and fingerprints of 320 bits. 50 differing bits of 320 are an
-    angle whose cosine is 0.88, which sets of shingles of Jaccard similarity 0.79 have on average.
+    The defaults take shingles of five words and fingerprints of 384 bits. Texts whose sets of shingles have
+    a Jaccard similarity of 0.8 differ in 58 of them on average, with a standard deviation of 7; the threshold
+    of 67 bits links nine in ten of such pairs directly, and groups through their other members.
     """
     found = near_duplicates(docs, 5, words, bits, blocks, chosen, key, text)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()

@@ -44,7 +44,7 @@ def edited(text, k, seed):
 @pytest.fixture(scope="module")
 def family():
     texts = [prose(i, 150) for i in range(12)]
-    texts += [edited(texts[i % 12], 1 + i % 3, i) for i in range(60)]
+    texts += [edited(texts[i % 12], 1 + i % 2, i) for i in range(60)]
     return [*texts, texts[3], texts[3].upper(), "", None, " ", "one", "ONE\t"]
 
 
