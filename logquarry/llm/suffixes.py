@@ -124,10 +124,11 @@ def stretches(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, ...]:
     start, stop = np.flatnonzero(first), np.flatnonzero(last)
     sample = least[start]
     name = (_strings(sums, start, stop + LENGTH) + (stop - start).astype(np.uint64)) & np.uint64((1 << 48) - 1)
-    # a window repeats within a stretch only if its sample occurs there twice
+    # a window repeats within a stretch only if its sample occurs there twice, at most `WINDOW` apart
     pad = np.zeros(WINDOW - 1, np.uint64)
     sampled = np.flatnonzero(sliding(np.maximum, np.concatenate((pad, least, pad)), WINDOW) == h)
-    twice = np.flatnonzero((h[sampled[1:]] == h[sampled[:-1]]) & (np.diff(sampled) < WINDOW))
+    gap, equal = np.diff(sampled), h[sampled[1:]] == h[sampled[:-1]]
+    twice = np.flatnonzero(equal & (gap < WINDOW))
     inside = np.zeros(len(start), bool)
     if len(twice):
         step = np.zeros(len(data) + 2, np.int32)
@@ -135,6 +136,11 @@ def stretches(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, ...]:
         np.add.at(step, sampled[twice] + 1, -1)
         covered = np.concatenate(([0], np.cumsum(np.cumsum(step[:n]) > 0)))
         inside = covered[stop + 1] > covered[start]
+    # at a gap of `WINDOW` no window holds both: the last one with the first sample and the next one share a stretch
+    meet = sampled[:-1][equal & (gap == WINDOW)]
+    own = np.searchsorted(start, meet, "right") - 1
+    meet, own = meet[own >= 0], own[own >= 0]
+    inside[own[stop[own] > meet]] = True
     return start, stop, sample, name, inside
 
 
@@ -382,7 +388,7 @@ class Ranges:
         order = np.lexsort((start, tag, key))
         key, tag, self.start, self.stop = key[order], tag[order], start[order].astype(np.int64), stop[order].astype(np.int64)
         heads = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])))) if len(key) else np.zeros(0, np.int64)
-        ends = np.append(heads[1:], len(key))
+        ends = np.append(heads[1:], len(key)) if len(key) else heads
         self.at = {(k, t): (a, b) for k, t, a, b in zip(key[heads].tolist(), tag[heads].tolist(), heads.tolist(), ends.tolist(), strict=True)}
 
     def of(self, key: int, tag: int) -> tuple[np.ndarray, np.ndarray]:

@@ -57,6 +57,14 @@ def test_every_byte_against_brute_force(spark):
         assert found(documents(spark, texts).repartition(6)) == brute(list(enumerate(texts)))
 
 
+def test_every_period(spark):
+    """A text that repeats itself, up to and beyond the windows of one sample."""
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choices("abcdefghijklmnop ", k=p)) * (400 // p + 2) for p in range(1, 201)]
+    texts += [f"{i} start " + ("".join(rnd.choices("abcdefghij", k=60)) + "\n") * n + f"end {i}" for i in range(10) for n in (2, 3, 5)]
+    assert found(documents(spark, texts).repartition(6)) == brute(list(enumerate(texts)))
+
+
 def test_small_pieces_and_small_buffers(spark, monkeypatch):
     texts = corpus(3, 80, 100)
     expected = brute(list(enumerate(texts)))
