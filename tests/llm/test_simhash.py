@@ -83,6 +83,53 @@ def test_first_of_each(spark, family, odd, nothing):
     assert simhash.first_of_each(nothing).count() == 0 and simhash.near_duplicates(nothing).count() == 0
 
 
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def test_links_have_the_stated_similarity(spark):
+    """Pairs of their own, just above and below 0.8: a first text and one with some of its tail replaced."""
+    texts, expected = [], set()
+    for i in range(400):
+        size = 150 + i
+        words = [f"a{i}x{k}" for k in range(size)]
+        own = round((size - 4) * (0.11 if i % 2 else 0.125))
+        texts += [" ".join(words), " ".join(words[: size - own] + [f"b{i}x{k}" for k in range(own)])]
+        a, b = shingles(texts[-2]), shingles(texts[-1])
+        expected |= {2 * i} if len(a & b) / len(a | b) >= 0.8 else {2 * i, 2 * i + 1}
+    assert 500 < len(expected) < 700
+    got = {r.doc_id for r in simhash.first_of_each(documents(spark, texts).repartition(4)).collect()}
+    assert got >= expected and len(got - expected) <= 6
+
+
+def test_given_documents_by_exact_similarity(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = sorted((r.doc_id, frozenset(simhash.shingle_hashes((r.text or "").encode(), 5).tolist())) for r in docs.collect())
+    least = least_reachable(rows, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    kept = {r.doc_id for r in simhash.first_of_each(docs).collect()}
+    assert kept == {k for (k, _), c in zip(rows, least, strict=True) if k == c} and 177 not in kept
+
+
+def test_repeats_within_a_text_do_not_make_links(spark):
+    texts = [" ".join(["one line that comes again and again"] * 200) + " " + prose(i, 100) for i in range(4)]
+    assert simhash.first_of_each(documents(spark, texts)).count() == 4
+
+
+def test_forest_of_similar_sets_against_all_pairs():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(20, 60)).astype(np.uint64)) for _ in range(150)]
+    a, b = simhash.similar(sets, np.zeros((150, 1), np.uint64), (3, 5), 0)
+    rows = [(i, set(x.tolist())) for i, x in enumerate(sets)]
+    near = lambda x, y: 5 * len(x & y) >= 3 * len(x | y)
+    assert all(near(rows[i][1], rows[j][1]) for i, j in zip(a, b, strict=True))
+    linked, least = simhash.forest(150, a, b)
+    found = list(range(150))
+    for i, j in zip(linked.tolist(), least.tolist(), strict=True):
+        found[i] = j
+    assert found == least_reachable(rows, near)
+
+
 def test_odd_rows(spark, odd):
     got = simhash.near_duplicates(odd, 4).collect()
     assert len(got) == odd.count()
