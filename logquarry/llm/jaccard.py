@@ -41,7 +41,7 @@ from logquarry.llm.components import components
 from logquarry.llm.simhash import forest, shingle_hashes
 
 #: Shingles of the texts on which the allowances are decided, and those that one task verifies at once.
-SAMPLE, SLICE = 1 << 22, 1 << 19
+SAMPLE, SLICE = 1 << 19, 1 << 19
 LEADERS = 16
 #: Sets that a task remembers to index copies once.
 REMEMBERED = 100_000
@@ -84,6 +84,8 @@ def bands(share: Share, most: int = 1 << 40) -> tuple[list[int], list[int]]:
 
 def classes_of(n: int, share: Share) -> list[int]:
     """The classes that a set of n shingles enters: those in which it may differ at all from its partner."""
+    if not n:
+        return []
     starts, gaps = bands(share)
     own = int(np.searchsorted(starts, n, "right")) - 1
     near = [own] + ([own + 1] if n * share[1] >= starts[own + 1] * share[0] else [])

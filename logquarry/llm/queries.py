@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logquarry.llm import compression, decontaminate, langid, merkle, mixing, sanitise, simhash, suffixes, toxicity, urlrules
+from logquarry.llm import collocations, compression, decontaminate, jaccard, langid, merkle, mixing, sanitise, simhash, suffixes, toxicity, turns, urlrules
 from logquarry.shipping import shipped
 
 
@@ -56,6 +56,20 @@ def op10_private_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitise.report(_table(spark, sf_dir, "documents"))
 
 
+def op11_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word shingles, links from 90 in 100."""
+    return jaccard.similar_texts(_table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return turns.report(turns.damaged(rows), rows)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: shipped(f)
     for f in (
@@ -69,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_benchmark_matches,
         op9_language_pieces,
         op10_private_terms,
+        op11_jaccard_components,
+        op12_conversation_repair,
+        op13_collocations,
     )
 }
 
@@ -88,4 +105,7 @@ ORACLE: dict[str, str] = {
         best as (select n, arg_max(rule, length(rule)) as rule, arg_max(action, length(rule)) as action from fits group by n)
         select page_id, host, path, rule, coalesce(action, 'allow') as verdict from numbered left join best using (n)""",
     "op4_mixed_sample": mixing.oracle(),
+    "op11_jaccard_components": jaccard.ORACLE,
+    "op12_conversation_repair": turns.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
