@@ -150,17 +150,6 @@ def allowances(sets: list[np.ndarray], of: int, gap: int, scale: float) -> np.nd
     return best
 
 
-def _described(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n, mark) of every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, shingle) for t in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([mark_of(x) for x in sets], pa.int64())], ["doc_id", "n", "mark"])
-
-    return docs.mapInArrow(run, "doc_id long, n long, mark long")
-
-
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """`wanted` (doc_id, mark, others) with `own`, the set's hashes as bytes."""
     others = [f for f in wanted.schema.fields if f.name not in ("doc_id", "mark")]
@@ -176,11 +165,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return joined.mapInArrow(run, ", ".join(["mark long", *[f"{f.name} {f.dataType.simpleString()}" for f in others], "own binary"]))
 
 
-def _plan(docs: DataFrame, reps: DataFrame, share: Share, shingle: int, sample: int) -> dict[int, np.ndarray]:
-    """The allowances of the classes that are better off with others than one for each of H + 1 segments."""
-    shingles = reps.agg(F.sum("n")).first()[0] or 0
-    rate = min(1.0, sample / max(shingles, 1))
-    drawn = reps.where(F.pmod(F.xxhash64("mark", F.lit(11)), F.lit(1 << 30)) < F.lit(round(rate * (1 << 30)))).select("doc_id", "mark")
+def _plan(docs: DataFrame, share: Share, shingle: int, sample: int) -> dict[int, np.ndarray]:
+    """The allowances of the classes that are better off with others than one for each of H + 1 segments.
+
+    The sample is drawn by the texts' hashes, at a rate that a word for every six characters would make right.
+    """
+    words = (docs.agg(F.sum(F.length("text"))).first()[0] or 0) / 6
+    rate = min(1.0, sample / max(words, 1))
+    drawn = docs.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) < F.lit(round(rate * (1 << 30)))).select("text").distinct()
     gaps = bands(share)[1]
 
     def decide(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -190,44 +182,56 @@ def _plan(docs: DataFrame, reps: DataFrame, share: Share, shingle: int, sample:
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own in batch.column("own").to_pylist():
-                found = classes_of(len(own) // 8, share)
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([own] * len(found), pa.binary())], ["of", "own"])
+            for text in as_bytes(batch.column(0)):
+                own = shingle_set(text, shingle)
+                found = classes_of(len(own), share)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([own.tobytes()] * len(found), pa.binary())], ["of", "own"])
 
-    rows = _sets(docs, drawn, shingle).mapInArrow(enter, "of int, own binary").groupBy("of").applyInPandas(decide, "of int, allowed binary")
+    rows = drawn.mapInArrow(enter, "of int, own binary").groupBy("of").applyInPandas(decide, "of int, allowed binary")
     plan = {r.of: np.frombuffer(bytes(r.allowed), np.int8) for r in rows.toLocalIterator()}
     return {of: x for of, x in plan.items() if len(x) != gaps[of] + 1 or (x != 1).any()}
 
 
 def _entered(docs: DataFrame, plan: dict[int, np.ndarray], share: Share, shingle: int) -> DataFrame:
-    """(cell, mark): the index entries of all sets; a task enters equal texts once as long as it remembers them."""
+    """(doc_id, n, mark, cell): every row once with its size and no cell, and the index entries of all sets.
+
+    A task enters equal texts once as long as it remembers them.
+    """
     gaps = bands(share)[1]
 
+    def out(ids, sizes, marks, cells) -> pa.RecordBatch:
+        rows = sum(len(x) for x in cells)
+        columns = [pa.array(ids + [None] * rows, pa.int64()), pa.array(sizes + [None] * rows, pa.int64())]
+        own = pa.array(np.concatenate([np.array([m for m, _ in marks], np.int64), *(np.full(len(c), m, np.int64) for m, c in marks)]))
+        columns += [own, pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int64), *cells]))])]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "mark", "cell"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: OrderedDict[int, None] = OrderedDict()
         for batch in batches:
-            cells, marks, room = [], [], 0
-            for text in as_bytes(batch.column(0)):
+            ids, sizes, marks, cells, room = [], [], [], [], 0
+            for key, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 own = shingle_set(text, shingle)
-                mark = mark_of(own)
-                if mark in seen:
-                    continue
-                seen[mark] = None
-                if len(seen) > REMEMBERED:
-                    seen.popitem(last=False)
-                for of in classes_of(len(own), share):
-                    allowed = plan.get(of)
-                    found = entries(own, of, np.ones(gaps[of] + 1, np.int8) if allowed is None else allowed)[0]
-                    cells.append(found.view(np.int64))
-                    marks.append(np.full(len(found), mark, np.int64))
-                    room += len(found)
+                mark, found = mark_of(own), np.zeros(0, np.int64)
+                if mark not in seen:
+                    seen[mark] = None
+                    if len(seen) > REMEMBERED:
+                        seen.popitem(last=False)
+                    for of in classes_of(len(own), share):
+                        allowed = plan.get(of)
+                        new = entries(own, of, np.ones(gaps[of] + 1, np.int8) if allowed is None else allowed)[0]
+                        found = np.concatenate([found, new.view(np.int64)])
+                ids.append(key)
+                sizes.append(len(own))
+                marks.append((mark, found))
+                cells.append(found)
+                room += len(found) + 1
                 if room > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), pa.array(np.concatenate(marks))], ["cell", "mark"])
-                    cells, marks, room = [], [], 0
-            if cells:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), pa.array(np.concatenate(marks))], ["cell", "mark"])
+                    yield out(ids, sizes, marks, cells)
+                    ids, sizes, marks, cells, room = [], [], [], [], 0
+            yield out(ids, sizes, marks, cells)
 
-    return docs.select("text").mapInArrow(run, "cell long, mark long")
+    return docs.mapInArrow(run, "doc_id long, n long, mark long, cell long")
 
 
 def parities(sets: list[np.ndarray]) -> np.ndarray:
@@ -313,10 +317,8 @@ def _pairs_of_slices(members: DataFrame) -> DataFrame:
     return dealt.withColumn("cell", F.xxhash64("component", "pair.x", "pair.y")).withColumn("leads", F.lit(False))
 
 
-def links(docs: DataFrame, reps: DataFrame, share: Share, shingle: int, slice_shingles: int = SLICE, sample: int = SAMPLE) -> DataFrame:
-    """(a, b): links between marks that join all sets of `reps` (mark, doc_id, n) that are linked."""
-    plan = _plan(docs, reps, share, shingle, sample)
-    entered = _entered(docs, plan, share, shingle)
+def links(docs: DataFrame, entered: DataFrame, reps: DataFrame, share: Share, shingle: int, slice_shingles: int = SLICE) -> DataFrame:
+    """(a, b): links between marks that join all sets of `reps` (mark, doc_id, n) that are linked; `entered` (cell, mark)."""
     met = entered.groupBy("cell").agg(F.min("mark").alias("lead"), F.max("mark").alias("last")).where("lead <> last").drop("last")
     shared = saved(entered.join(met, "cell").distinct())
     asked = saved(components(shared.select("mark", "lead").where("mark <> lead"), "mark", "lead").withColumnRenamed("node", "mark"))
@@ -351,9 +353,11 @@ def _window(key: str):
 def similar_texts(docs: DataFrame, shingle: int = 3, share: Share = (90, 100), key: str = "doc_id", text: str = "text", slice_shingles: int = SLICE, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    described = saved(_described(named, shingle))
+    seen = saved(_entered(named, _plan(named, share, shingle, sample), share, shingle))
+    described = saved(seen.where("cell is null").drop("cell"))
     reps = saved(described.where("n > 0 and doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
-    joined = components(links(named, reps, share, shingle, slice_shingles, sample)).withColumnRenamed("node", "mark")
+    found = links(named, seen.where("cell is not null").select("cell", "mark"), reps, share, shingle, slice_shingles)
+    joined = components(found).withColumnRenamed("node", "mark")
     least = saved(reps.join(joined, "mark", "left").select("mark", "doc_id", F.coalesce("component", "mark").alias("component")))
     least = least.join(least.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("mark", "component_id")
     out = described.where("n > 0").join(least, "mark", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
