@@ -54,7 +54,7 @@ def search_results(spark, sf_dir):
 
 
 def separator_fields(spark, sf_dir):
-    lines = view(spark, sf_dir, "lines").where(F.col("line_no") <= 3)
+    lines = view(spark, sf_dir, "lines")
     return lines.where(field(2, ",").matches("^ ?the\\b").on(F.col("text"))).select("path", "line_no")
 
 
@@ -137,7 +137,7 @@ ORACLE = {
         "lines",
     ),
     "separator_fields": with_views(
-        "SELECT path, line_no FROM v_lines WHERE line_no <= 3 AND regexp_matches(string_split(text, ',')[2], '(?i)^ ?the\\b')", "lines"
+        "SELECT path, line_no FROM v_lines WHERE regexp_matches(string_split(text, ',')[2], '(?i)^ ?the\\b')", "lines"
     ),
     "repeated_paths": with_views(
         """SELECT h.file_id, h.entry_ord, h.line_no AS hit_line, x.line_no, md5(x.text) AS digest FROM v_lines h JOIN v_lines x

@@ -12,7 +12,7 @@ from logquarry.operators import portals as po
 from logquarry.operators.ordered import settle
 from logquarry.plans.views import view, with_views
 from logquarry.sources import archives as ar
-from logquarry.sources.xmlnodes import xml_nodes
+from logquarry.sources.xmlnodes import xml_nodes, xml_status
 
 
 def _config(spark, sf_dir):
@@ -24,6 +24,16 @@ def config_nodes(spark, sf_dir):
     return nodes.groupBy("file_id", "tag", "depth").agg(F.count(F.lit(1)).alias("n"), F.max("name").alias("last_name"))
 
 
+def malformed_elements(spark, sf_dir):
+    """One malformed document of all customers, read in chunks: every element with its place among those of its tag."""
+    nodes = xml_nodes(view(spark, sf_dir, "broken_xml"), 1024)
+    return nodes.where("depth > 0").select("tag", "depth", "nth", "parent_nth", "name", F.element_at("attrs", F.lit("kind")).alias("kind"), "text", "collected")
+
+
+def document_status(spark, sf_dir):
+    return xml_status(view(spark, sf_dir, "broken_xml"), 1024).select("file_id", "starts", "unclosed", "ignored_ends")
+
+
 def policy_union(spark, sf_dir):
     rows = ct.section_table(_config(spark, sf_dir), "security", "rulebase")
     return rows.select("file_id", "origin", "name", F.col("From Zone").alias("from_zone"), F.col("Action").alias("action"))
@@ -93,6 +103,8 @@ def portals(spark, sf_dir):
 
 QUERIES = {
     "config_nodes": config_nodes,
+    "malformed_elements": malformed_elements,
+    "document_status": document_status,
     "policy_union": policy_union,
     "reverse_lookup": reverse_lookup,
     "zone_table": zone_table,
@@ -108,6 +120,9 @@ QUERIES = {
     "gateway_notes": gateway_notes,
     "portals": portals,
 }
+# what the view writes: each entry begins on a line of its own, those of remainder 5 go on in the next line
+BROKEN = """WITH e AS (SELECT c_custkey AS k, c_nationkey AS n, c_custkey % 6 AS r, row_number() OVER (ORDER BY c_custkey) - 1 AS nth
+      FROM customer WHERE c_custkey > 0 AND (c_custkey % 6 IN (1, 2, 4) OR c_custkey % 6 = 5 AND c_custkey < (SELECT max(c_custkey) FROM customer)))"""
 CUSTOMERS = "WITH c AS (SELECT *, concat('fw', c_nationkey) AS file_id, c_custkey AS k, c_custkey % 5 AS r FROM customer)"
 RULES = "c.r < 3"
 ENTRY_TAGS = " UNION ALL ".join(
@@ -214,6 +229,13 @@ ORACLE = {
         LEFT JOIN g ON g.file_id = b.file_id""",
         "bundle_entries",
     ),
+    "malformed_elements": BROKEN
+    + """ SELECT 'entry' AS tag, 1 AS depth, nth, 0 AS parent_nth, CASE r WHEN 1 THEN k::VARCHAR ELSE concat('c', k) END AS name,
+          CASE WHEN r = 5 THEN (k + 1)::VARCHAR END AS kind, '' AS text,
+          CASE r WHEN 5 THEN '' WHEN 4 THEN concat(n, ' & more') ELSE n::VARCHAR END AS collected FROM e
+        UNION ALL SELECT 'v', 2, 0, nth, NULL, NULL, CASE r WHEN 5 THEN '' WHEN 4 THEN concat(n, ' & more') ELSE n::VARCHAR END,
+          CASE r WHEN 5 THEN '' WHEN 4 THEN concat(n, ' & more') ELSE n::VARCHAR END FROM e""",
+    "document_status": BROKEN + " SELECT 'fleet' AS file_id, 1 + 2 * count(*) AS starts, 1 AS unclosed, count(*) FILTER (r = 1) AS ignored_ends FROM e",
     "sub_folders": with_views(
         "SELECT DISTINCT file_id, split_part(path, '/', 1) AS folder FROM v_bundle_entries WHERE contains(path, '/')", "bundle_entries"
     ),

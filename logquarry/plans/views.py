@@ -133,6 +133,17 @@ VIEWS = {
         UNION ALL SELECT DISTINCT concat('pc', p_size), 0, 'pan_gp_hrpt.xml', CAST(-1 AS BIGINT),
           concat('<hip-report><generate-time>01/02/2024 03:04:05</generate-time><user-name>u', p_size, '</user-name><categories>') FROM {part}
         UNION ALL SELECT DISTINCT concat('pc', p_size), 0, 'pan_gp_hrpt.xml', CAST(4000000000 AS BIGINT), '</categories></hip-report>' FROM {part}""",
+    # one document of all customers: unquoted attributes, stray and missing closing tags, comments over lines, no end of the root
+    "broken_xml": """
+        SELECT 'fleet' AS file_id, 0 AS entry_ord, 'all-customers.xml' AS path, c_custkey AS line_no,
+               CASE c_custkey % 6 WHEN 1 THEN concat('<entry name=', c_custkey, '><v>', c_nationkey, '</v></stray></entry>')
+                    WHEN 2 THEN concat('<entry name="c', c_custkey, '"><v>', c_nationkey, '</entry>')
+                    WHEN 3 THEN concat('<!-- <entry name="', c_custkey, '">')
+                    WHEN 4 THEN concat('<entry name="hidden"/>--><entry name="c', c_custkey, '"><v>', c_nationkey, ' & more</v></entry>')
+                    WHEN 5 THEN concat('<entry name="c', c_custkey, '"')
+                    ELSE concat(' kind="', c_custkey, '"><v a="1>0"/></entry>') END AS text
+        FROM {customer} WHERE c_custkey > 0
+        UNION ALL SELECT 'fleet', 0, 'all-customers.xml', CAST(-1 AS BIGINT), '<list>' FROM {region} WHERE r_regionkey = 0""",
     "bundle_entries": """
         SELECT concat('a', CAST(floor(doc_id / 7) AS BIGINT)) AS file_id, doc_id % 7 AS entry_ord, n_chars AS size, false AS is_binary,
                CASE WHEN doc_id % 31 = 3 THEN concat('x/opt/pancfg/', lang, '.conf') WHEN doc_id % 29 = 4 THEN 'var/log/pan/dp0-monitor.log'
