@@ -16,6 +16,8 @@ first language by name; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
@@ -40,7 +42,9 @@ SCORE_WORDS = 20
 UNKNOWN = "und"
 START = "▁"
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Signs that count as word characters and as no decimal, but are no letters either; Java's letters leave them out as well.
+_SIGNS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
+_WORD = re.compile(rf"[^\W\d_{re.escape(_SIGNS)}]+")
 
 
 def vocabulary(path: str = VOCABULARY) -> list[str]:

@@ -41,6 +41,8 @@ MIN_TEXTS = 3
 NEAR, TERM_CHARS = 40, 4
 MIN_CHANCE, MIN_BITS = 0.5, 6.0
 
+#: Spans that are gathered in one list before lists are joined.
+BLOCK = 256
 _SPAN = "array<struct<kind:string,start:int,stop:int,value:string>>"
 
 
@@ -76,9 +78,16 @@ def _placed(kind: str, found: str, gaps: str) -> Column:
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(value)).alias("stop"), value.alias("value"))
         return F.struct((start + F.length(value)).alias("at"), F.concat(held["spans"], F.array(span)).alias("spans"))
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), first, step, lambda held: held["spans"])
-    return F.when(F.size(found) > 0, walked).otherwise(F.array().cast(_SPAN))
+    # a list that grows is copied for each span, so spans are gathered by blocks and blocks are joined once
+    none, last = F.array().cast(_SPAN), F.size(found) - 1
+    first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("blocks"))
+
+    def block(held: Column, b: Column) -> Column:
+        own = F.aggregate(F.sequence(b * BLOCK, F.least(b * BLOCK + BLOCK - 1, last)), F.struct(held["at"].alias("at"), none.alias("spans")), step)
+        return F.transform(F.array(own), lambda x: F.struct(x["at"].alias("at"), F.concat(held["blocks"], F.array(x["spans"])).alias("blocks")))[0]
+
+    walked = F.aggregate(F.sequence(F.lit(0), F.floor(last / BLOCK).cast("int")), first, block, lambda held: F.flatten(held["blocks"]))
+    return F.when(F.size(found) > 0, walked).otherwise(none)
 
 
 def _checked(kind: str) -> Column:

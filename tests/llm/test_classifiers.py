@@ -109,3 +109,7 @@ def test_obfuscated_words_count():
     plain = toxicity.features("you are an 1d10t today", frozenset(), frozenset())
     assert plain[0] == 1 / 5 and plain[3] == 1 / 5 and plain[8] == 1 / 5
     assert toxicity.features("", frozenset(), frozenset()) == (0.0,) * 10
+
+
+def test_numeric_signs_are_no_letters(spark):
+    assert langid._WORD.findall("½ ² Ⅷ x² 一 é1ä") == ["x", "一", "é", "ä"]

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from logquarry.llm import decontaminate, sanitise, simhash, toxicity
+from logquarry.llm import decontaminate, sanitise, toxicity
 from tests.llm.test_decontaminate import nearest
 from tests.llm.test_sanitise import base
 
@@ -18,16 +18,19 @@ def test_stages_against_plain_versions(spark):
     scores = {r.doc_id: r.predicted for r in toxicity.report(docs, labels).collect()}
     assert set(rows[1]) == {k for k, v in scores.items() if v == 0} and len(rows[1]) < len(rows[0])
 
-    # of what the fingerprints say is near, the smallest id of each group
-    prints = {k: simhash.simhash(r.text.encode(), 5, 6) for k, r in rows[1].items()}
-    numbers = {k: int.from_bytes(p, "big") for k, p in prints.items()}
-    least = {k: k for k in numbers}
-    for _ in range(5):
-        for a in numbers:
-            for b in numbers:
-                if (numbers[a] ^ numbers[b]).bit_count() <= 67:
-                    least[a] = least[b] = min(least[a], least[b])
-    assert set(rows[2]) >= {k for k, v in least.items() if k == v} and len(rows[2]) < len(rows[1])
+    # of the texts whose sets of five words are alike, the smallest id of each group
+    def shingles(text):
+        words = text.encode().lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets = {k: shingles(r.text or "") for k, r in rows[1].items()}
+    least = {k: k for k in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                old, new = max(least[a], least[b]), min(least[a], least[b])
+                least = {k: new if v == old else v for k, v in least.items()}
+    assert set(rows[2]) == {k for k, v in least.items() if k == v} and len(rows[2]) < len(rows[1])
 
     items = [decontaminate.normal(r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     for k, r in rows[2].items():

@@ -75,3 +75,13 @@ def test_odd_rows_and_empty_tables(spark, odd, nothing):
     assert safe.columns == odd.columns
     rows = {(r.doc_id, r.spans, r.text) for r in safe.collect()}
     assert any(r[0] == 4 and r[2].endswith("[EMAIL]") and r[1] == 3 for r in rows) and (1, 3, None) in rows
+
+
+def test_many_spans_take_time_in_proportion(spark):
+    import time
+
+    n = 40_000
+    docs = documents(spark, [" ".join(f"a{i}@b.example.com" for i in range(n))])
+    start = time.time()
+    row = sanitise.with_base(docs).selectExpr("size(_base) as n", "element_at(_base, -1).stop as stop", "length(text) as size").first()
+    assert (row.n, row.stop) == (n, row.size) and time.time() - start < 15
