@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings, built from suffixes one bucket at a time.
+"""Removal of repeated byte strings, found by sampled strings and hashes of the stretches between them, one bucket at a time.
 
 A byte goes if a string of `LENGTH` bytes covers it that also starts earlier: in a smaller doc_id, or earlier
 in the same document. So every suffix has to be compared with all others to a depth of `LENGTH` bytes. Doing
