@@ -36,7 +36,7 @@ from logquarry.llm.common import saved
 TOP, LEAST, INSIDE = 2000, 10, 50
 SCALE = 1_000_000
 #: Phrases a task counts at a time, and pairs that one reading of the texts grows.
-ENTRIES, WAVE = 400_000, 200_000
+ENTRIES, WAVE = 250_000, 200_000
 #: Bytes of a pair by which tasks know it; pairs that share them are counted as well, which changes no count.
 KEY_BYTES = 64
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
