@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from logquarry.functions.matching import Condition, line_test
 from logquarry.functions.text import any_case, first_case, fold, groups, rows_where, trim_zeros, trimmed, unix
 from logquarry.functions.timestamps import iso_ntz
-from logquarry.operators.ordered import by_range, median_by_position, settle
+from logquarry.operators.ordered import CHUNK, by_range, median_by_position, settle
 
 # Line shape, noise, known events, template replacements, severities, thresholds.
 SYSTEM_LOG_FILE = r"show_log_system.*\.txt$"
@@ -312,55 +312,100 @@ def _micros(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
-def _anchor_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Greedy anchors over rows sorted by (key, segment, time); the state is one anchor."""
-    key, anchor = None, 0
+def _owned(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple[str, int], pd.DataFrame]]:
+    """Runs of rows of one key and chunk, as far as batches hold them together."""
     for batch in batches:
-        times, widths = batch["us"].to_numpy(), batch["width_us"].to_numpy()
-        owners = list(zip(batch["key"], batch["segment"]))
-        anchors = np.empty(len(batch), dtype="int64")
-        start = 0
-        while start < len(batch):
-            stop = start + 1
-            while stop < len(batch) and owners[stop] == owners[start]:
-                stop += 1
-            if owners[start] != key:
-                key, anchor = owners[start], times[start]
-            at = start
-            while at < stop:
-                if times[at] - anchor >= widths[at]:
-                    anchor = times[at]
-                end = start + int(np.searchsorted(times[start:stop], anchor + max(widths[at], 1)))
-                anchors[at:end] = anchor
-                at = max(end, at + 1)
-            start = stop
-        yield batch.assign(anchor=anchors)
+        if len(batch):
+            owner = (batch["key"] != batch["key"].shift()) | (batch["chunk"] != batch["chunk"].shift())
+            cuts = [*np.flatnonzero(owner.to_numpy()), len(batch)]
+            for at, end in zip(cuts, cuts[1:], strict=False):
+                yield (batch["key"].iat[at], int(batch["chunk"].iat[at])), batch.iloc[at:end]
+
+
+def _chunk_jumps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per key and chunk the events that may be its first anchor, and the last anchor that follows from each.
+
+    An anchor of an earlier chunk lies before this chunk's first event, so the first anchor here is among the events
+    less than a width after that event, or the one behind them.
+    """
+    held: list[np.ndarray] = []
+    own, width = None, 1
+
+    def ended() -> pd.DataFrame:
+        times = np.concatenate(held)
+        jump = np.searchsorted(times, times + width)
+        last = np.where(jump < len(times), jump, np.arange(len(times)))
+        while not np.array_equal(last, last[last]):
+            last = last[last]
+        heads = min(int(np.searchsorted(times, times[0] + width)) + 1, len(times))
+        return pd.DataFrame({"key": [own[0]], "chunk": [own[1]], "width_us": [width], "heads": [times[:heads]], "lasts": [times[last[:heads]]]})
+
+    for owner, rows in _owned(batches):
+        if owner != own:
+            if own is not None:
+                yield ended()
+            held, own, width = [], owner, max(int(rows["width_us"].iat[0]), 1)
+        held.append(rows["us"].to_numpy())
+    if own is not None:
+        yield ended()
+
+
+def _chunk_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per key and chunk the anchor that holds at its start, from the jumps of the chunks in order."""
+    own, anchor = None, None
+    for batch in batches:
+        entries = []
+        for key, width, heads, lasts in zip(batch["key"], batch["width_us"], batch["heads"], batch["lasts"], strict=True):
+            if key != own:
+                own, anchor = key, None
+            entries.append(anchor)
+            at = 0 if anchor is None else int(np.searchsorted(heads, anchor + width))
+            anchor = int(lasts[at]) if at < len(heads) else anchor
+        yield batch[["key", "chunk"]].assign(entry=pd.array(entries, "Int64"))
+
+
+def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The anchor of every event of rows sorted by key, chunk and time; the state is one anchor."""
+    own, anchor = None, 0
+    for owner, rows in _owned(batches):
+        times, width = rows["us"].to_numpy(), max(int(rows["width_us"].iat[0]), 1)
+        if owner != own:
+            own, entry = owner, rows["entry"].iat[0]
+            anchor = int(times[0]) if pd.isna(entry) else int(entry)
+        anchors, at = np.empty(len(rows), "int64"), 0
+        while at < len(rows):
+            if times[at] - anchor >= width:
+                anchor = int(times[at])
+            end = int(np.searchsorted(times, anchor + width))
+            anchors[at:end] = anchor
+            at = end
+        yield rows.drop(columns="entry").assign(anchor=anchors)
 
 
 def time_clusters(occurrences: DataFrame, keys: tuple[str, ...] = ("file_id", "label")) -> DataFrame:
     """Greedy clusters per key: a cluster holds the events less than one width after its first event.
 
-    Events are first counted per distinct timestamp (log stamps are whole seconds, so a key holds at
-    most one row per second of its span). A gap of at least one width always starts a new cluster, so
-    the rows are cut there and only the stretches in between are folded in order.
+    Events are first counted per distinct timestamp. Which events are first ones follows from the jumps to the first
+    event at least a width later: each chunk of a range partitioning tells where its possible first anchors lead,
+    these jumps are followed from chunk to chunk, and every chunk is clustered from the anchor at its start. So a key
+    without gaps is spread like any other.
     """
     spans = occurrences.groupBy(*keys).agg(F.min("ts").alias("_lo"), F.max("ts").alias("_hi"))
     width = cluster_width(F.timestamp_diff("MICROSECOND", F.col("_lo"), F.col("_hi")) / 1e6)
     spans = spans.select(*keys, (width.cast("long") * 1000000).alias("width_us"))
     counts = occurrences.groupBy(*keys, "ts").agg(F.count(F.lit(1)).alias("n"))
     timed = counts.join(spans, list(keys)).withColumn("us", _micros(F.col("ts")))
-    rows = by_range(timed, keys, ("us",)).shift({"before": "us"})
-    is_cut = F.col("before").isNull() | (F.col("us") - F.col("before") >= F.greatest("width_us", F.lit(1)))
-    rows = rows._with(rows.df.withColumn("cut", F.when(is_cut, F.col("us")))).carry({"segment": "cut"}).rows()
-    rows = rows.select(*keys, F.to_json(F.struct(*keys)).alias("key"), "segment", "us", "width_us", "n")
-    folded = (
-        rows.repartition(*keys, "segment")
-        .sortWithinPartitions("key", "segment", "us")
-        .mapInPandas(_anchor_batches, rows.schema.add("anchor", "long"))
-    )
+    chunk = F.col(CHUNK).cast("long").alias("chunk")
+    rows = by_range(timed, keys, ("us",)).df.select(*keys, F.to_json(F.struct(*keys)).alias("key"), chunk, "us", "width_us", "n")
+    by_chunk = ("key", "chunk")
+    jumps = rows.select(*by_chunk, "us", "width_us").repartition(*by_chunk).sortWithinPartitions(*by_chunk, "us")
+    jumps = jumps.mapInPandas(_chunk_jumps, "key string, chunk long, width_us long, heads array<long>, lasts array<long>")
+    entries = jumps.repartition("key").sortWithinPartitions(*by_chunk).mapInPandas(_chunk_entries, "key string, chunk long, entry long")
+    entered = rows.join(entries, list(by_chunk)).repartition(*by_chunk).sortWithinPartitions(*by_chunk, "us")
+    found = entered.mapInPandas(_anchors, entered.drop("entry").schema.add("anchor", "long"))
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return (
-        folded.groupBy(*keys, "anchor")
+        found.groupBy(*keys, "anchor")
         .agg(F.sum("n").alias("count"), F.max("us").alias("_last"))
         .select(
             *keys,
