@@ -460,7 +460,9 @@ def _spanning(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _dealt(rows: DataFrame, keys: tuple[str, ...], *order: str | Column) -> DataFrame:
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+    # a number of partitions, lest adaptive execution takes few bytes for little work
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys, *order)
 
 
 def _read(lines: DataFrame, chunk_lines: int) -> tuple[DataFrame, DataFrame]:
