@@ -86,11 +86,6 @@ def number_or_zero(text: Column) -> Column:
     return F.coalesce(number(text), F.lit(0.0))
 
 
-def lead_number_or_zero(text: Column) -> Column:
-    """Number before a trailing parenthesis, as in `12(0)`."""
-    return number_or_zero(F.substring_index(text, "(", 1))
-
-
 def field_number(text: Column) -> Column:
     """Leading number of a field with a unit (`78%`, `42ms`); an address such as 10.1.1.2 is null."""
     head = F.regexp_extract(trimmed(text), r"^[0-9.+-]+", 0)

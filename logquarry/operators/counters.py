@@ -17,7 +17,6 @@ from logquarry.functions.text import (
     fields,
     first_case,
     groups,
-    lead_number_or_zero,
     number_or_zero,
     sanitise,
     trimmed,
@@ -83,7 +82,6 @@ FIRST_NUMBER = r"-?\d+(?:\.\d+)?"
 UPTIME = r"up\s+(.+?),\s+\d+\s+users?"
 USERS = r",\s+(\d+)\s+users?"
 TOP_LOAD = r"load average:\s*([\d.]+),\s*([\d.]+),\s*([\d.]+)"
-NUMBER_WORD = r"([\d.]+)\s+([A-Za-z/]+)"
 THREAD = r"^:thread (\d+)"
 THREAD_VALUE = r"^:thread (\d+) (rcv_tot|deq|null|submit|desubmit|sel to|sel ok|pow_wait) (\d+)"
 IO_WQE = r"^:io: wqe alloc (\d+) wqe null (\d+)"
@@ -189,7 +187,8 @@ OWN_FORMAT = (
 
 FILE = ("file_id", "entry_ord", "path")
 BLOCK = (*FILE, "block_at")
-SAMPLE = "array<struct<name:string,value:double,minutes:int>>"
+#: Values stay text until they are one column, read as numbers once in `_long`.
+SAMPLE = "array<struct<name:string,text:string,minutes:int>>"
 
 
 def _clean() -> Column:
@@ -214,21 +213,21 @@ def _name(*parts: str | Column) -> Column:
 
 def _sample(name: Column, value: Column, minutes: Column | int = 0) -> Column:
     back = F.lit(minutes) if isinstance(minutes, int) else minutes.cast("int")
-    return F.struct(name.alias("name"), value.cast("double").alias("value"), back.alias("minutes"))
+    return F.struct(name.alias("name"), value.cast("string").alias("text"), back.alias("minutes"))
 
 
 def _columns(base: Column, pattern: str, names: Sequence[str], first_group: int, joint: str = "_") -> Column:
     """One sample per named group of a row pattern."""
     return F.array(
-        *[_sample(F.concat(base, F.lit(joint + n)), _value(pattern, first_group + i)) for i, n in enumerate(names)]
+        *[_sample(F.concat(base, F.lit(joint + n)), _part(pattern, first_group + i)) for i, n in enumerate(names)]
     )
 
 
-def _positional(base: Column, values: Column, names: Sequence[str], read=number_or_zero) -> Column:
+def _positional(base: Column, values: Column, names: Sequence[str]) -> Column:
     """One sample per value present, up to the number of names."""
     known = F.array(*[F.lit(n) for n in names])
     return F.transform(
-        F.slice(values, 1, len(names)), lambda v, i: _sample(F.concat(base, F.lit("_"), F.get(known, i)), read(v))
+        F.slice(values, 1, len(names)), lambda v, i: _sample(F.concat(base, F.lit("_"), F.get(known, i)), v)
     )
 
 
@@ -329,22 +328,11 @@ def _uptime_minutes(text: Column) -> Column:
 
 def _word_values(names: dict[str, str]) -> Column:
     """Samples for `number word` pairs; the last of several equal words wins."""
-    numbers = F.regexp_extract_all(_clean(), F.lit(NUMBER_WORD), 1)
-    words = F.regexp_extract_all(_clean(), F.lit(NUMBER_WORD), 2)
-    pairs = F.arrays_zip(numbers.alias("number"), words.alias("word"))
 
     def last(word: str) -> Column:
-        found = F.filter(pairs, lambda p: p["word"] == word)
-        return F.get(found, F.size(found) - 1)["number"]
+        return _part(r"^(?:.*[^\d.])?([\d.]+)\s+" + word + "(?![A-Za-z/])")
 
-    return F.array_compact(
-        F.array(
-            *[
-                F.when(last(w).isNotNull(), _sample(_name("__top__", n), number_or_zero(last(w))))
-                for w, n in names.items()
-            ]
-        )
-    )
+    return F.array_compact(F.array(*[F.when(last(w) != "", _sample(_name("__top__", n), last(w))) for w, n in names.items()]))
 
 
 def _block_rows() -> list[tuple[Column, Column]]:
@@ -368,7 +356,7 @@ def _block_rows() -> list[tuple[Column, Column]]:
     count = F.regexp_extract(_clean(), FIRST_NUMBER, 0)
     process = _name("__processes__", sanitise(f[0]), F.lit("_"), F.get(f, 1))
     process_row = (F.size(f) >= 6) & F.get(f, 1).rlike(r"^\d+$")
-    lazy = F.when(F.size(f) >= 8, F.array(_sample(F.concat(process, F.lit("_res_swap_sub_lazy")), number_or_zero(F.element_at(f, -1)))))
+    lazy = F.when(F.size(f) >= 8, F.array(_sample(F.concat(process, F.lit("_res_swap_sub_lazy")), F.element_at(f, -1))))
     mount = F.when(_part(FILESYSTEM_ROW) == "/", F.lit("root")).otherwise(sanitise(_part(FILESYSTEM_ROW)))
     top = _name("__topprocess__", sanitise(F.get(f, 11)), F.lit("_"), F.get(f, 0), F.lit("__"))
 
@@ -376,32 +364,32 @@ def _block_rows() -> list[tuple[Column, Column]]:
         return _sample(F.concat(top, F.lit(name)), value)
 
     def column(i: int) -> Column:
-        return number_or_zero(F.get(f, i))
+        return F.get(f, i)
 
     uptime = _part(UPTIME)
     top_line = F.array_compact(
         F.array(
             F.when(uptime != "", _sample(_name("__top__uptime_minutes"), _uptime_minutes(uptime))),
-            F.when(_is(USERS), _sample(_name("__top__user_sess"), _value(USERS, 1))),
+            F.when(_is(USERS), _sample(_name("__top__user_sess"), _part(USERS))),
             *[
-                F.when(_is(TOP_LOAD), _sample(_name(f"__top__load_avg_{n}"), _value(TOP_LOAD, i + 1)))
+                F.when(_is(TOP_LOAD), _sample(_name(f"__top__load_avg_{n}"), _part(TOP_LOAD, i + 1)))
                 for i, n in enumerate((1, 5, 15))
             ],
         )
     )
     active = _value(SLAB_ROW, 2)
     return [
-        ((block == "cpu") & load, F.array(*[_sample(_name(f"__cpu_load_avg__i_{n}"), _value(LOAD_AVERAGE, i + 1)) for i, n in enumerate((1, 5, 15))])),
-        ((block == "cpu") & average, F.array(*[_sample(_name(f"__cpu__last_3m_{n}_pct"), _value(CPU_AVERAGE, i + 1)) for i, n in enumerate(("avg", "max"))])),
-        ((block == "ifconfig") & rxtx, F.transform(F.arrays_zip(F.col("rxtx.names").alias("n"), values.alias("v")), lambda p: _sample(F.concat(traffic, sanitise(p["n"])), number_or_zero(p["v"])))),
+        ((block == "cpu") & load, F.array(*[_sample(_name(f"__cpu_load_avg__i_{n}"), _part(LOAD_AVERAGE, i + 1)) for i, n in enumerate((1, 5, 15))])),
+        ((block == "cpu") & average, F.array(*[_sample(_name(f"__cpu__last_3m_{n}_pct"), _part(CPU_AVERAGE, i + 1)) for i, n in enumerate(("avg", "max"))])),
+        ((block == "ifconfig") & rxtx, F.transform(F.arrays_zip(F.col("rxtx.names").alias("n"), values.alias("v")), lambda p: _sample(F.concat(traffic, sanitise(p["n"])), p["v"]))),
         ((block == "memory") & _is(MEMORY_ROW), _columns(_name("__memory__"), MEMORY_ROW, MEMORY_COLUMNS, 1, "")),
         ((block == "memory") & _is(SWAP_ROW), _columns(_name("__memory__"), SWAP_ROW, SWAP_COLUMNS, 1, "")),
-        ((block == "memory_detail") & _is(MEMORY_DETAIL), F.array(_sample(_name("__memorydetail__", sanitise(_part(MEMORY_DETAIL))), _value(MEMORY_DETAIL, 2)))),
+        ((block == "memory_detail") & _is(MEMORY_DETAIL), F.array(_sample(_name("__memorydetail__", sanitise(_part(MEMORY_DETAIL))), _part(MEMORY_DETAIL, 2)))),
         ((block == "slabinfo") & slab_row, F.concat(_columns(slab, SLAB_ROW, ("activeobjs", "numobjs", "objsize"), 2), F.array(_sample(F.concat(slab, F.lit("_totalactsize")), active * _value(SLAB_ROW, 4))))),
-        ((block == "logrcvr_statistics") & receiver_row, F.array(_sample(_name("__logreceiver_statistics__", receiver), _value(RECEIVER_LINE, 2)))),
-        ((block == "netstat_stats") & has_stats & _is(STATS_LABEL_FIRST), F.array(_sample(F.concat(stats, sanitise(_part(STATS_LABEL_FIRST))), _value(STATS_LABEL_FIRST, 2)))),
-        ((block == "netstat_stats") & has_stats & _is(STATS_NUMBER_FIRST), F.array(_sample(F.concat(stats, sanitise(_part(STATS_NUMBER_FIRST, 2))), _value(STATS_NUMBER_FIRST, 1)))),
-        ((block == "processes") & _clean().startswith("Total num processes"), F.array_compact(F.array(F.when(count != "", _sample(_name("__total__processes"), number_or_zero(count)))))),
+        ((block == "logrcvr_statistics") & receiver_row, F.array(_sample(_name("__logreceiver_statistics__", receiver), _part(RECEIVER_LINE, 2)))),
+        ((block == "netstat_stats") & has_stats & _is(STATS_LABEL_FIRST), F.array(_sample(F.concat(stats, sanitise(_part(STATS_LABEL_FIRST))), _part(STATS_LABEL_FIRST, 2)))),
+        ((block == "netstat_stats") & has_stats & _is(STATS_NUMBER_FIRST), F.array(_sample(F.concat(stats, sanitise(_part(STATS_NUMBER_FIRST, 2))), _part(STATS_NUMBER_FIRST, 1)))),
+        ((block == "processes") & _clean().startswith("Total num processes"), F.array_compact(F.array(F.when(count != "", _sample(_name("__total__processes"), count))))),
         ((block == "processes") & totals, _positional(_name("__total_"), F.slice(f, 2, 5), TOTALS_COLUMNS)),
         ((block == "processes") & process_row, F.concat(_positional(process, F.slice(f, 3, 4), PROCESS_COLUMNS), F.coalesce(lazy, F.array().cast(SAMPLE)))),
         ((block == "filesystem") & _is(FILESYSTEM_ROW), _columns(_name("__filesystem__", mount), FILESYSTEM_ROW, ("pct", "used_kb"), 2)),
@@ -434,13 +422,13 @@ def _session_rows() -> Column:
     first = F.regexp_extract(text, FIRST_NUMBER, 0)
     value = first_case(
         [
-            (text.contains("True"), F.lit(1.0)),
-            (text.contains("False"), F.lit(-1.0)),
-            (first != "", number_or_zero(first)),
+            (text.contains("True"), F.lit("1")),
+            (text.contains("False"), F.lit("-1")),
+            (first != "", first),
         ]
     )
     discard = [f"__si__timeout_discard_{n}" for n in ("tcp", "udp", "sctp", "other_ip")]
-    several = F.array(*[_sample(_name(n), _value(DISCARD_TIMEOUTS, i + 1)) for i, n in enumerate(discard)])
+    several = F.array(*[_sample(_name(n), _part(DISCARD_TIMEOUTS, i + 1)) for i, n in enumerate(discard)])
     single = F.when(body.contains(":") & suffix.isNotNull() & value.isNotNull(), F.array(_sample(_name("__si__", suffix), value)))
     return F.when(_is(DISCARD_TIMEOUTS), several).otherwise(single)
 
@@ -462,7 +450,7 @@ def _section_rows() -> list[tuple[Column, Column]]:
                 *[
                     _sample(
                         _name("__cpu__", F.format_string("%02d", core_id.cast("int")), F.lit(f"_{kind}")),
-                        number_or_zero(F.get(row, 2 * i + offset)),
+                        F.get(row, 2 * i + offset),
                         minutes,
                     )
                     for offset, kind in enumerate(("avg", "max"))
@@ -476,7 +464,7 @@ def _section_rows() -> list[tuple[Column, Column]]:
         F.col("task.ids"),
         lambda core_id, i: _sample(
             _name("__gc", F.format_string("%02d", core_id.cast("int")), F.lit("__"), _part(TASK_ROW)),
-            number_or_zero(F.get(task_values, i)),
+            F.get(task_values, i),
         ),
     )
 
@@ -485,24 +473,29 @@ def _section_rows() -> list[tuple[Column, Column]]:
         share = F.when(total != 0, _sample(F.concat(base, F.lit("_pct")), F.try_divide(free, total)))
         return F.array_compact(F.array(_sample(base, free), share))
 
-    def named(prefix: str, pattern: str, names: Sequence[str], read=number_or_zero) -> Column:
-        return _positional(_name(prefix, sanitise(_part(pattern))), fields(_part(pattern, 2)), names, read)
+    def named(prefix: str, pattern: str, names: Sequence[str]) -> Column:
+        return _positional(_name(prefix, sanitise(_part(pattern))), fields(_part(pattern, 2)), names)
+
+    def leading(prefix: str, names: Sequence[str]) -> Column:
+        """Of `12(0)` the part in front of the parenthesis."""
+        values = F.transform(fields(_part(NAMED_ROW, 2)), lambda v: F.substring_index(v, "(", 1))
+        return _positional(_name(prefix, sanitise(_part(NAMED_ROW))), values, names)
 
     timing = _name("__procusd__", F.col("section.kind"), F.lit("__"), F.col("section.name"), F.lit("_c"), _part(TIMING_DETAIL_ROW))
     resource_row = (F.col("res.at") > F.greatest(start, F.coalesce("resource_at", start))) & _is(RESOURCE_ROW)
     resource = F.transform(
-        fields(_part(RESOURCE_ROW)), lambda v, i: _sample(_name("__ru__", F.col("res.name")), number_or_zero(v), i)
+        fields(_part(RESOURCE_ROW)), lambda v, i: _sample(_name("__ru__", F.col("res.name")), v, i)
     )
     thread_id = F.when(F.col("thread.at") > start, F.col("thread.id")).otherwise(F.lit(0))
     thread = _name("__vmpow__thread", F.format_string("%02d", thread_id), F.lit("__"))
     thread_field = F.replace(_part(THREAD_VALUE, 2), F.lit(" "), F.lit("_"))
     return [
-        (inside("gc") & kept & _is(GLOBAL_COUNTER), F.array(_sample(_name("__gc__", _part(GLOBAL_COUNTER)), _value(GLOBAL_COUNTER, 2)))),
+        (inside("gc") & kept & _is(GLOBAL_COUNTER), F.array(_sample(_name("__gc__", _part(GLOBAL_COUNTER)), _part(GLOBAL_COUNTER, 2)))),
         (inside("cpu15m") & F.col("core_row"), core),
         (inside("cache") & _is(CACHE_ROW), _columns(_name("__ct__", sanitise(_part(CACHE_ROW))), CACHE_ROW, CACHE_COLUMNS, 2)),
         (inside("pertask") & task_row, task),
-        (inside("mempool") & _is(NAMED_ROW), named("__pool__mempool__", NAMED_ROW, MEM_POOL_COLUMNS, lead_number_or_zero)),
-        (inside("sharedpool") & _is(NAMED_ROW), named("__pool__sharedpool__", NAMED_ROW, SHARED_POOL_COLUMNS, lead_number_or_zero)),
+        (inside("mempool") & _is(NAMED_ROW), leading("__pool__mempool__", MEM_POOL_COLUMNS)),
+        (inside("sharedpool") & _is(NAMED_ROW), leading("__pool__sharedpool__", SHARED_POOL_COLUMNS)),
         (inside("softpool") & _is(SOFT_POOL_ROW), pool("softpool", SOFT_POOL_ROW)),
         (inside("powpool") & _is(POW_POOL_ROW), pool("powpool", POW_POOL_ROW)),
         (inside("procus_func") & _is(TIMING_ROW), named("__procus__func__", TIMING_ROW, TIMING_COLUMNS)),
@@ -510,18 +503,19 @@ def _section_rows() -> list[tuple[Column, Column]]:
         (inside("procusd") & _is(TIMING_DETAIL_ROW) & (F.col("section.name") != ""), _columns(timing, TIMING_DETAIL_ROW, TIMING_DETAIL_COLUMNS, 2)),
         (inside("ru") & resource_row, resource),
         ((F.col("section.mode") == "si") & (line >= start), _session_rows()),
-        (inside("vmpow") & _is(THREAD_VALUE), F.array(_sample(F.concat(thread, thread_field), _value(THREAD_VALUE, 3)))),
-        (inside("vmpow") & _is(IO_WQE), F.array(*[_sample(F.concat(thread, F.lit(f"io_wqe_{n}")), _value(IO_WQE, i + 1)) for i, n in enumerate(("alloc", "null"))])),
-        (inside("vmpow") & _is(INFLIGHT_WQE), F.array(_sample(_name("__vmpow__total_inflight_wqe"), _value(INFLIGHT_WQE, 1)))),
-        (inside("vmpow") & _is(USED_WQE), F.array(*[_sample(_name(f"__vmpow__used_wqe{n}"), _value(USED_WQE, i + 1)) for i, n in enumerate(("", "_total", "_pct"))])),
-        (inside("vmpow") & _is(RECEIVE_THRESHOLD), F.array(_sample(_name("__vmpow__rcv_thresh"), _value(RECEIVE_THRESHOLD, 1)))),
+        (inside("vmpow") & _is(THREAD_VALUE), F.array(_sample(F.concat(thread, thread_field), _part(THREAD_VALUE, 3)))),
+        (inside("vmpow") & _is(IO_WQE), F.array(*[_sample(F.concat(thread, F.lit(f"io_wqe_{n}")), _part(IO_WQE, i + 1)) for i, n in enumerate(("alloc", "null"))])),
+        (inside("vmpow") & _is(INFLIGHT_WQE), F.array(_sample(_name("__vmpow__total_inflight_wqe"), _part(INFLIGHT_WQE, 1)))),
+        (inside("vmpow") & _is(USED_WQE), F.array(*[_sample(_name(f"__vmpow__used_wqe{n}"), _part(USED_WQE, i + 1)) for i, n in enumerate(("", "_total", "_pct"))])),
+        (inside("vmpow") & _is(RECEIVE_THRESHOLD), F.array(_sample(_name("__vmpow__rcv_thresh"), _part(RECEIVE_THRESHOLD, 1)))),
     ]
 
 
 def _long(rows: DataFrame, samples: Column) -> DataFrame:
     exploded = rows.select("file_id", "entry_ord", "line_no", "ts", F.posexplode(samples).alias("emit_ord", "s"))
     ts = F.timestamp_add("MINUTE", -F.col("s.minutes"), F.col("ts"))
-    return exploded.select("file_id", "s.name", ts.alias("ts"), "s.value", "entry_ord", "line_no", "emit_ord")
+    value = number_or_zero(F.col("s.text")).alias("value")
+    return exploded.select("file_id", "s.name", ts.alias("ts"), value, "entry_ord", "line_no", "emit_ord")
 
 
 def socket_queues(rows: DataFrame) -> DataFrame:

@@ -141,6 +141,71 @@ ROWS = {
     "pow_a": "11|'vmpow__thread03__sel_ok'|u|8|0",
     "pow_b": "11|'vmpow__thread03__io_wqe_alloc'|4|9|0",
     "pow_c": "11|'vmpow__thread03__io_wqe_null'|v|9|0",
+    "task_a": "10|'top__tasks_total'|300|4|0",
+    "task_b": "10|'top__tasks_running'|u|4|0",
+    "ram_a": "10|'top__mem_total'|7921.5|5|0",
+    "ram_b": "10|'top__mem_free'|u + 0.5|5|0",
+    "swap_a": "10|'top__swap_total'|4000|6|0",
+    "swap_b": "10|'top__swap_free'|u|6|0",
+    "swap_c": "10|'top__swap_used'|100|6|0",
+    "swap_d": "10|'top__avail_mem'|2500.5|6|0",
+    "cache_a": "12|concat('ct__ssl_', t, '_max_entries')|v|2|0",
+    "cache_b": "12|concat('ct__ssl_', t, '_cur_entries')|u|2|0",
+    "cache_c": "12|concat('ct__ssl_', t, '_max_alloc')|177|2|0",
+    "cache_d": "12|concat('ct__ssl_', t, '_cur_sz_b')|14080|2|0",
+    "cache_e": "12|concat('ct__ssl_', t, '_insert_failure')|0|2|0",
+    "pertask_a": "12|concat('gc01__pkt_', t)|v|6|0",
+    "pertask_b": "12|concat(printf('gc%02d', u + 2), '__pkt_', t)|u|6|0",
+    "shared_a": "12|'pool__sharedpool__appid_quota'|v|9|0",
+    "shared_b": "12|'pool__sharedpool__appid_threshold'|80|9|0",
+    "shared_c": "12|'pool__sharedpool__appid_min_alloc'|u|9|0",
+    "shared_d": "12|'pool__sharedpool__appid_cur_alloc'|2|9|0",
+    "detail_a_a": "13|'memorydetail__memavailable'|v|1|0",
+    "detail_b_a": "13|'memorydetail__hugepages_total'|0|2|0",
+    "detail_c_a": "13|'memorydetail__active_anon'|-(u + 1)|3|0",
+    "slab_a": "14|concat('slabinfo__kmalloc_', u, '_activeobjs')|v|3|0",
+    "slab_b": "14|concat('slabinfo__kmalloc_', u, '_numobjs')|20|3|0",
+    "slab_c": "14|concat('slabinfo__kmalloc_', u, '_objsize')|96|3|0",
+    "slab_d": "14|concat('slabinfo__kmalloc_', u, '_totalactsize')|v * 96|3|0",
+    "receiver_a_a": "15|'logreceiver_statistics__log_incoming_rate'|u|1|0",
+    "receiver_b_a": "15|'logreceiver_statistics__total_mb'|u + 0.5|3|0",
+    "stats_a_a": "16|'nsstats__ip__total_packets_received'|v|3|0",
+    "stats_b_a": "16|'nsstats__ip__forwarding'|u|4|0",
+    "stats_c_a": "16|'nsstats__tcpext__resets_sent'|u|6|0",
+    "files_a_a": "17|'filesystem__root_pct'|u % 100|1|0",
+    "files_a_b": "17|'filesystem__root_used_kb'|v|1|0",
+    "files_b_a": "17|concat('filesystem__opt_repo', u % 3, '_pct')|5|2|0",
+    "files_b_b": "17|concat('filesystem__opt_repo', u % 3, '_used_kb')|u|2|0",
+    "atomic_a_a": "18|'pool__powpool__work_entries'|v|2|0",
+    "atomic_a_b": "18|'pool__powpool__work_entries_pct'|v / 200|2|0",
+    "atomic_b_a": "18|'pool__powpool__idle'|5|3|0",
+    "func_a": "18|'procus__func__pan_a_max_us'|v|5|0",
+    "func_b": "18|'procus__func__pan_a_avg_us'|5|5|0",
+    "func_c": "18|'procus__func__pan_a_count'|3|5|0",
+    "func_d": "18|'procus__func__pan_a_total_us'|u|5|0",
+    "func_e": "18|'procus__func__pan_a_ac_max_us'|1|5|0",
+    "group_a": "18|concat('procus__group__grp_', t, '_max_us')|u|7|0",
+    "group_b": "18|concat('procus__group__grp_', t, '_avg_us')|2|7|0",
+    "ticks_a_a": "18|'procusd__group__detail_one_c2_avg_ticks'|u|9|0",
+    "ticks_a_b": "18|'procusd__group__detail_one_c2_avg_us'|12|9|0",
+    "ticks_a_c": "18|'procusd__group__detail_one_c2_count'|13|9|0",
+    "ticks_a_d": "18|'procusd__group__detail_one_c2_total_us'|v|9|0",
+    "ticks_b_a": "18|concat('procusd__func__detail_two_c', u % 4, '_avg_ticks')|1|11|0",
+    "ticks_b_b": "18|concat('procusd__func__detail_two_c', u % 4, '_avg_us')|2|11|0",
+    "ticks_b_c": "18|concat('procusd__func__detail_two_c', u % 4, '_count')|3|11|0",
+    "ticks_b_d": "18|concat('procusd__func__detail_two_c', u % 4, '_total_us')|0|11|0",
+    "limit_a_a": "19|'si__sessions_supported'|5|1|0",
+    "limit_b_a": "19|'si__timeout_discard_tcp'|u|2|0",
+    "limit_b_b": "19|'si__timeout_discard_udp'|60|2|0",
+    "limit_b_c": "19|'si__timeout_discard_sctp'|30|2|0",
+    "limit_b_d": "19|'si__timeout_discard_other_ip'|45|2|0",
+    "limit_c_a": "19|'si__session_table_utelization_pct'|u % 100|3|0",
+    "wqe_a_a": "19|'vmpow__total_inflight_wqe'|u|5|0",
+    "wqe_b_a": "19|'vmpow__used_wqe'|u|6|0",
+    "wqe_b_b": "19|'vmpow__used_wqe_total'|v|6|0",
+    "wqe_b_c": "19|'vmpow__used_wqe_pct'|25|6|0",
+    "wqe_c_a": "19|'vmpow__rcv_thresh'|u|7|0",
+    "wqe_d_a": "19|'vmpow__thread02__rcv_tot'|9|8|0",
 }
 
 
@@ -150,13 +215,13 @@ def _expected() -> str:
         kind, name, value, line, back = spec.split("|")
         selects.append(
             f"SELECT file_id, concat(pl, '__', {name}) AS name, ts - to_minutes({back}) AS ts, ({value})::DOUBLE AS value,"
-            f" e * 32 + {line} AS line_no FROM b WHERE e % 12 = {kind}"
+            f" e * 32 + {line} AS line_no FROM b WHERE e % 20 = {kind}"
         )
     return BASE + ", x AS (" + " UNION ALL ".join(selects) + ")"
 
 
-APPS = """, apps AS (SELECT file_id, pl, ts, e, 15 AS id, 1 AS s, 2 AS p, 3 AS y, 4 AS c, 5 AS t FROM b WHERE e % 12 = 7
-      UNION ALL SELECT file_id, pl, ts, e, u, v, 27, 15, 0, 3 FROM b WHERE e % 12 = 7),
+APPS = """, apps AS (SELECT file_id, pl, ts, e, 15 AS id, 1 AS s, 2 AS p, 3 AS y, 4 AS c, 5 AS t FROM b WHERE e % 20 = 7
+      UNION ALL SELECT file_id, pl, ts, e, u, v, 27, 15, 0, 3 FROM b WHERE e % 20 = 7),
     named AS (SELECT apps.*, concat('vsys2_', coalesce(lower(regexp_replace(s_name, '[^A-Za-z0-9]+', '_', 'g')),
         concat('app_', id))) AS app FROM apps LEFT JOIN supplier ON s_suppkey = id AND s_suppkey % 3 <> 0
         AND concat('bundle', s_suppkey % 2) = file_id),
@@ -166,8 +231,8 @@ APPS = """, apps AS (SELECT file_id, pl, ts, e, 15 AS id, 1 AS s, 2 AS p, 3 AS y
 ORACLE = {
     "monitor_counters": _expected() + " SELECT file_id, name, ts, round(value, 6) AS value FROM x",
     "netstat_sum": BASE
-    + """, s AS (SELECT file_id, pl, ts, e, 'tcp' AS proto, u % 3 AS a, v + 5 AS r, 2 + 6 AS s FROM b WHERE e % 12 = 5
-           UNION ALL SELECT file_id, pl, ts, e, 'tcp6', u % 3, 4, u FROM b WHERE e % 12 = 5)
+    + """, s AS (SELECT file_id, pl, ts, e, 'tcp' AS proto, u % 3 AS a, v + 5 AS r, 2 + 6 AS s FROM b WHERE e % 20 = 5
+           UNION ALL SELECT file_id, pl, ts, e, 'tcp6', u % 3, 4, u FROM b WHERE e % 20 = 5)
         SELECT file_id, concat(pl, '__netstat_detail__', proto, '_app', a, '_recv_q') AS name, ts, r::DOUBLE AS value FROM s
         UNION ALL SELECT file_id, concat(pl, '__netstat_detail__', proto, '_app', a, '_send_q'), ts, s::DOUBLE FROM s""",
     "header_table_unpivot": _expected()

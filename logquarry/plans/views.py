@@ -188,7 +188,7 @@ VIEWS = {
                      concat('bundle', user_id % 2) AS file_id, CASE WHEN user_id % 4 < 2 THEN 'mp' ELSE 'dp' END AS plane,
                      concat({dash_ts}, '.087 -0700  --- ') AS h
                    FROM {events}),
-        s AS (SELECT *, CASE e % 12
+        s AS (SELECT *, CASE e % 20
           WHEN 0 THEN {list}(concat(h, 'panio'), ':Global counters:',
             concat(':Elapsed time since last sampling: ', 50 + u, '.5 seconds'), ':name   value  rate',
             concat(':pkt_', t, '   ', v, '   3'), concat(':pkt_sent   ', u, '   -1'), ':Total counters shown: 2',
@@ -215,10 +215,34 @@ VIEWS = {
           WHEN 9 THEN {list}(concat(h, 'panio'), concat(':Number of sessions supported:   ', v), ':Hardware session offloading: True',
             concat(':TCP default timeout:    ', u, ' secs'), ':Tunnel acceleration:   False')
           WHEN 10 THEN {list}(concat(h, 'top'), concat('top - 11:00 up 3 days, 02:0', u % 10, ',  ', u, ' users,  load average: 1.5, 2.5, ', u),
-            concat('%Cpu(s):  1.5 us, ', u, ' sy, 4 wa'), concat(u, ' root 20 0 ', v, 'm 12g 100 S 5.5 0.1 1:02.5 proc', u % 3))
-          ELSE {list}(concat(h, 'panio'), ':Software Pools', concat(':[ 1] Pool A  (  0):   ', v, '/1024'), ':[ 2] B (1): 3/0',
+            concat('%Cpu(s):  1.5 us, ', u, ' sy, 4 wa'), concat(u, ' root 20 0 ', v, 'm 12g 100 S 5.5 0.1 1:02.5 proc', u % 3),
+            concat('Tasks: 300 total,   ', u, ' running'), concat('MiB Mem :   7921.5 total,    ', u, '.5 free'),
+            concat('MiB Swap:   4000.0 total,   ', u, '.0 free,    100.0 used.   2500.5 avail Mem'))
+          WHEN 11 THEN {list}(concat(h, 'panio'), ':Software Pools', concat(':[ 1] Pool A  (  0):   ', v, '/1024'), ':[ 2] B (1): 3/0',
             ':Mem-Pool-Type  MaxSz', concat(':fptcp ', v, ' 2 3(0)'), ':thread 1 deq 5', ':pow parameters:', concat(':thread 3 sel ok ', u),
-            concat(':io: wqe alloc 4 wqe null ', v)) END AS ls FROM b)
+            concat(':io: wqe alloc 4 wqe null ', v))
+          WHEN 12 THEN {list}(concat(h, 'panio'), ':Cache-Type   MAX-Entries Cur-Entries Max.Alloc Cur.SZ(B)',
+            concat(':ssl_', t, '  ', v, ' ', u, ' 177 14080 0 l7_misc'), ':short_cache 1 2 3', ':  Per pan-task counter statistics',
+            concat(':Counter Name   1   ', u + 2, '  Total'), concat(':pkt_', t, ' ', v, ' ', u, ' 9'), ':short 1',
+            ':User  Quota Threshold', concat(':appid ', v, ' 80 ', u, ' 2(3)'))
+          WHEN 13 THEN {list}(concat(h, 'memory_detail'), concat('MemAvailable:  ', v, ' kB'), 'HugePages_Total:   0',
+            concat('Active(anon):  -', u + 1, ' kB'), 'not a pair')
+          WHEN 14 THEN {list}(concat(h, 'slabinfo'), 'slabinfo - version: 2.1', '# name 1 2 3 4 5 : x',
+            concat('kmalloc-', u, '   ', v, ' 20 96 42 1 : tunables 0 0 0'))
+          WHEN 15 THEN {list}(concat(h, 'logrcvr_statistics'), concat(' Log incoming rate:   ', u, '/sec'),
+            concat(' Traffic logs written:  ', v), concat(' Total (MB):   ', u, '.5'), ' Log incoming rate:  999/sec')
+          WHEN 16 THEN {list}(concat(h, 'netstat_stats'), '7 early lines', 'Ip:', concat('    ', v, ' total packets received'),
+            concat('    Forwarding: ', u), 'TcpExt:', concat('    ', u, ' resets sent'))
+          WHEN 17 THEN {list}(concat(h, 'filesystem'), concat('/  ', u % 100, '  ', v), concat('/opt/repo', u % 3, '  5  ', u),
+            'tmpfs none 3')
+          WHEN 18 THEN {list}(concat(h, 'panio'), ':Pow Atomic Memory Pools', concat(':[ 0] Work Entries   :    ', v, '/200'),
+            ':[ 1] Idle : 5/0', ':func   max-us avg-us', concat(':pan_a  ', v, ' 5 3 ', u, ' 1'), ':group  max-us',
+            concat(':grp_', t, ' ', u, ' 2'), ':detail_one (group)', concat(':   2   ', u, '  12 13 ', v), ':detail_two (func)',
+            concat(':  ', u % 4, ' 1 2 3 x'))
+          ELSE {list}(concat(h, 'panio'), ':Number of sessions supported:  5', concat(':Session timeout: TCP: ', u,
+            ' secs, UDP: 60 secs, SCTP: 30, other IP protocols: 45 secs'), concat(':Session table utilization:  ', u % 100, '%'),
+            ':pow parameters:', concat(':Total inflight wqe ', u), concat(':used wqe ', u, ' total wqe ', v, '  25% used'),
+            concat(':rcv_thresh : ', u), ':thread 2 rcv_tot 9') END AS ls FROM b)
         SELECT file_id, plane, e, {exploded}) q""",
     "counters": """
         SELECT concat('bundle', user_id % 2) AS file_id, concat('mp__evt__', event_type, '_', user_id % 5) AS name,
