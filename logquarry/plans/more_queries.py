@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from logquarry.functions.linefields import field
@@ -12,8 +14,10 @@ from logquarry.operators import kind as kd
 from logquarry.operators import memory as me
 from logquarry.operators import search as se
 from logquarry.operators import structure as st
-from logquarry.plans.views import view, with_views
+from logquarry.operators.ordered import shared_folder
+from logquarry.plans.views import table, view, with_views
 from logquarry.sources import archives as ar
+from logquarry.sources.tables import commit, current
 from logquarry.sources.xmlnodes import xml_nodes
 
 PATHS = tuple(f"docs/en/{i}.log" for i in range(0, 60, 7))
@@ -90,7 +94,21 @@ def first_oom(spark, sf_dir):
     return rows.select("file_id", "ooms", F.col("first.ts").alias("ts"))
 
 
+def result_sets(spark, sf_dir):
+    """Two generations of parsed archives: the second parses some again, a few of them to nothing."""
+    number = F.col("user_id") % 50
+    rows = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("bundle"), number).alias("file_id"), "event_id", "event_type", number.alias("number")
+    )
+    folder = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    commit(rows, rows, folder, ("event_id",))
+    again = rows.where(F.col("number") < 20)
+    commit(again.where((F.col("number") >= 5) & (F.col("event_type") == "click")), again, folder, ("event_id",))
+    return current(spark, folder).select("file_id", "event_id", "event_type")
+
+
 QUERIES = {
+    "result_sets": result_sets,
     "kind_labels": kind_labels,
     "gated_entries": gated_entries,
     "entry_listing": entry_listing,
@@ -114,6 +132,9 @@ KINDS = """
     k AS (SELECT file_id, CASE WHEN bool_or(fw) THEN 'firewall' WHEN bool_or(ag) OR (count_if(lg) >= 2 AND 2 * count_if(lg) >= count(*))
         THEN 'gp-agent' ELSE 'unknown' END AS kind FROM e GROUP BY 1)"""
 ORACLE = {
+    "result_sets": """
+        SELECT concat('bundle', user_id % 50) AS file_id, event_id, event_type FROM events
+        WHERE user_id % 50 >= 20 OR (user_id % 50 >= 5 AND event_type = 'click')""",
     "kind_labels": with_views(
         KINDS
         + """ SELECT file_id, CASE kind WHEN 'firewall' THEN 'Firewall tech-support' WHEN 'gp-agent' THEN 'GlobalProtect agent'

@@ -99,3 +99,27 @@ def test_save_replaces_one_archive(spark, tmp_path):
     tb.save(spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "file_id string, v int"), folder, ("v",))
     tb.save(spark.createDataFrame([("a", 9)], "file_id string, v int"), folder, ("v",))
     assert sorted((r.file_id, r.v) for r in tb.load(spark, folder).collect()) == [("a", 9), ("b", 3)]
+
+
+def test_generations(spark, tmp_path):
+    folder, shape = str(tmp_path / "g"), "file_id string, v int"
+
+    def table(*rows):
+        return spark.createDataFrame(list(rows), shape)
+
+    def seen():
+        return sorted(((r.file_id, r.v) for r in tb.current(spark, folder).collect()), key=str)
+
+    with pytest.raises(FileNotFoundError):
+        tb.current(spark, folder)
+    first = table(("a", 1), ("a", 2), ("b", 3), ("c", None), ("c", None))
+    assert tb.commit(first, first, folder, ("v",)) == 1
+    assert seen() == [("a", 1), ("a", 2), ("b", 3), ("c", None), ("c", None)]
+    # a is parsed again to nothing, b to another row; d is not named
+    assert tb.commit(table(("b", 4), ("d", 5)), table(("a", 0), ("b", 0), (None, 0)), folder, ("v",)) == 2
+    assert seen() == [("b", 4), ("c", None), ("c", None)]
+    # rows of a writer that died before its manifest
+    table(("c", 9)).write.parquet(f"{folder}/{tb.ROWS}/set=dead")
+    assert seen() == [("b", 4), ("c", None), ("c", None)]
+    assert tb.commit(table(), table(("b", 0), ("c", 0)), folder) == 3
+    assert seen() == []
