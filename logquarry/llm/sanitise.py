@@ -4,16 +4,19 @@ Base spans are leftmost non-overlapping matches of a kind's pattern in the whole
 their check are dropped. Spans count code points, the end is exclusive. The patterns run possessively and
 start only where a run of their characters starts (or the last match ended), so no text takes quadratic time.
 
-Terms: the values found are the protected entities. Words next to a value, in at least `MIN_TEXTS` different
-texts, are candidates. Over all documents, n(t) hold the term, n(t, e) hold it next to the entity and n(e)
-hold the entity; seeing the term makes the entity P(e|t) = n(t,e) / n(t) likely and is worth
-log2(P(e|t) / P(e)) bits. Terms beyond both thresholds are spans of kind `term` wherever they stand as whole
-words. `sanitised` generalises every span to the name of its kind.
-
-Defined results: a null text counts as empty and has no spans (`sanitised` leaves it null); repeated rows count
-as often as they occur but as one text for `MIN_TEXTS`; a row whose id is null has base spans only, rows that
-share an id share their terms; an empty table gives no rows; other columns are ignored by `report` and kept by
-`sanitised`.
+Terms: the values found are the protected entities; words are runs of letters and digits outside of emails,
+less the digits of the text's other values. Over all different texts, n(t) hold the term, n(e) the entity and
+n(t, e) both. Seeing the term makes the entity P(e|t) = n(t,e) / (n(t) + 1) likely, the estimate that one text
+more without the entity would leave, and is worth log2(P(e|t) / P(e)) bits. Terms beyond both thresholds are
+spans of kind `term` wherever they stand as whole words. What stands in one text alone is never beyond 1/2.
+`sanitised` generalises every span to the name of its kind.
+
+No pair is left out by a cap: n(t) + 1 <= n(e) / `min_chance` follows from n(t, e) <= n(e), and entities (or
+terms) of the very same texts have the same counts and are counted once. Words are known by 64-bit hashes.
+
+Defined results: a null text counts as empty and has no spans (`sanitised` leaves it null); rows of equal texts
+count as one and have the same spans, whatever their ids; an empty table gives no rows; other columns, of
+any name, are ignored by `report` and kept by `sanitised`.
 """
 
 from __future__ import annotations
@@ -35,11 +38,10 @@ PATTERNS = {
 #: What a text must hold for its kind's pattern to be tried.
 MARKS = {"email": "@", "phone": "+"}
 TERM = "term"
-#: A candidate stands next to one entity in so many different texts.
-MIN_TEXTS = 3
-#: Code points on either side that count as next to a value, and the least length of a term.
-NEAR, TERM_CHARS = 40, 4
-MIN_CHANCE, MIN_BITS = 0.5, 6.0
+MIN_CHANCE, MIN_BITS = 0.6, 6.0
+#: Names of which each takes more than this part of all rows are at most so many; they are joined apart.
+HOT = 10_000
+_WORD, _BETWEEN = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
 
 #: Spans that are gathered in one list before lists are joined.
 BLOCK = 256
@@ -94,60 +96,105 @@ def _checked(kind: str) -> Column:
     return F.filter(_placed(kind, f"_{kind}", f"_{kind}_gaps"), lambda span: CHECKS[kind](span["value"]))
 
 
-def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with `_base`: the checked spans of all kinds, in order."""
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+def with_base(docs: DataFrame, text: str | Column = "text") -> DataFrame:
+    """`docs`, which has no column whose name starts like those here, with `_base`: the checked spans of all kinds, in order."""
+    whole = F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit(""))
     found = {f"_{k}": F.regexp_extract_all(whole, F.lit(p), F.lit(0)) if k not in MARKS else F.when(F.contains(whole, F.lit(MARKS[k])), F.regexp_extract_all(whole, F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>")) for k, p in PATTERNS.items()}
     out = docs.withColumns(found)
     out = out.withColumns({f"_{k}_gaps": F.when(F.size(f"_{k}") > 0, F.split(whole, p, -1)) for k, p in PATTERNS.items()})
     return out.withColumn("_base", F.concat(*[_checked(k) for k in PATTERNS])).drop(*found, *[f"_{k}_gaps" for k in PATTERNS])
 
 
-def _words(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"\p{{L}}{{{TERM_CHARS},}}"), F.lit(0)))
-
-
-def _beside(text: Column, span: Column) -> Column:
-    """Words that stand whole within `NEAR` code points of a span."""
-    left = F.substring(text, F.greatest(span["start"] - NEAR, F.lit(0)) + 1, F.least(span["start"], F.lit(NEAR)))
-    right = F.substring(text, span["stop"] + 1, F.lit(NEAR))
-    return F.array_union(_words(F.when(span["start"] > NEAR, F.regexp_replace(left, r"^\S*", "")).otherwise(left)), _words(F.when(F.length(right) == NEAR, F.regexp_replace(right, r"\S*$", "")).otherwise(right)))
-
-
-def revealing(based: DataFrame, text: str = "text", key: str = "doc_id", min_texts: int = MIN_TEXTS, min_chance: float = MIN_CHANCE, min_bits: float = MIN_BITS) -> DataFrame:
-    """(_key, _told): for each document that holds them, the terms that give an entity away."""
-    rows = based.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"), "_base").where("_text is not null")
-    # one row for each document with a value: its entities, and each entity with each word next to it
-    named = F.transform("_base", lambda s: F.struct(F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"), _beside(F.col("_text"), s).alias("words")))
-    paired = F.flatten(F.transform("_named", lambda n: F.transform(n["words"], lambda w: F.struct(n["entity"].alias("entity"), w.alias("term")))))
-    held = rows.where(F.size("_base") > 0).select(F.xxhash64("_text").alias("same"), named.alias("_named"))
-    held = saved(held.select("same", F.array_distinct(F.transform("_named", lambda n: n["entity"])).alias("entities"), F.array_distinct(paired).alias("pairs")))
-    beside = held.select("same", F.inline("pairs"))
-    pairs = beside.groupBy("term", "entity", "same").count().groupBy("term", "entity").agg(F.count("*").alias("texts"), F.sum("count").alias("together"))
-    # at least so many documents hold the term: a common word next to many entities makes none of them likely
-    known = held.select(F.explode(F.array_distinct(F.transform("pairs", lambda p: p["term"]))).alias("term")).groupBy("term").agg(F.count("*").alias("n_beside"))
-    pairs = saved(pairs.where(F.col("texts") >= min_texts).join(known, "term").where(F.col("together") / F.col("n_beside") >= min_chance).drop("n_beside"))
-    entities = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    # every document's words, of which the candidates are kept
-    words = rows.select("_key", F.explode(_words(F.col("_text"))).alias("term"))
-    places = saved(words.join(pairs.select("term").distinct(), "term"))
-    seen = places.groupBy("term").agg(F.count("*").alias("n_term"))
-    total = rows.agg(F.count("*").alias("n"))
-    chance = F.least(F.lit(1.0), F.col("together") / F.col("n_term"))
-    told = pairs.join(seen, "term").join(entities, "entity").crossJoin(total).where((chance >= min_chance) & (F.log2(chance * F.col("n") / F.col("n_entity")) >= min_bits))
-    return places.join(told.select("term").distinct(), "term").where("_key is not null").groupBy("_key").agg(F.sort_array(F.collect_set("term")).alias("_told"))
+def _split(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(text), _BETWEEN, -1), "")
+
+
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _words(whole: Column) -> Column:
+    """Hashes of the different words outside of emails, without the digits of other values."""
+    bare = F.when(F.contains(whole, F.lit("@")), F.regexp_replace(whole, PATTERNS["email"], " ")).otherwise(whole)
+    numbers = F.filter("_base", lambda s: s["kind"] != "email")
+    own = F.flatten(F.transform(numbers, lambda s: _split(s["value"])))
+    words = F.array_distinct(_split(bare))
+    return _hashes(F.when(F.size(numbers) > 0, F.array_except(words, own)).otherwise(words))
+
+
+def _packed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(row, key, same, _base, entities, words) of every document, its own columns in `row`; written once."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    whole = F.coalesce(F.col("row").getField(text).cast("string"), F.lit(""))
+    based = with_base(rows.withColumn("key", F.col("row").getField(key).cast("string")), whole)
+    entities = F.array_distinct(F.transform("_base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
+    return saved(based.select("row", "key", F.xxhash64(whole).alias("same"), "_base", entities.alias("entities"), _words(whole).alias("words")))
+
+
+def _counted(rows: DataFrame, name: str) -> DataFrame:
+    """(name, n, x, y): in how many texts a name stands, and hashes of the set of these texts."""
+    sets = [F.bit_xor(F.xxhash64("same", F.lit(seed))).alias(a) for a, seed in (("x", 1), ("y", 2))]
+    return saved(rows.groupBy(name).agg(F.count("*").alias("n"), *sets))
+
+
+def _matched(rows: DataFrame, wanted: DataFrame, name: str, limit: float) -> DataFrame:
+    """`rows` with the `wanted` names; names in more than `limit` rows, at most `HOT`, are broadcast, so no name fills a task."""
+    hot, rest = F.broadcast(wanted.where(F.col("n") > limit)), wanted.where(F.col("n") <= limit)
+    return rows.join(hot, name).unionByName(rows.join(hot.select(name), name, "left_anti").join(rest, name))
+
+
+def _limit(counted: DataFrame) -> float:
+    return (counted.agg(F.sum("n")).first()[0] or 0) / HOT
+
+
+def revealing(packed: DataFrame, min_chance: float = MIN_CHANCE, min_bits: float = MIN_BITS) -> DataFrame:
+    """(term, n): the words that give an entity away, by their hashes, and the number of texts that hold them."""
+    texts = saved(packed.select("same", "entities", "words").dropDuplicates(["same"]))
+    total = texts.count()
+    terms = _counted(texts.select("same", F.explode("words").alias("term")), "term")
+    held = texts.where(F.size("entities") > 0)
+    entities = _counted(held.select("same", F.explode("entities").alias("entity")), "entity")
+    # a term needs n(t) of at least this, as n(t, e) <= n(t); an entity is held by no fewer texts than the term with it
+    least = min_chance / (1 - min_chance) if min_chance < 1 else float("inf")
+    known = entities.where((F.col("n") >= least) & (F.log2(F.lit(float(max(total, 1))) / F.col("n")) >= min_bits))
+    most = (known.agg(F.max("n")).first()[0] or 0) / min_chance
+    parts = _matched(held.select("same", F.explode("entities").alias("entity")), known, "entity", _limit(entities))
+    parts = saved(parts.select("same", F.col("n").alias("e_n"), F.col("x").alias("e_x"), F.col("y").alias("e_y")).distinct())
+    wanted = terms.where((F.col("n") >= least) & (F.col("n") + 1 <= most))
+    words = held.join(parts.select("same").distinct(), "same", "left_semi").select("same", F.explode("words").alias("term"))
+    limit = _limit(terms)
+    places = _matched(words, wanted, "term", limit).select("same", "n", "x", "y").distinct()
+    pairs = places.join(parts, "same").where(F.col("n") + 1 <= F.col("e_n") / min_chance)
+    pairs = pairs.groupBy("n", "x", "y", "e_n", "e_x", "e_y").agg(F.count("*").alias("together"))
+    chance = F.col("together") / (F.col("n") + 1)
+    told = pairs.where((chance >= min_chance) & (F.log2(chance * total / F.col("e_n")) >= min_bits)).select("n", "x", "y").distinct()
+    return saved(wanted.join(told, ["n", "x", "y"]).select("term", "n"))
 
 
 def with_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", **thresholds) -> DataFrame:
-    """`docs` with `_base` and `_spans`, the latter with the terms that give entities away."""
-    based = with_base(docs, text)
-    told = revealing(based, text, key, **thresholds)
-    joined = based.join(told, F.col(key) == F.col("_key"), "left").drop("_key")
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("_told", "|"), F.lit(r")(?!\p{L})"))
-    joined = joined.withColumn("_terms", F.when(F.col("_told").isNotNull(), F.regexp_extract_all(whole, pattern, F.lit(0))).otherwise(F.array().cast("array<string>")))
-    joined = joined.withColumn("_terms_gaps", F.when(F.size("_terms") > 0, F.split(whole, pattern, -1)))
-    return joined.withColumn("_spans", F.concat("_base", _placed(TERM, "_terms", "_terms_gaps"))).drop("_told", "_terms", "_terms_gaps")
+    """(row, _base, _spans): the columns of `docs`, and its spans without and with the terms that give entities away."""
+    packed = _packed(docs, key, text)
+    terms = revealing(packed, **thresholds)
+    words = packed.select("key", "same", F.explode("words").alias("term"))
+    found = _matched(words, terms, "term", _limit(terms)).groupBy(F.col("key").alias("k"), F.col("same").alias("s")).agg(F.collect_set("term").alias("told"))
+    joined = packed.drop("words", "entities").join(found, F.col("key").eqNullSafe(F.col("k")) & (F.col("same") == F.col("s")), "left")
+    whole = F.coalesce(F.col("row").getField(text).cast("string"), F.lit(""))
+    joined = joined.withColumn("_words", F.when(F.col("told").isNotNull(), F.regexp_extract_all(whole, F.lit(_WORD), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    joined = joined.withColumn("_gaps", F.when(F.size("_words") > 0, F.split(whole, _WORD, -1)))
+    return joined.select("row", "_base", F.concat("_base", _told("_words", "_gaps")).alias("_spans"))
+
+
+def _told(words: str, gaps: str) -> Column:
+    """Spans of the words whose hashes are in `told`; what a block holds of these is found first, so no word is held against all."""
+    placed = _placed(TERM, words, gaps)
+
+    def block(spans: Column, b: Column) -> Column:
+        part = F.slice(spans, b * BLOCK + 1, BLOCK)
+        own = F.array_intersect(F.col("told"), F.transform(part, lambda s: F.xxhash64(F.lower(s["value"]))))
+        return F.transform(F.array(own), lambda o: F.filter(part, lambda s: F.array_contains(o, F.xxhash64(F.lower(s["value"])))))[0]
+
+    kept = F.transform(F.array(placed), lambda spans: F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / BLOCK).cast("int")), lambda b: block(spans, b))))[0]
+    return F.when(F.size(words) > 0, kept).otherwise(F.array().cast(_SPAN))
 
 
 def _listed(spans: str) -> Column:
@@ -159,7 +206,7 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", **threshold
     found = with_spans(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", **thresholds)
     kinds = F.transform("_base", lambda s: s["kind"])
     counts = [(F.size("_base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in PATTERNS]
-    return found.select("doc_id", *counts, F.sha2(_listed("_base").cast("binary"), 256).alias("base_sha256"), _listed("_spans").alias("spans"))
+    return found.select("row.doc_id", *counts, F.sha2(_listed("_base").cast("binary"), 256).alias("base_sha256"), _listed("_spans").alias("spans"))
 
 
 def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text", **thresholds) -> DataFrame:
@@ -170,14 +217,27 @@ def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text", **thresh
     found = with_spans(docs, key, text, **thresholds)
     order = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("back"), s["kind"].alias("kind"))))
 
-    def step(held: Column, s: Column) -> Column:
-        stop = F.greatest(held["at"], -s["back"])
-        between = F.substring(F.col(text), held["at"] + 1, F.greatest(s["start"] - held["at"], F.lit(0)))
-        added = F.concat(between, F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(stop.alias("at"), F.concat(held["out"], F.when(s["start"] >= held["at"], added).otherwise(F.lit(""))).alias("out"))
+    own = F.col("row").getField(text)
 
-    whole = F.aggregate(order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda held: F.concat(held["out"], F.substring(F.col(text), held["at"] + 1, F.length(text))))
-    changed = found.withColumn(text, F.when(F.size("_spans") > 0, whole).otherwise(F.col(text)))
+    def step(held: Column, s: Column, part: Column, base: Column) -> Column:
+        between = F.substring(part, held["at"] - base + 1, F.greatest(s["start"] - held["at"], F.lit(0)))
+        added = F.concat(between, F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        return F.struct(F.greatest(held["at"], -s["back"]).alias("at"), F.concat(held["out"], F.when(s["start"] >= held["at"], added).otherwise(F.lit(""))).alias("out"))
+
+    # a place is found by walking from the start, so each block of spans walks its own part of the text only
+    def block(held: Column, spans: Column) -> Column:
+        stop = F.greatest(held["at"], F.array_max(F.transform(spans, lambda s: -s["back"])))
+        part = F.struct(held["at"].alias("base"), F.substring(own, held["at"] + 1, stop - held["at"]).alias("text"))
+        first = F.struct(held["at"].alias("at"), F.lit("").alias("out"))
+        done = F.transform(F.array(part), lambda p: F.aggregate(spans, first, lambda h, s: step(h, s, p["text"], p["base"])))
+        return F.transform(done, lambda d: F.struct(d["at"].alias("at"), F.concat(held["out"], F.array(d["out"])).alias("out")))[0]
+
+    blocks = F.transform(F.array(order), lambda o: F.transform(F.sequence(F.lit(0), F.floor((F.size(o) - 1) / BLOCK).cast("int")), lambda b: F.slice(o, b * BLOCK + 1, BLOCK)))[0]
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    whole = F.aggregate(blocks, none, block, lambda held: F.concat(F.array_join(held["out"], ""), F.substring(own, held["at"] + 1, F.length(own))))
+    changed = {text: F.when(F.size("_spans") > 0, whole).otherwise(own)}
+    out = found.withColumn("_text", changed[text])
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns)
+        changed["n_chars"] = F.when(F.size("_spans") > 0, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row").getField("n_chars"))
+    changed[text] = F.col("_text")
+    return out.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

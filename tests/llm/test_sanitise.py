@@ -42,7 +42,7 @@ def test_base_spans_match_the_plain_patterns(spark):
 def test_terms_that_give_an_entity_away(spark):
     near = [f"{prose(i, 20)} ask Zanzibarius at boss@corp.example.com now {prose(i + 50, 5)}" for i in range(5)]
     common = [f"{prose(i, 20)} the mail m{i}@corp.example.com now" for i in range(20)]
-    others = [prose(100 + i, 30) + " mail now" for i in range(400)] + ["Only ZANZIBARIUS, alone; zanzibariusx not"]
+    others = [prose(100 + i, 30) + " ask at mail now" for i in range(500)] + ["Only ZANZIBARIUS, alone; zanzibariusx not"]
     rows = near + common + others
     got = {r.doc_id: r.spans for r in sanitise.report(documents(spark, rows)).collect()}
     terms = {i: [rows[i][int(s.split(":")[1]) : int(s.split(":")[2])] for s in v.split(",") if s.startswith("term")] for i, v in got.items()}
@@ -57,6 +57,63 @@ def test_copies_do_not_make_terms(spark):
     assert not any("term" in r.spans for r in sanitise.report(documents(spark, rows)).collect())
 
 
+def test_a_name_in_the_two_documents_of_its_email(spark):
+    filler = prose(1, 300)
+    rows = [f"li: {filler} mail x1@corp.example.com", f"x1@corp.example.com {prose(2, 300)} is Li's", "LI alone, not Lis"]
+    rows += [prose(100 + i, 60) + f" is s mail not alone lis corp m{i}@corp.example.com" for i in range(600)]
+    got = sanitise.sanitised(documents(spark, rows)).orderBy("doc_id").collect()
+    # two of three texts: 2 / (3 + 1) is not enough; without the third, 2 / (2 + 1) is
+    assert got[0].text.startswith("li: ") and got[2].text == rows[2]
+    got = sanitise.sanitised(documents(spark, rows[:2] + rows[3:])).orderBy("doc_id").collect()
+    assert got[0].text == f"[TERM]: {filler} mail [EMAIL]" and got[1].text.endswith(" is [TERM]'s")
+    assert not any("TERM" in r.text for r in got[2:])
+
+
+def plain_terms(texts, min_chance, min_bits):
+    """Told words of each text, from all pairs of words and entities."""
+    import math
+
+    held, words = {}, {}
+    texts = sorted(set(texts))
+    for i, text in enumerate(texts):
+        spans = [(k, m) for k, pattern, check in RULES for m in re.finditer(pattern, text) if check(m[0])]
+        for kind, m in spans:
+            held.setdefault((kind, m[0].lower()), set()).add(i)
+        own = {w for k, m in spans if k != "email" for w in re.findall(r"[0-9]+", m[0])}
+        for w in set(re.findall(r"[^\W_]+", re.sub(RULES[0][1], " ", text).lower())) - own:
+            words.setdefault(w, set()).add(i)
+    told = {t for t, a in words.items() for b in held.values() if len(a & b) / (len(a) + 1) >= min_chance and math.log2(len(a & b) / (len(a) + 1) * len(texts) / len(b)) >= min_bits}
+    return {text: sorted(t for t in told if i in words[t]) for i, text in enumerate(texts)}
+
+
+def test_terms_against_all_pairs(spark):
+    rnd = random.Random(8)
+    values = [f"u{i}@h.example" for i in range(6)] + ["10.0.0.1", "+1 (415) 555-2671", "4111 1111 1111 1111"]
+    rows = []
+    for i in range(300):
+        words = [f"w{int(rnd.paretovariate(0.6)) % 500}" for _ in range(rnd.randint(0, 25))]
+        if i % 3 == 0:
+            v = rnd.randrange(len(values))
+            words += [values[v], f"near{v}", f"often{v % 3}"][: rnd.randint(1, 3)]
+        rnd.shuffle(words)
+        rows.append(" ".join(words))
+    rows += rows[:60] + [None, ""]
+    for chance, bits in ((0.6, 3.0), (0.4, 1.0)):
+        expected = plain_terms([r or "" for r in rows], chance, bits)
+        assert any(expected.values())
+        for r in sanitise.report(documents(spark, rows), min_chance=chance, min_bits=bits).collect():
+            text = rows[r.doc_id] or ""
+            spans = [x.split(":") for x in r.spans.split(",") if x.startswith("term")]
+            assert sorted({text[int(a) : int(b)] for _, a, b in spans}) == expected[text], text
+
+
+def test_columns_of_any_name_are_kept(spark):
+    names = ["_base", "_SPANS", "_email", "_key", "key", "row", "same", "told", "_words", "entities", "term", "n", "x", "_text", "a.b"]
+    docs = spark.createDataFrame([(1, "a@b.example", *names), (2, None, *names)], ["doc_id", "text", *names])
+    got = sanitise.sanitised(docs)
+    assert got.columns == docs.columns and {tuple(r) for r in got.collect()} == {(1, "[EMAIL]", *names), (2, None, *names)}
+
+
 def test_sanitised_replaces_every_span(spark):
     rows = texts(3, 300)
     for r in sanitise.sanitised(documents(spark, rows)).collect():
@@ -85,3 +142,5 @@ def test_many_spans_take_time_in_proportion(spark):
     start = time.time()
     row = sanitise.with_base(docs).selectExpr("size(_base) as n", "element_at(_base, -1).stop as stop", "length(text) as size").first()
     assert (row.n, row.stop) == (n, row.size) and time.time() - start < 15
+    start = time.time()
+    assert sanitise.sanitised(docs).first().text == " ".join(["[EMAIL]"] * n) and time.time() - start < 60
