@@ -26,10 +26,10 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """The rows written once to the shared folder and read back: lineage is cut, a lost executor costs no recomputation."""
     folder = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.option("compression", compression).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

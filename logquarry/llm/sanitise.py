@@ -11,8 +11,8 @@ more without the entity would leave, and is worth log2(P(e|t) / P(e)) bits. Term
 spans of kind `term` wherever they stand as whole words. What stands in one text alone is never beyond 1/2.
 `sanitised` generalises every span to the name of its kind.
 
-No pair is left out by a cap: n(t) + 1 <= n(e) / `min_chance` follows from n(t, e) <= n(e), and entities (or
-terms) of the very same texts have the same counts and are counted once. Words are known by 64-bit hashes.
+No pair is left out by a cap: n(t) + 1 <= n(e) / `min_chance` follows from n(t, e) <= n(e), and of entities of
+the very same texts, which have the same counts, one is counted. Words are known by 64-bit hashes.
 
 Defined results: a null text counts as empty and has no spans (`sanitised` leaves it null); rows of equal texts
 count as one and have the same spans, whatever their ids; an empty table gives no rows; other columns, of
@@ -39,7 +39,7 @@ PATTERNS = {
 MARKS = {"email": "@", "phone": "+"}
 TERM = "term"
 MIN_CHANCE, MIN_BITS = 0.6, 6.0
-#: Names of which each takes more than this part of all rows are at most so many; they are joined apart.
+#: The commonest words, at most so many, are joined apart.
 HOT = 10_000
 _WORD, _BETWEEN = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
 
@@ -123,62 +123,66 @@ def _words(whole: Column) -> Column:
 
 
 def _packed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(row, key, same, _base, entities, words) of every document, its own columns in `row`; written once."""
+    """(row, key, same, _base, entities) of every document, its own columns in `row`; written once."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    whole = F.coalesce(F.col("row").getField(text).cast("string"), F.lit(""))
+    whole = _whole(text)
     based = with_base(rows.withColumn("key", F.col("row").getField(key).cast("string")), whole)
     entities = F.array_distinct(F.transform("_base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
-    return saved(based.select("row", "key", F.xxhash64(whole).alias("same"), "_base", entities.alias("entities"), _words(whole).alias("words")))
+    return saved(based.select("row", "key", F.xxhash64(whole).alias("same"), "_base", entities.alias("entities")), "zstd")
 
 
-def _counted(rows: DataFrame, name: str) -> DataFrame:
-    """(name, n, x, y): in how many texts a name stands, and hashes of the set of these texts."""
-    sets = [F.bit_xor(F.xxhash64("same", F.lit(seed))).alias(a) for a, seed in (("x", 1), ("y", 2))]
-    return saved(rows.groupBy(name).agg(F.count("*").alias("n"), *sets))
+def _whole(text: str) -> Column:
+    return F.coalesce(F.col("row").getField(text).cast("string"), F.lit(""))
 
 
-def _matched(rows: DataFrame, wanted: DataFrame, name: str, limit: float) -> DataFrame:
-    """`rows` with the `wanted` names; names in more than `limit` rows, at most `HOT`, are broadcast, so no name fills a task."""
-    hot, rest = F.broadcast(wanted.where(F.col("n") > limit)), wanted.where(F.col("n") <= limit)
-    return rows.join(hot, name).unionByName(rows.join(hot.select(name), name, "left_anti").join(rest, name))
+def _matched(rows: DataFrame, counted: DataFrame, wanted: Column, limit: float) -> DataFrame:
+    """`rows` with the `wanted` of the `counted` terms; those of more than `limit` texts, at most `HOT`, are broadcast, so no term fills a task."""
+    hot = F.broadcast(counted.where(F.col("n") > limit))
+    rest = counted.where((F.col("n") <= limit) & wanted)
+    return rows.join(hot.where(wanted), "term").unionByName(rows.join(hot.select("term"), "term", "left_anti").join(rest, "term"))
 
 
 def _limit(counted: DataFrame) -> float:
-    return (counted.agg(F.sum("n")).first()[0] or 0) / HOT
+    """No more than `HOT` of the `counted` have an `n` above this."""
+    found = counted.agg(F.sum("n").alias("n"), F.count("*").alias("size")).first()
+    return found.n / HOT if found.size > HOT else 0.0
 
 
-def revealing(packed: DataFrame, min_chance: float = MIN_CHANCE, min_bits: float = MIN_BITS) -> DataFrame:
+def revealing(packed: DataFrame, text: str = "text", min_chance: float = MIN_CHANCE, min_bits: float = MIN_BITS) -> DataFrame:
     """(term, n): the words that give an entity away, by their hashes, and the number of texts that hold them."""
-    texts = saved(packed.select("same", "entities", "words").dropDuplicates(["same"]))
-    total = texts.count()
-    terms = _counted(texts.select("same", F.explode("words").alias("term")), "term")
-    held = texts.where(F.size("entities") > 0)
-    entities = _counted(held.select("same", F.explode("entities").alias("entity")), "entity")
-    # a term needs n(t) of at least this, as n(t, e) <= n(t); an entity is held by no fewer texts than the term with it
+    total = packed.select("same").distinct().count()
+    # as n(t, e) <= n(t), a term needs n(t) of at least this, and so does an entity
     least = min_chance / (1 - min_chance) if min_chance < 1 else float("inf")
-    known = entities.where((F.col("n") >= least) & (F.log2(F.lit(float(max(total, 1))) / F.col("n")) >= min_bits))
-    most = (known.agg(F.max("n")).first()[0] or 0) / min_chance
-    parts = _matched(held.select("same", F.explode("entities").alias("entity")), known, "entity", _limit(entities))
-    parts = saved(parts.select("same", F.col("n").alias("e_n"), F.col("x").alias("e_x"), F.col("y").alias("e_y")).distinct())
-    wanted = terms.where((F.col("n") >= least) & (F.col("n") + 1 <= most))
-    words = held.join(parts.select("same").distinct(), "same", "left_semi").select("same", F.explode("words").alias("term"))
-    limit = _limit(terms)
-    places = _matched(words, wanted, "term", limit).select("same", "n", "x", "y").distinct()
+    held = saved(packed.select("same", F.explode("entities").alias("entity")).distinct())
+    sets = [F.bit_xor(F.xxhash64("same", F.lit(seed))).alias(a) for a, seed in (("e_x", 1), ("e_y", 2))]
+    known = held.groupBy("entity").agg(F.count("*").alias("e_n"), *sets)
+    # one entity of those that stand in the same texts
+    known = known.where((F.col("e_n") >= least) & (F.log2(F.lit(float(max(total, 1))) / F.col("e_n")) >= min_bits))
+    known = saved(known.groupBy("e_n", "e_x", "e_y").agg(F.min("entity").alias("entity")).select("entity", "e_n"))
+    most = (known.agg(F.max("e_n")).first()[0] or 0) / min_chance
+    parts = saved(held.join(known, "entity"))
+    texts = packed.select("same", _whole(text).alias("whole"), "_base").dropDuplicates(["same"])
+    terms = texts.select(F.explode(_words(F.col("whole"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    terms = saved(terms.where(F.col("n") >= least))
+    words = packed.select("same", _whole(text).alias("whole"), "_base").join(parts.select("same").distinct(), "same", "left_semi")
+    words = words.dropDuplicates(["same"]).select("same", F.explode(_words(F.col("whole"))).alias("term"))
+    places = _matched(words, terms, F.col("n") + 1 <= most, _limit(terms))
     pairs = places.join(parts, "same").where(F.col("n") + 1 <= F.col("e_n") / min_chance)
-    pairs = pairs.groupBy("n", "x", "y", "e_n", "e_x", "e_y").agg(F.count("*").alias("together"))
+    pairs = pairs.groupBy("term", "n", "entity", "e_n").agg(F.count("*").alias("together"))
     chance = F.col("together") / (F.col("n") + 1)
-    told = pairs.where((chance >= min_chance) & (F.log2(chance * total / F.col("e_n")) >= min_bits)).select("n", "x", "y").distinct()
-    return saved(wanted.join(told, ["n", "x", "y"]).select("term", "n"))
+    told = pairs.where((chance >= min_chance) & (F.log2(chance * total / F.col("e_n")) >= min_bits))
+    return saved(told.select("term", "n").distinct())
 
 
 def with_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", **thresholds) -> DataFrame:
     """(row, _base, _spans): the columns of `docs`, and its spans without and with the terms that give entities away."""
     packed = _packed(docs, key, text)
-    terms = revealing(packed, **thresholds)
-    words = packed.select("key", "same", F.explode("words").alias("term"))
-    found = _matched(words, terms, "term", _limit(terms)).groupBy(F.col("key").alias("k"), F.col("same").alias("s")).agg(F.collect_set("term").alias("told"))
-    joined = packed.drop("words", "entities").join(found, F.col("key").eqNullSafe(F.col("k")) & (F.col("same") == F.col("s")), "left")
-    whole = F.coalesce(F.col("row").getField(text).cast("string"), F.lit(""))
+    terms = revealing(packed, text, **thresholds)
+    words, limit = packed.select("key", "same", F.explode(_words(_whole(text))).alias("term")), _limit(terms)
+    found = _matched(words, terms, F.lit(True), limit) if limit else words.join(F.broadcast(terms), "term")
+    found = found.groupBy(F.col("key").alias("k"), F.col("same").alias("s")).agg(F.collect_set("term").alias("told"))
+    joined = packed.drop("entities").join(found, F.col("key").eqNullSafe(F.col("k")) & (F.col("same") == F.col("s")), "left")
+    whole = _whole(text)
     joined = joined.withColumn("_words", F.when(F.col("told").isNotNull(), F.regexp_extract_all(whole, F.lit(_WORD), F.lit(0))).otherwise(F.array().cast("array<string>")))
     joined = joined.withColumn("_gaps", F.when(F.size("_words") > 0, F.split(whole, _WORD, -1)))
     return joined.select("row", "_base", F.concat("_base", _told("_words", "_gaps")).alias("_spans"))
