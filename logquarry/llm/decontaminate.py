@@ -10,8 +10,8 @@ The items are read in blocks of bounded size, each held by every task, and every
 within its own task: no document is shuffled.
 
 Defined results: null and empty texts match nothing; items whose normal form has fewer than `MIN_CHARS`
-characters are too common to match and are left out; items that are equal are each reported; repeated rows
-are judged alike; an empty table of either kind gives no matches; other columns are ignored by `matches`
+characters must stand unchanged, as whole words (a piece of them would be found nearly everywhere); empty
+items are never found; items that are equal are each reported; repeated rows are judged alike; an empty table of either kind gives no matches; other columns are ignored by `matches`
 and kept by `clean`.
 """
 
@@ -41,7 +41,7 @@ def normal(text: str | None) -> str:
 
 
 def budget_of(item: str, share: float = ERROR_SHARE) -> int:
-    return int(len(item) * share)
+    return int(len(item) * share) if len(item) >= MIN_CHARS else 0
 
 
 def pieces(item: str, budget: int) -> list[tuple[int, str]]:
@@ -103,6 +103,8 @@ class Matcher:
             for i, offset in places:
                 _, item, budget = self.items[i]
                 start = end + 1 - size - offset
+                if len(item) < MIN_CHARS and not (text[start - 1 : start] in ("", " ") and text[end + 1 : end + 2] in ("", " ")):
+                    continue
                 a, b = max(0, start - budget), min(len(text), start + len(item) + budget)
                 held = found.setdefault(i, [])
                 # hits come in order of their ends, so starts may step back by no more than the item
@@ -141,7 +143,7 @@ def blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", block
     for block in range(count):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(count)) == block).collect()
         normals = ((r.key, normal(r.text)) for r in rows)
-        yield sorted(((k, t) for k, t in normals if len(t) >= MIN_CHARS), key=lambda x: (x[1], x[0] is not None, x[0] or 0))
+        yield sorted(((k, t) for k, t in normals if t), key=lambda x: (x[1], x[0] is not None, x[0] or 0))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, share: float = ERROR_SHARE, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ def test_myers_matches_the_table():
 
 def test_matches_against_all_pairs(spark):
     rnd = random.Random(4)
-    items = [prose(900 + i, 25) for i in range(6)] + ["too short", "", None, prose(901, 30)]
+    items = [prose(900 + i, 25) for i in range(6)] + ["too short", "", None, prose(901, 30), "Who wrote Hamlet?", "a b a"]
     texts = []
     for i in range(30):
         text = prose(i, 25)
@@ -40,7 +40,7 @@ def test_matches_against_all_pairs(spark):
             item = d.normal(items[rnd.randrange(6)])
             text = text[:50] + " " + changed(rnd, item, rnd.randint(0, d.budget_of(item) + 3)).title() + ".\n" + text[50:]
         texts.append(text)
-    texts += [None, "", items[0], "-".join(items[1].split(" "))]
+    texts += [None, "", items[0], "-".join(items[1].split(" ")), "who wrote hamlet", "so: WHO  wrote\nHamlet!", "who wrote hamlets", "xa b a b a", "a b ab a", "is too short", "too shorts"]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.distance for r in d.matches(documents(spark, texts), bench).collect()}
     expected = {}
@@ -49,6 +49,9 @@ def test_matches_against_all_pairs(spark):
             item = d.normal(item)
             if len(item) >= d.MIN_CHARS and (x := nearest(item, d.normal(text))) <= d.budget_of(item):
                 expected[i, k] = x
+            if 0 < len(item) < d.MIN_CHARS and f" {item} " in f" {d.normal(text)} ":
+                expected[i, k] = 0
+    assert {(34, 10), (35, 10), (37, 11), (39, 6)} <= set(expected) and not {36, 38, 40} & {i for i, _ in expected}
     assert got == expected and {0 < x for x in expected.values()} == {True, False}
     kept = {r.doc_id for r in d.clean(documents(spark, texts), bench).collect()}
     assert kept == set(range(len(texts))) - {i for i, _ in expected}
