@@ -33,6 +33,22 @@ def saved(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def set_apart(docs: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` with the columns that start like internal ones, except those `used`, under names of their own; and the old names by these."""
+    clashing = [c for c in docs.columns if c.startswith("_") and c not in used]
+    if not clashing:
+        return docs, {}
+    prefix = "apart"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    names = {c: f"{prefix}{i}" for i, c in enumerate(clashing)}
+    return docs.toDF(*[names.get(c, c) for c in docs.columns]), {new: c for c, new in names.items()}
+
+
+def put_back(found: DataFrame, names: dict[str, str]) -> DataFrame:
+    return found.toDF(*[names.get(c, c) for c in found.columns]) if names else found
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

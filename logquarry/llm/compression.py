@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from logquarry.llm.common import as_bytes
+from logquarry.llm.common import as_bytes, put_back, set_apart
 from logquarry.llm.labelled import held_out, training_sample
 
 TRAIN_ROWS = 12_000
@@ -131,16 +131,16 @@ class Model:
 
     def scored(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """`docs` with `score` and `predicted`."""
-        docs = docs.drop("score", "predicted")
+        docs, names = set_apart(docs.drop("score", "predicted"), text)
         if self.weights is None:
             score = F.lit(self.share)
-            return docs.withColumn("score", score).withColumn("predicted", (score >= THRESHOLD).cast("int"))
+            return put_back(docs.withColumn("score", score).withColumn("predicted", (score >= THRESHOLD).cast("int")), names)
         w = [float(x) for x in self.weights]
         d, r, held = 10 * F.col("_signals")[0], F.col("_signals")[1] - 0.4 * F.col("_signals")[2], F.col("_signals")[2]
         z = w[0] * d + w[1] * d * d + w[2] * r + w[3] * r * r + w[4] * d * r + w[5] * held + w[6]
         score = F.when(held > 0, 1 / (1 + F.exp(-z))).otherwise(F.lit(self.share))
         rows = self._signals(docs, text).withColumn("score", score)
-        return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")).drop("_signals")
+        return put_back(rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")).drop("_signals"), names)
 
 
 def report(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

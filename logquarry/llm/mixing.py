@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logquarry.llm.common import saved
+from logquarry.llm.common import put_back, saved, set_apart
 
 MARGINS = ("source", "lang", "topic")
 #: (topic, mark): the first mark that a text holds names its topic.
@@ -116,12 +116,14 @@ def draw(key: Column) -> Column:
 
 def sampled(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, rounds: int = ROUNDS, temper: float = TEMPER, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents drawn, with topic, n_tokens, weight (of their cell) and probability."""
-    named = described(docs.drop("topic", "n_tokens", "weight", "probability"), text)
+    docs, names = set_apart(docs.drop("topic", "n_tokens", "weight", "probability"), key, text)
+    named = described(docs, text)
     cells = saved(calibrated(raked(cells_of(named), targets, rounds, temper), budget)).drop("tokens")
     keys = cells.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.round("weight", DIGITS).alias("weight"), "probability")
     few = cells.count() <= TASK_CELLS
     found = named.join(F.broadcast(keys) if few else keys, [_value(m) == F.col(f"_{m}") for m in MARGINS])
-    return found.where(draw(F.col(key)) < F.col("probability")).drop(*[f"_{m}" for m in MARGINS]).withColumn("probability", F.round("probability", DIGITS))
+    found = found.where(draw(F.col(key)) < F.col("probability")).drop(*[f"_{m}" for m in MARGINS])
+    return put_back(found.withColumn("probability", F.round("probability", DIGITS)), names)
 
 
 def oracle(rounds: int = ROUNDS, temper: float = TEMPER, budget: float = BUDGET) -> str:

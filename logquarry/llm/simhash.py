@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.llm.common import as_bytes, saved, shuffle_partitions
+from logquarry.llm.common import as_bytes, put_back, saved, set_apart, shuffle_partitions
 from logquarry.llm.components import components
 
 SEED = 42
@@ -335,8 +335,9 @@ def first_of_each(docs: DataFrame, words: int = 12, bits: int = 170, blocks: int
     exactly (by 64-bit hashes of the shingles) for every link. Fingerprints of 768 bits only choose what is counted:
     at 0.8 they differ in 115 bits on average, with a standard deviation of 10; README has the share of pairs found.
     """
+    docs, names = set_apart(docs, key, text)
     named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = near_copies(named, 5, words, bits, blocks, chosen, held, held_bits, share)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     named = docs.where(F.col(key).isNotNull()).join(kept, F.col(key) == F.col("_kept")).drop("_kept")
-    return named.dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull()))
+    return put_back(named.dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull())), names)

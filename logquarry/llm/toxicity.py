@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from logquarry.llm.common import put_back, set_apart
 from logquarry.llm.labelled import held_out, training_sample
 
 #: About so many labelled rows are used for fitting.
@@ -157,7 +158,9 @@ class Model:
 
     def scored(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """`docs` with `score` and `predicted`."""
-        return self.judged(docs, text).withColumns({"score": F.col("_tox.score"), "predicted": F.col("_tox.predicted")}).drop("_tox")
+        docs, names = set_apart(docs, text)
+        found = self.judged(docs, text).withColumns({"score": F.col("_tox.score"), "predicted": F.col("_tox.predicted")}).drop("_tox")
+        return put_back(found, names)
 
 
 def report(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -168,4 +171,5 @@ def report(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
 def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that are not toxic."""
-    return Model(docs, labels, key=key, text=text).judged(docs, text).where("_tox.predicted = 0").drop("_tox")
+    docs, names = set_apart(docs, key, text)
+    return put_back(Model(docs, labels, key=key, text=text).judged(docs, text).where("_tox.predicted = 0").drop("_tox"), names)

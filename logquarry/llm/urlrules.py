@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logquarry.llm.common import put_back, set_apart
+
 ALLOW, BLOCK = "allow", "block"
 #: Rules held by every task; a longer list is judged by a shuffled join of tokens.
 TASK_RULES = 100_000
@@ -106,11 +108,12 @@ class Index:
 def judged(pages: DataFrame, rules: Iterable[Rule] = RULES, url: str = "url", default: str = ALLOW, task_rules: int = TASK_RULES) -> DataFrame:
     """`pages` with host, path, rule and verdict."""
     rules = sorted(rules, key=_better)
+    pages, names = set_apart(pages, url)
     parts = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     parts = parts.withColumn("_subject", F.concat("host", "path"))
     filed = rarest_tokens(parts, rules)
     parts = _by_index(parts, rules, filed) if len(rules) <= task_rules else _by_join(parts, rules, filed)
-    return parts.withColumns({"rule": F.col("_found.rule"), "verdict": F.coalesce("_found.verdict", F.lit(default))}).drop("_subject", "_found")
+    return put_back(parts.withColumns({"rule": F.col("_found.rule"), "verdict": F.coalesce("_found.verdict", F.lit(default))}).drop("_subject", "_found"), names)
 
 
 def _by_index(parts: DataFrame, rules: list[Rule], filed: list[str | None]) -> DataFrame:
