@@ -9,8 +9,8 @@ from logquarry.operators import counters as co
 from logquarry.plans.views import table, view, with_views
 
 
-def _samples(spark, sf_dir):
-    return co.extract_counters(view(spark, sf_dir, "monitor_log"), _app_names(spark, sf_dir))
+def _samples(spark, sf_dir, log="monitor_log"):
+    return co.extract_counters(view(spark, sf_dir, log), _app_names(spark, sf_dir))
 
 
 def _app_names(spark, sf_dir):
@@ -49,7 +49,7 @@ def deduped_counters(spark, sf_dir):
 
 
 def app_table_from_series(spark, sf_dir):
-    stats = ap.from_series(_samples(spark, sf_dir), "mp")
+    stats = ap.from_series(_samples(spark, sf_dir, "app_log"), "mp")
     shared = ap.with_shares(stats, ("file_id", "plane"))
     return shared.select("file_id", "vsys", "app", "sessions", "bytes", F.round("bytes_pct", 6).alias("bytes_pct"))
 
@@ -242,7 +242,7 @@ ORACLE = {
     + """ SELECT file_id, name, ts, arg_max(value, line_no) AS value FROM x WHERE contains(name, '__cpu__')
           GROUP BY ALL""",
     "app_table_from_series": BASE
-    + APPS
+    + APPS.replace("e % 20 = 7", "e % 12 = 7")
     + """, l AS (SELECT file_id, app, id, pl, arg_max(s, e * 2 + CASE WHEN id = 15 THEN 0 ELSE 1 END) AS s,
            arg_max(y, e * 2 + CASE WHEN id = 15 THEN 0 ELSE 1 END) AS y, max(ts) FROM named WHERE pl = 'mp' GROUP BY ALL)
         SELECT file_id, '2' AS vsys, substr(app, 7) AS app, s::DOUBLE AS sessions, y::DOUBLE AS bytes,
