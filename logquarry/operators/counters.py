@@ -245,7 +245,8 @@ def blocks(lines: DataFrame, monitor_file: str = MONITOR_FILE) -> DataFrame:
     marked = marked.select(
         "*", computed(F.when(header.isNotNull(), block).alias("_block"), F.when(header.isNotNull(), iso_ntz(header)).alias("_ts"))
     )
-    rows = by_lines(marked).carry({"block": "_block", "ts": "_ts"}).rows()
+    # `carry` reads its rows twice: settled, the lines are built and read once
+    rows = by_lines(settle(marked)).carry({"block": "_block", "ts": "_ts"}).rows()
     return rows.where(F.col("ts").isNotNull() & (F.col("line_no") > F.col("block.at"))).select(
         *FILE, "line_no", "plane", "clean", "ts", F.col("block.at").alias("block_at"), F.col("block.name").alias("block")
     )
@@ -255,6 +256,15 @@ def _at(condition: Column, **payload: Column) -> Column:
     return F.when(condition, F.struct(F.col("line_no").alias("at"), *[c.alias(n) for n, c in payload.items()]))
 
 
+def _two_digits(ids: Column) -> Column:
+    """Core numbers as names print them.
+
+    A projection with a lambda is compiled by itself, in methods short enough for the JIT. As a part of a whole stage, or
+    inside a generator, the patterns of a line would be one long method, or not be compiled at all.
+    """
+    return F.transform(ids, lambda core_id: F.format_string("%02d", core_id.cast("int")))
+
+
 def _states(rows: DataFrame) -> DataFrame:
     """State of the block in front of each line: section, table headers and consumed rows."""
     window = Window.partitionBy(*BLOCK).orderBy("line_no")
@@ -273,15 +283,15 @@ def _states(rows: DataFrame) -> DataFrame:
     label = F.concat(F.coalesce(F.try_element_at(known, resource), sanitise(resource)), suffix)
     marks = {
         "section": _at(mode.isNotNull(), mode=mode, name=sanitise(_part(detail)), kind=_part(detail, 2)),
-        "core": _at(_clean().startswith(":core") & _is(CORE_HEADER), ids=fields(_part(CORE_HEADER))),
-        "task": _at(_clean().startswith(":Counter") & _is(TASK_HEADER), ids=fields(_part(TASK_HEADER))),
+        "core": _at(_clean().startswith(":core") & _is(CORE_HEADER), ids=_two_digits(fields(_part(CORE_HEADER)))),
+        "task": _at(_clean().startswith(":Counter") & _is(TASK_HEADER), ids=_two_digits(fields(_part(TASK_HEADER)))),
         "iface": _at(among("ifconfig") & _is(INTERFACE), name=sanitise(F.substring_index(_part(INTERFACE), "@", 1))),
         "rxtx": _at(among("ifconfig") & _is(DIRECTION), way=F.lower(_part(DIRECTION)), names=fields(_part(DIRECTION, 2))),
         "stats": _at(among("netstat_stats") & _is(STATS_SECTION), name=sanitise(_part(STATS_SECTION))),
         "res": _at(_clean().startswith(":") & _clean().contains("):") & _is(RESOURCE_LABEL), name=label),
         "thread": _at(_clean().startswith(":thread") & _is(THREAD), id=_part(THREAD).cast("int")),
     }
-    rows = rows.select("*", computed(*[c.alias(f"_{n}") for n, c in marks.items()]))
+    rows = rows.select("*", *[c.alias(f"_{n}") for n, c in marks.items()])
     rows = rows.select(
         *[c for c in rows.columns if not c.startswith("_")],
         *[F.last(f"_{n}", ignorenulls=True).over(upto).alias(n) for n in marks],
@@ -337,7 +347,7 @@ def _word_values(names: dict[str, str]) -> Column:
 
 def _block_rows() -> list[tuple[Column, Column]]:
     """(condition, samples) of the blocks that have their own line format."""
-    f = fields(_clean())
+    f = F.col("words")
     block, start = F.col("block"), F.col("block_at")
     load = F.col("after_load") & _is(LOAD_AVERAGE) & ~_clean().startswith("Load Avg")
     average = F.col("line_no") == F.col("average_at")
@@ -449,7 +459,7 @@ def _section_rows() -> list[tuple[Column, Column]]:
             lambda core_id, i: F.array(
                 *[
                     _sample(
-                        _name("__cpu__", F.format_string("%02d", core_id.cast("int")), F.lit(f"_{kind}")),
+                        _name("__cpu__", core_id, F.lit(f"_{kind}")),
                         F.get(row, 2 * i + offset),
                         minutes,
                     )
@@ -463,7 +473,7 @@ def _section_rows() -> list[tuple[Column, Column]]:
     task = F.transform(
         F.col("task.ids"),
         lambda core_id, i: _sample(
-            _name("__gc", F.format_string("%02d", core_id.cast("int")), F.lit("__"), _part(TASK_ROW)),
+            _name("__gc", core_id, F.lit("__"), _part(TASK_ROW)),
             F.get(task_values, i),
         ),
     )
@@ -512,7 +522,10 @@ def _section_rows() -> list[tuple[Column, Column]]:
 
 
 def _long(rows: DataFrame, samples: Column) -> DataFrame:
-    exploded = rows.select("file_id", "entry_ord", "line_no", "ts", F.posexplode(samples).alias("emit_ord", "s"))
+    # a column first: a generator with a lambda in it would be interpreted; no filter is inferred from a coalesced one
+    built = rows.select("file_id", "entry_ord", "line_no", "ts", samples.alias("_samples"))
+    each = F.posexplode(F.coalesce("_samples", F.array().cast(SAMPLE)))
+    exploded = built.select("file_id", "entry_ord", "line_no", "ts", each.alias("emit_ord", "s"))
     ts = F.timestamp_add("MINUTE", -F.col("s.minutes"), F.col("ts"))
     value = number_or_zero(F.col("s.text")).alias("value")
     return exploded.select("file_id", "s.name", ts.alias("ts"), value, "entry_ord", "line_no", "emit_ord")
@@ -564,6 +577,8 @@ def extract_counters(
     rows = settle(blocks(lines, monitor_file))
     states = _states(rows.where(~F.col("block").isin("netstat_detail", "panio_infreq")))
     own = F.col("block").isin(*OWN_FORMAT)
+    # split once, not for every value of a line
+    states = states.select("*", computed(F.when(own, fields(_clean())).alias("words")))
     samples = F.when(own, first_case(_block_rows())).otherwise(first_case(_section_rows()))
     counters = _long(states, samples).unionByName(socket_queues(rows)).unionByName(application_volumes(rows, app_names))
     if not dedupe:
