@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logquarry.functions.text import any_case, base_name, computed, extract, first_case, groups, rows_where, trimmed, unix
 from logquarry.functions.timestamps import agent_timestamp
-from logquarry.operators.ordered import by_lines, by_range, settle
+from logquarry.operators.ordered import CHUNK, by_lines, by_range, settle
 from logquarry.operators.structure import EVENT_LINE
 
 # Log names, phases, stages, markers and message shapes.
@@ -93,11 +93,13 @@ PLACE = ("entry_ord", "line_no")
 def event_lines(lines: DataFrame, logs: tuple[str, ...] = (EVENT_LOG,)) -> DataFrame:
     """Event-format lines of the named logs as (file_id, entry_ord, line_no, source, ts, severity, msg)."""
     rows = lines.where(base_name(F.col("path")).isin(*logs))
-    part = groups(F.rtrim(F.col("text"), F.lit("\r")), EVENT_LINE, 5)
+    found = computed(groups(F.rtrim(F.col("text"), F.lit("\r")), EVENT_LINE, 5).alias("_part"))
+    rows = rows.select("file_id", *PLACE, base_name(F.col("path")).alias("source"), found)
+    part = F.col("_part")
     events = rows.select(
         "file_id",
         *PLACE,
-        base_name(F.col("path")).alias("source"),
+        "source",
         rows_where(
             part.isNotNull(),
             agent_timestamp(part[0], part[1]).alias("ts"),
@@ -113,7 +115,8 @@ def _says(pattern: str) -> Column:
 
 
 def _found(pattern: str, group: int = 1) -> Column:
-    return F.when(_says(pattern), F.regexp_extract("msg", any_case(pattern), group))
+    """Group of the first match, null without a match; none of the patterns has an empty group."""
+    return F.nullif(F.regexp_extract("msg", any_case(pattern), group), F.lit(""))
 
 
 def phase(msg: Column, severity: Column) -> Column:
@@ -153,7 +156,7 @@ def _attempt_starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         keep = []
         for i, row in enumerate(batch.itertuples(index=False)):
-            key = (row.file_id, row.reset_at["entry_ord"], row.reset_at["line_no"])
+            key = (row.file_id, row.reset_entry, row.reset_line)
             if key != stretch:
                 stretch, start = key, None
             if row.is_start and (start is None or (not awaiting and row.seconds - start > ATTEMPT_GAP_SECONDS)):
@@ -167,15 +170,27 @@ def _attempt_starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.iloc[keep][["file_id", "entry_ord", "line_no"]]
 
 
+MARKS = {"is_start": ATTEMPT_START, "is_browser": BROWSER, "is_gateway": GATEWAY_LOGIN, "is_settled": PORTAL_SETTLED}
+
+
+def marked(events: DataFrame) -> DataFrame:
+    """Events with their marks, settled: the steps below read them many times."""
+    return settle(events.select("*", computed(*[_says(p).alias(n) for n, p in MARKS.items()])))
+
+
 def attempt_starts(events: DataFrame) -> DataFrame:
-    """Places of the lines that open a connection attempt.
+    """Places of the lines that open a connection attempt."""
+    return _starts(marked(events))
+
+
+def _starts(events: DataFrame) -> DataFrame:
+    """Places of the lines of marked events that open a connection attempt.
 
     Only marker lines matter. A start marker opens an attempt whatever happened before it when no browser
     prompt is open and every earlier start marker is more than the gap away; the marker lines are cut at
     these certain starts, and only the stretches between them are decided in order.
     """
-    marks = {"is_start": ATTEMPT_START, "is_browser": BROWSER, "is_gateway": GATEWAY_LOGIN, "is_settled": PORTAL_SETTLED}
-    flagged = events.select("file_id", *PLACE, "ts", computed(*[_says(p).alias(n) for n, p in marks.items()]))
+    flagged = events.select("file_id", *PLACE, "ts", *MARKS)
     flagged = flagged.where(F.col("is_start") | F.col("is_browser") | F.col("is_gateway") | F.col("is_settled"))
     seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
     place = F.struct(*PLACE)
@@ -191,11 +206,15 @@ def attempt_starts(events: DataFrame) -> DataFrame:
     open_prompt = F.col("browser").isNotNull() & (F.col("settled").isNull() | (F.col("settled") < F.col("browser")))
     far = F.col("latest_start").isNull() | (F.col("seconds") - F.col("latest_start") > ATTEMPT_GAP_SECONDS)
     certain = F.col("is_start") & far & (F.col("latest_start").isNull() | ~open_prompt)
-    rows = rows._with(rows.df.withColumn("_reset", F.when(certain, place))).carry({"reset_at": "_reset"}).rows()
-    rows = rows.where(F.col("reset_at").isNotNull()).select("file_id", *PLACE, "reset_at", "seconds", *marks)
+    # `carry` and `running` read their rows twice, so that steps on top of each other would repeat the first ones
+    rows = rows._with(settle(rows.df.select("file_id", *PLACE, CHUNK, "seconds", *MARKS, F.when(certain, place).alias("_reset"))))
+    rows = rows.carry({"reset_at": "_reset"}).rows().where(F.col("reset_at").isNotNull())
+    rows = rows.select(
+        "file_id", *PLACE, F.col("reset_at.entry_ord").alias("reset_entry"), F.col("reset_at.line_no").alias("reset_line"), "seconds", *MARKS
+    )
     return (
-        rows.repartition("file_id", "reset_at")
-        .sortWithinPartitions("file_id", "reset_at", *PLACE)
+        rows.repartition("file_id", "reset_entry", "reset_line")
+        .sortWithinPartitions("file_id", "reset_entry", "reset_line", *PLACE)
         .mapInPandas(_attempt_starts, rows.select("file_id", *PLACE).schema)
     )
 
@@ -211,12 +230,13 @@ def attempt_lines(events: DataFrame, strict_gateway_ok: bool = False) -> DataFra
     order = list(range(len(STAGE_MARKERS)))
     if strict_gateway_ok:
         order[11], order[12] = order[12], order[11]
-    starts = attempt_starts(events).withColumn("_opens", F.struct(*PLACE))
+    kept = events.columns
+    events = marked(events)
+    starts = settle(_starts(events).withColumn("_opens", F.struct(*PLACE)))
     rows = events.join(starts, ["file_id", *PLACE], "left")
-    rows = rows.withColumn("_gateway", F.when(_says(GATEWAY_LOGIN), F.struct(*PLACE)))
+    rows = rows.withColumn("_gateway", F.when(F.col("is_gateway"), F.struct(*PLACE)))
     rows = by_lines(rows, ("file_id",), PLACE).carry({"attempt_at": "_opens", "gateway_at": "_gateway"}).rows()
     at_gateway = F.coalesce(F.col("gateway_at") >= F.col("attempt_at"), F.lit(False))
-    kept = events.columns
     rows = rows.where(F.col("attempt_at").isNotNull()).select(*kept, "attempt_at", at_gateway.alias("at_gateway"))
     marker = first_case([(_says(STAGE_MARKERS[i][0]), F.lit(i)) for i in order])
     return settle(rows.select("*", computed(marker.alias("marker"))))
@@ -281,20 +301,21 @@ def attempt_table(rows: DataFrame, stages: DataFrame) -> DataFrame:
     late = ("gateway auth", "tunnel", "HIP")
     after_select = F.col("marker").isin([i for i, m in enumerate(STAGE_MARKERS) if m[1] in late])
     gateway = F.when(after_select, _found(FLOW_GATEWAY))
-    facts = rows.select(
+    # settled: read for `base` and for the waits, which read `base` again
+    facts = settle(rows.select(
         *ATTEMPT, *PLACE, "ts", "at_gateway",
         computed(
             kind.alias("kind"), portal.alias("portal"), user.alias("user"), gateway.alias("gateway"),
             F.lower(msg).contains("logging into portal").alias("entering"),
         ),
-    )
+    ))
     at_portal = ~F.col("at_gateway")
     browser = F.col("kind") == "browser"
 
     def first(column: str, condition: Column) -> Column:
         return F.min_by(column, F.when(condition, place))
 
-    base = facts.groupBy(*ATTEMPT).agg(
+    base = settle(facts.groupBy(*ATTEMPT).agg(
         F.min_by("ts", place).alias("start"),
         F.max_by("ts", place).alias("end"),
         F.count(F.lit(1)).alias("events"),
@@ -305,7 +326,7 @@ def attempt_table(rows: DataFrame, stages: DataFrame) -> DataFrame:
         first("kind", at_portal & F.col("kind").isin("cookie", "credentials")).alias("other_portal"),
         F.max(F.col("at_gateway") & browser).alias("gateway_browser"),
         F.max(F.col("at_gateway") & (F.col("kind") == "cookie")).alias("gateway_cookie"),
-    )
+    ))
     entering = facts.where(F.col("entering")).join(base.where(F.col("prompt").isNotNull()).select(*ATTEMPT, "prompt"), list(ATTEMPT))
     wait = F.timestamp_diff("SECOND", F.col("prompt.ts"), F.col("ts")).cast("double")
     entering = entering.withColumn("wait", wait).where((F.col("wait") != 0) & (place >= F.struct("prompt.entry_ord", "prompt.line_no")))
