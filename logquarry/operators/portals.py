@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.functions.text import any_case, computed, groups, trimmed, unix
+from logquarry.functions.text import any_case, groups, trimmed, unix
 from logquarry.functions.timestamps import agent_timestamp
 from logquarry.operators.agentlogs import PLACE, place, service_lines
 from logquarry.operators.ordered import by_lines, settle
@@ -100,13 +100,15 @@ def portal_lines(lines: DataFrame) -> DataFrame:
         "assigned_ip": _got(ASSIGNED_IP, 1, "<ip-address>"),
         "gateway_user": _got(GATEWAY_USER, 1, "<user>"),
     }
-    rows = service_lines(lines).select("file_id", *PLACE, computed(*[c.alias(n) for n, c in parts.items()]))
+    # a projection: a generator with lambdas in it (`_gateway_facts`) would be interpreted
+    rows = service_lines(lines).select("file_id", *PLACE, *[c.alias(n) for n, c in parts.items()])
     flags = ("signed_in", "asked", "cloud", "tunnel", "report")
     told = F.exists(F.array(*flags), lambda f: F.coalesce(f, F.lit(False)))
     for n in parts:
         if n not in (*flags, "ts", "prelogin"):
             told = told | F.col(n).isNotNull()
-    rows = rows.select("*", computed(told.alias("told")))
+    # settled: `carry` reads its rows twice
+    rows = settle(rows.select("*", told.alias("told")))
     ordered = by_lines(rows, ("file_id",), PLACE).carry(
         {"seen": "ts", "segment": "prelogin", "portal": "named", "round": "discover"},
         above={"portal_above": "named", "round_above": "discover"},
