@@ -45,6 +45,8 @@ START = "▁"
 #: Signs that count as word characters and as no decimal, but are no letters either; Java's letters leave them out as well.
 _SIGNS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
 _WORD = re.compile(rf"[^\W\d_{re.escape(_SIGNS)}]+")
+#: Runs of letters and signs, whole and in stretches: these small classes match many times faster than the one above.
+_RUN, _STRETCH = re.compile(r"[^\W\d_]+"), re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
 
 
 def vocabulary(path: str = VOCABULARY) -> list[str]:
@@ -64,7 +66,7 @@ class Pieces:
         codes = _codes(pieces, LONGEST_PIECE)
         for length, h in _substrings(codes, LONGEST_PIECE):
             own = np.array([len(p) == length for p in pieces], bool)
-            self.hashes[own] = h[own, 0]
+            self.hashes[own] = h[0, own]
         # pieces whose place is taken go to the next table
         self.tables, left = [], np.arange(self.count)
         while len(left):
@@ -80,25 +82,33 @@ class Pieces:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Piece numbers, -1 where there is none."""
-        out = np.full(h.shape, -1, np.int32)
-        for i, table in enumerate(self.tables):
-            found = table[self._place(h, i)]
-            out = np.where((found >= 0) & (self.hashes[found] == h), found, out)
+        out = self.tables[0][self._place(h, 0)]
+        at = np.flatnonzero(out >= 0)
+        at = at[self.hashes[out[at]] != h[at]]
+        out[at] = -1
+        # a piece is in a later table only where its place in those before is taken
+        for i, table in enumerate(self.tables[1:], 1):
+            found = table[self._place(h[at], i)]
+            at, found = at[found >= 0], found[found >= 0]
+            same = self.hashes[found] == h[at]
+            out[at[same]] = found[same]
+            at = at[~same]
         return out
 
 
 def _codes(words: list[str], width: int) -> np.ndarray:
-    """Code points of each word in a row, zeros after its end."""
-    return np.array(words, dtype=f"U{width}").view(np.uint32).reshape(len(words), width).astype(np.uint64)
+    """(position, word) code points, zeros after a word's end."""
+    codes = np.array(words, dtype=f"U{width}").view(np.uint32).reshape(len(words), width)
+    return np.ascontiguousarray(codes.T).astype(np.uint64)
 
 
 def _substrings(codes: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
     """(length, hash of the substring of that length at each start)."""
     signs = codes * np.uint64(0xD6E8FEB86659FD93)
     h = np.zeros_like(signs)
-    for length in range(1, min(longest, codes.shape[1]) + 1):
-        n = codes.shape[1] - length + 1
-        h = h[:, :n] * np.uint64(0x9E3779B97F4A7C15) + (signs[:, length - 1 :] ^ (signs[:, length - 1 :] >> np.uint64(32)))
+    for length in range(1, min(longest, len(codes)) + 1):
+        n = len(codes) - length + 1
+        h = h[:n] * np.uint64(0x9E3779B97F4A7C15) + (signs[length - 1 :] ^ (signs[length - 1 :] >> np.uint64(32)))
         yield length, h
 
 
@@ -106,47 +116,55 @@ class Lattice:
     """All pieces of some words: edges (word, from, to, piece). The piece after the last of the vocabulary is the unknown character."""
 
     def __init__(self, words: list[str], known: Pieces):
-        width = max(map(len, words), default=0) + 1
-        codes = _codes([START + w for w in words], width)
-        parts = []
+        codes = _codes([START + w for w in words], max(map(len, words), default=0) + 1)
+        self.size = np.array([len(w) + 1 for w in words], np.int64)
+        self.width = int(self.size.max(initial=0)) + 1
+        #: by end: (length, range of edges) with one edge of a word at most, shorter ones first
+        self.into: list[list[tuple[int, slice]]] = [[] for _ in range(self.width)]
+        parts, count = [], 0
         for length, h in _substrings(codes, LONGEST_PIECE):
-            found = known.find(h)
-            found[codes[:, length - 1 :] == 0] = -1
+            start, row = np.nonzero(codes[length - 1 :])
+            piece = known.find(h[start, row]).astype(np.int64)
             if length == 1:
-                found[(found < 0) & (codes != 0)] = known.count
-            row, start = np.nonzero(found >= 0)
-            parts.append((row, start, start + length, found[row, start].astype(np.int64)))
+                piece[piece < 0] = known.count
+            held = np.flatnonzero(piece >= 0)
+            start = start[held]
+            parts.append((row[held], start, start + length, piece[held]))
+            borders = np.searchsorted(start, np.arange(len(codes) - length + 2)) + count
+            count += len(start)
+            for i, (a, b) in enumerate(zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)):
+                if a < b:
+                    self.into[i + length].append((length, slice(a, b)))
         self.row, self.start, self.end, self.piece = (np.concatenate(x) for x in zip(*parts, strict=True))
-        self.size = np.array([len(w) + 1 for w in words], np.int64)
-        self.width = int(self.size.max(initial=0)) + 1
-        order = np.argsort(self.end, kind="stable")
-        self.into = np.split(order, np.searchsorted(self.end[order], np.arange(1, self.width)))[: self.width]
-        order = np.argsort(self.start, kind="stable")
-        self.out_of = np.split(order, np.searchsorted(self.start[order], np.arange(1, self.width)))[: self.width]
+
+    def edges(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(from, to, words, pieces), in order of `to`."""
+        for end, held in enumerate(self.into):
+            for length, own in held:
+                yield end - length, end, self.row[own], self.piece[own]
 
     def forward(self, p: np.ndarray) -> np.ndarray:
-        """(word, position, language): probability of the word up to the position."""
-        alpha = np.zeros((len(self.size), self.width, p.shape[1]))
-        alpha[:, 0] = 1
-        for t in range(1, self.width):
-            e = self.into[t]
-            np.add.at(alpha[:, t], self.row[e], alpha[self.row[e], self.start[e]] * p[self.piece[e]])
+        """(position, word, language): probability of the word up to the position."""
+        alpha = np.zeros((self.width, len(self.size), p.shape[1]))
+        alpha[0] = 1
+        for start, end, row, piece in self.edges():
+            alpha[end, row] += alpha[start, row] * p[piece]
         return alpha
 
     def whole(self, alpha: np.ndarray) -> np.ndarray:
-        return alpha[np.arange(len(self.size)), self.size]
+        return alpha[self.size, np.arange(len(self.size))]
 
     def expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """How often each piece is used, given how often each word is."""
         alpha = self.forward(p)
+        share = counts / self.whole(alpha)
         beta = np.zeros_like(alpha)
-        beta[np.arange(len(self.size)), self.size] = 1
-        for t in range(self.width - 1, -1, -1):
-            e = self.out_of[t]
-            np.add.at(beta[:, t], self.row[e], beta[self.row[e], self.end[e]] * p[self.piece[e]])
-        used = alpha[self.row, self.start] * p[self.piece] * beta[self.row, self.end] / self.whole(alpha)[self.row] * counts[self.row]
+        beta[self.size, np.arange(len(self.size))] = 1
         out = np.zeros_like(p)
-        np.add.at(out, self.piece, used)
+        for start, end, row, piece in reversed([*self.edges()]):
+            after = p[piece] * beta[end, row]
+            beta[start, row] += after
+            np.add.at(out, piece, alpha[start, row] * after * share[row])
         return out
 
 
@@ -160,6 +178,16 @@ def fitted(words: list[str], counts: np.ndarray, known: Pieces, rounds: int = RO
     return p
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text, long ones in stretches."""
+    words = _STRETCH.findall(text.lower())
+    if not words or "".join(words).isalpha():
+        return words
+    # some run holds a sign that is no letter
+    runs = (w for run in _RUN.findall(text.lower()) for w in ((run,) if run.isalpha() else _WORD.findall(run)))
+    return [w[i : i + LONGEST] for w in runs for i in range(0, len(w), LONGEST)]
+
+
 class Scorer:
     """Log probabilities of texts in each language; remembers words."""
 
@@ -171,7 +199,8 @@ class Scorer:
     def _learn(self, words: set[str]) -> None:
         if len(self.numbers) + len(words) > REMEMBERED:
             self.numbers, self.scores = {}, np.zeros((0, self.p.shape[1]))
-        new = [w for w in words if w not in self.numbers]
+        # words of one length lie together, which leaves little room unused
+        new = sorted((w for w in words if w not in self.numbers), key=len)
         added = [self.scores]
         for at in range(0, len(new), 20_000):
             lattice = Lattice(new[at : at + 20_000], self.known)
@@ -183,7 +212,7 @@ class Scorer:
         """(text, language) log probabilities and the number of words of each text."""
         sums, sizes = np.zeros((len(texts), self.p.shape[1])), np.zeros(len(texts), np.int64)
         for a, b in pieces_of(texts):
-            words = [[x for w in _WORD.findall(t.lower()) for x in ((w,) if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)])] for t in texts[a:b]]
+            words = [words_of(t) for t in texts[a:b]]
             self._learn(set(chain.from_iterable(words)))
             get = self.numbers.__getitem__
             for i, own in enumerate(words, a):
