@@ -88,8 +88,9 @@ def _chunked(lines: DataFrame, chunk_lines: int) -> DataFrame:
     """
     rows = lines.select(*KEYS, F.col("line_no").cast("long").alias("line_no"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("chunk", F.floor(F.col("line_no") / chunk_lines))
-    mark = F.regexp_extract("text", r"(?s).*(<!--|-->|<!\[CDATA\[|\]\]>)", 1)
-    bracket = F.regexp_extract(F.regexp_replace("text", r"(?s)<!--.*?(-->|\z)|<!\[CDATA\[.*?(\]\]>|\z)", ""), r"(?s).*([<>])", 1)
+    # anchored: a text without a mark would be gone through again from each of its characters
+    mark = F.regexp_extract("text", r"(?s)\A.*(<!--|-->|<!\[CDATA\[|\]\]>)", 1)
+    bracket = F.regexp_extract(F.regexp_replace("text", r"(?s)<!--.*?(-->|\z)|<!\[CDATA\[.*?(\]\]>|\z)", ""), r"(?s)\A.*([<>])", 1)
     lasts = [F.max_by(c, F.when(c != "", F.col("line_no"))).alias(n) for n, c in (("mark", mark), ("bracket", bracket))]
     ends = rows.groupBy(*KEYS, "chunk").agg(*lasts, F.min(F.when(F.contains("text", F.lit(">")), F.col("line_no"))).alias("tag_end"))
     by_chunk = Window.partitionBy(*KEYS).orderBy("chunk")
