@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,12 +115,12 @@ def _unfinished(text: str) -> bool:
     return "<" in token and ">" not in token
 
 
-def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, Iterator[tuple[bool, str]]]]:
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator[tuple[bool, str]]]]:
     """For each chunk its key and what it holds: (is a note, note or lines that belong together)."""
 
     def flat() -> Iterator[tuple]:
         for batch in batches:
-            yield from zip(*(batch[c] for c in (*KEYS, "chunk", "note", "lead", "text")), strict=True)
+            yield from zip(*(batch.column(c).to_pylist() for c in (*KEYS, "chunk", "note", "lead", "text")), strict=True)
 
     for key, rows in groupby(flat(), key=lambda row: row[:4]):
 
@@ -181,10 +182,10 @@ def _left(texts: Iterator[str]) -> tuple[list, int]:
     return items, count
 
 
-def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for key, held in _groups(batches):
         items, count = _left(text for _, text in held)
-        yield pd.DataFrame([(*key, json.dumps([items, count]))], columns=[*KEYS, "chunk", "text"])
+        yield from _batches([(*key, json.dumps([items, count]))], _SUMMARY)
 
 
 class _Open:
@@ -276,10 +277,26 @@ def _collected(members: str | None, named: str | None, text: str, nested: str) -
     return members if members is not None else named if named is not None else text or nested
 
 
+_SUMMARY = "file_id string, entry_ord long, path string, chunk long, text string"
 _PART = f"kind string, closes boolean, chunk long, has_members boolean, has_named boolean, members string, named string, nested string, {NODE_COLUMNS}"
 _NAMES = [c.strip().split(" ")[0] for c in re.sub(r"<[^>]*>", "", _PART).split(",")]
 
 
+_ARROW = {
+    "string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()),
+    "array<long>": pa.list_(pa.int64()), "map<string,string>": pa.map_(pa.string(), pa.string()),
+}
+
+
+def _batches(rows: list[tuple], columns: str) -> Iterator[pa.RecordBatch]:
+    """The rows as Arrow data; lists and maps go there without pandas, which takes far longer for them."""
+    fields = [(name, _ARROW[kind]) for name, kind in (c.split(" ") for c in columns.split(", "))]
+    for at in range(0, len(rows), BATCH_ROWS):
+        values = zip(*rows[at : at + BATCH_ROWS], strict=True)
+        arrays = [pa.array([v and list(v.items()) for v in x] if pa.types.is_map(t) else x, t) for x, (_, t) in zip(values, fields, strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, [name for name, _ in fields])
+
+
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     frame = pd.DataFrame(rows, columns=names)
     for c in ("chunk", "parent_id", "node_id", "ord", "depth", "nth", "parent_nth"):
@@ -382,7 +399,7 @@ class _Chunk:
         return rows
 
 
-def _elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for key, held in _groups(batches):
         chunk = None
         for is_note, text in held:
@@ -391,10 +408,10 @@ def _elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             chunk.feed(text)
             if len(chunk.rows) >= BATCH_ROWS:
-                yield _frame(chunk.taken(), _NAMES)
+                yield from _batches(chunk.taken(), _PART)
         if chunk is not None:
             chunk.finish()
-            yield _frame(chunk.taken(), _NAMES)
+            yield from _batches(chunk.taken(), _PART)
 
 
 class _Joined:
@@ -470,9 +487,8 @@ def _read(lines: DataFrame, chunk_lines: int) -> tuple[DataFrame, DataFrame]:
     """The lines with their chunks, and the notes of step 2 (chunk is null for a document's status)."""
     rows = settle(_chunked(lines, chunk_lines))
     dealt = _dealt(rows.withColumn("note", F.lit(False)), (*KEYS, "chunk"), "line_no")
-    keys = "file_id string, entry_ord long, path string, chunk long, text string"
-    left = dealt.mapInPandas(_summaries, keys)
-    return rows, settle(_dealt(left, KEYS, "chunk").mapInPandas(_documents, keys))
+    left = dealt.mapInArrow(_summaries, _SUMMARY)
+    return rows, settle(_dealt(left, KEYS, "chunk").mapInPandas(_documents, _SUMMARY))
 
 
 def xml_nodes(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
@@ -480,7 +496,7 @@ def xml_nodes(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     rows, notes = _read(lines, chunk_lines)
     told = notes.where("chunk is not null").select(*KEYS, "chunk", F.lit(None).cast("string").alias("lead"), F.lit(None).cast("long").alias("line_no"), "text", F.lit(True).alias("note"))
     both = told.unionByName(rows.withColumn("entry_ord", F.col("entry_ord").cast("long")).withColumn("note", F.lit(False)))
-    found = settle(_dealt(both, (*KEYS, "chunk"), F.col("note").desc(), "line_no").mapInPandas(_elements, _PART))
+    found = settle(_dealt(both, (*KEYS, "chunk"), F.col("note").desc(), "line_no").mapInArrow(_elements, _PART))
     names = _NAMES[8:]
     parts = _dealt(found.where("kind <> 'whole'"), KEYS, "chunk", F.col("closes").desc(), F.col("depth").desc())
     return found.where("kind = 'whole'").select(*names).unionByName(parts.mapInPandas(_spanning, NODE_COLUMNS).select(*names))
