@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from logquarry.functions.linefields import FieldCondition
 from logquarry.functions.matching import Condition
@@ -14,6 +18,8 @@ from logquarry.operators.ordered import by_lines
 
 # Fixed value: the most context lines that a query text may ask for.
 MAX_INLINE_CONTEXT = 30
+#: Characters of a file's lines that are searched for sequences together.
+GROUP_CHARS = 1 << 20
 
 FILE = ("file_id", "entry_ord", "path")
 HIT = (*FILE, "line_no")
@@ -172,10 +178,72 @@ def trigrams(lines: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
 
     Saved once, the whole table serves any search; one search needs no more than its own sequences.
     """
-    grams = F.array_distinct(F.regexp_extract_all(fold(F.col("text")), F.lit(r"(?s)(?=(.{3}))"), 1))
-    if only is not None:
-        grams = F.array_intersect(grams, F.array(*[F.lit(t) for t in only]).cast("array<string>"))
-    return lines.select(*FILE, F.explode(grams).alias("tri")).distinct()
+    told = lines.select(*FILE, fold(F.col("text")).alias("text"))
+    grams = told.mapInArrow(_grams(only), StructType(told.schema.fields[:-1]).add("tris", ArrayType(StringType())))
+    return grams.select(*FILE, F.explode("tris").alias("tri")).distinct()
+
+
+def pieces(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges [a, b) that hold at most GROUP_CHARS together, or one larger member."""
+    start, held = 0, 0
+    for i, size in enumerate(sizes):
+        if held and held + size > GROUP_CHARS:
+            yield start, i
+            start, held = i, 0
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def _sequences(texts: list[str]) -> np.ndarray:
+    """Distinct sequences of three characters within the texts, 21 bits for each character."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    if len(codes) < 3:
+        return np.zeros(0, np.uint64)
+    within = np.ones(len(codes), bool)
+    ends = np.cumsum([len(t) for t in texts])
+    within[ends - 1] = within[ends - 2] = False
+    return np.unique((codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:])[within[:-2]])
+
+
+def _spelled(found: np.ndarray) -> pa.Array:
+    """The sequences as strings."""
+    codes = np.stack([found >> 42, found >> 21 & 0x1FFFFF, found & 0x1FFFFF], 1).astype("<u4")
+    ends = np.cumsum((1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)).sum(axis=1))
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(found), pa.py_buffer(offsets), pa.py_buffer(codes.tobytes().decode("utf-32-le").encode()))
+
+
+def _grams(only: Sequence[str] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds up the lines of a file that come together: (file, its distinct sequences), of the named ones if any are."""
+
+    wanted = None if only is None else np.unique(np.concatenate([_sequences([t]) for t in ["", *only]]))
+
+    def rows(batch: pa.RecordBatch, picked: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        offsets = np.cumsum([0, *(len(found) for _, found in picked)]).astype(np.int32)
+        tris = pa.ListArray.from_arrays(offsets, _spelled(np.concatenate([found for _, found in picked])))
+        at = pa.array([i for i, _ in picked], pa.int64())
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in FILE), tris], [*FILE, "tris"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts = zip(*(batch.column(c).to_pylist() for c in FILE), strict=True), batch.column("text").to_pylist()
+            picked, size = [], 0
+            for _, own in groupby(enumerate(keys), key=lambda x: x[1]):
+                numbers = [i for i, _ in own]
+                for a, b in pieces([len(texts[i] or "") for i in numbers]):
+                    found = _sequences([texts[i] or "" for i in numbers[a:b]])
+                    found = found if wanted is None else np.intersect1d(found, wanted, assume_unique=True)
+                    if len(found):
+                        picked.append((numbers[a], found))
+                        size += len(found)
+                    if size > GROUP_CHARS:
+                        yield rows(batch, picked)
+                        picked, size = [], 0
+            if picked:
+                yield rows(batch, picked)
+
+    return run
 
 
 def split_common(grams: DataFrame, max_files: int) -> tuple[DataFrame, DataFrame]:
