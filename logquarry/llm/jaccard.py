@@ -10,12 +10,14 @@ shingles, so subsets that differ in one meet. Which m and which allowances are l
 and pairs that meet, is decided for each class on a sample of texts with about `SAMPLE` shingles; it changes the work, not the
 result, and a class without a sample takes m = H + 1.
 
-Sets that share an entry are candidates. Every entry's sets are tied to the least of them, and the components of that
-are verified: similarity is counted on whole sets, of pairs that sizes and a parity bitmap (one bit flipped by each
-shingle, so the bitmaps' differing bits are a lower bound of the differing shingles) do not rule out. A component with up
-to `SLICE` shingles is verified by one task, from set to set as they are found linked. A larger one first meets
-`LEADERS` of its sets, in slices; then every pair of slices compares the sets that are not linked yet, which leaves the
-result exact. Each task holds two slices at most.
+Sets that share an entry are candidates, unless their sizes or their parity bitmaps rule them out: one bit is flipped by
+each shingle, so the bitmaps' differing bits are a lower bound of the differing shingles; a bitmap has 1,024 bits, or as
+many as half of the shingles or more. Chance meetings, whose number grows faster than the table, end here, before any
+text is read again. Every entry's sets are tested with the least of them first, then all pairs of sets that this left
+apart. The components of what passes are verified: similarity is counted on whole sets, again of pairs in reach. A
+component with up to `SLICE` shingles is verified by one task, from set to set as they are found linked. A larger one
+first meets `LEADERS` of its sets, in slices; then the sets of entries whose bitmaps pass and which are not linked yet are
+compared by every pair of slices, which leaves the result exact. Each task holds two slices at most.
 
 Defined results: null and empty texts and texts without words have no shingles and are linked with nothing; a text with
 fewer words than a shingle is one shingle; rows that repeat are linked like any equal texts; rows that share an id are
@@ -33,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logquarry.llm.common import as_bytes, saved, shuffle_partitions
@@ -48,6 +50,8 @@ REMEMBERED = 100_000
 #: What a pair that meets costs, counted in index entries.
 PAIR_COST = 40
 _PARITY = 1024
+#: Bits for each wanted id in the bitmap that texts pass before they are joined, and in one row of it.
+_ID_BITS, _ROW_BITS = 16, 1 << 15
 _ODD, _MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 Share = tuple[int, int]
@@ -150,6 +154,17 @@ def allowances(sets: list[np.ndarray], of: int, gap: int, scale: float) -> np.nd
     return best
 
 
+def _perhaps(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of `docs` (doc_id, text) with an id of `wanted`, and about one in `_ID_BITS` of the others."""
+    bits = -(-max(wanted.count(), 1) * _ID_BITS // _ROW_BITS) * _ROW_BITS
+    place = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(bits))
+    row, within = F.floor(place / _ROW_BITS), place % _ROW_BITS
+    known = wanted.groupBy(row.alias("row")).agg(F.bitmap_construct_agg(within).alias("bits"))
+    octet = F.conv(F.hex(F.substring("bits", (within / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    found = docs.withColumn("row", row).join(F.broadcast(known), "row")  # two bytes for each wanted id
+    return found.where(F.getbit(octet, (within % 8).cast("int")) == 1).select("doc_id", "text")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """`wanted` (doc_id, mark, others) with `own`, the set's hashes as bytes."""
     others = [f for f in wanted.schema.fields if f.name not in ("doc_id", "mark")]
@@ -161,7 +176,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             rest = batch.take(pa.array(right, pa.int64()))
             yield pa.RecordBatch.from_arrays([rest.column(0), *rest.columns[2:], pa.array([sets[i].tobytes() for i in right], pa.binary())], ["mark", *[f.name for f in others], "own"])
 
-    joined = docs.join(wanted, "doc_id").select("mark", "text", *[f.name for f in others])
+    joined = _perhaps(docs, wanted).join(wanted, "doc_id").select("mark", "text", *[f.name for f in others])
     return joined.mapInArrow(run, ", ".join(["mark long", *[f"{f.name} {f.dataType.simpleString()}" for f in others], "own binary"]))
 
 
@@ -193,27 +208,29 @@ def _plan(docs: DataFrame, share: Share, shingle: int, sample: int) -> dict[int,
 
 
 def _entered(docs: DataFrame, plan: dict[int, np.ndarray], share: Share, shingle: int) -> DataFrame:
-    """(doc_id, n, mark, cell): every row once with its size and no cell, and the index entries of all sets.
+    """(doc_id, n, mark, print, cell): every row once with its size and no cell, and the index entries of all sets.
 
-    A task enters equal texts once as long as it remembers them.
+    A task enters equal texts once as long as it remembers them; the row that enters them has their bitmap. Rows without
+    an id enter nothing.
     """
     gaps = bands(share)[1]
 
-    def out(ids, sizes, marks, cells) -> pa.RecordBatch:
+    def out(ids, sizes, marks, prints, cells) -> pa.RecordBatch:
         rows = sum(len(x) for x in cells)
         columns = [pa.array(ids + [None] * rows, pa.int64()), pa.array(sizes + [None] * rows, pa.int64())]
         own = pa.array(np.concatenate([np.array([m for m, _ in marks], np.int64), *(np.full(len(c), m, np.int64) for m, c in marks)]))
-        columns += [own, pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int64), *cells]))])]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "mark", "cell"])
+        columns += [own, pa.concat_arrays([pa.array(prints, pa.binary()), pa.nulls(rows, pa.binary())])]
+        columns += [pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int64), *cells]))])]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "mark", "print", "cell"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: OrderedDict[int, None] = OrderedDict()
         for batch in batches:
-            ids, sizes, marks, cells, room = [], [], [], [], 0
+            ids, sizes, marks, prints, cells, room = [], [], [], [], [], 0
             for key, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 own = shingle_set(text, shingle)
                 mark, found = mark_of(own), np.zeros(0, np.int64)
-                if mark not in seen:
+                if key is not None and mark not in seen:
                     seen[mark] = None
                     if len(seen) > REMEMBERED:
                         seen.popitem(last=False)
@@ -224,20 +241,63 @@ def _entered(docs: DataFrame, plan: dict[int, np.ndarray], share: Share, shingle
                 ids.append(key)
                 sizes.append(len(own))
                 marks.append((mark, found))
+                prints.append(parity(own, width_of(len(own))).tobytes() if len(found) else None)
                 cells.append(found)
                 room += len(found) + 1
                 if room > 200_000:
-                    yield out(ids, sizes, marks, cells)
-                    ids, sizes, marks, cells, room = [], [], [], [], 0
-            yield out(ids, sizes, marks, cells)
+                    yield out(ids, sizes, marks, prints, cells)
+                    ids, sizes, marks, prints, cells, room = [], [], [], [], [], 0
+            yield out(ids, sizes, marks, prints, cells)
+
+    return docs.mapInArrow(run, "doc_id long, n long, mark long, print binary, cell long")
+
+
+def width_of(n: int) -> int:
+    """Bits of the bitmap of n shingles: unlike sets differ in about half of them, far more than sets in reach may."""
+    return max(_PARITY, 1 << max(n - 1, 1).bit_length() - 1)
+
+
+def parity(own: np.ndarray, width: int) -> np.ndarray:
+    """A bitmap in which every shingle flips one bit."""
+    flipped = np.bincount((_mixed(own, 5) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(flipped.astype(np.uint8)).view(np.uint64)
 
-    return docs.mapInArrow(run, "doc_id long, n long, mark long, cell long")
+
+def folded(prints: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of the narrowest one's width."""
+    least, rows = min(map(len, prints), default=8) // 8, []
+    for own in prints:
+        row = np.frombuffer(own, np.uint64)
+        while len(row) > least:
+            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
+        rows.append(row)
+    return np.array(rows, np.uint64).reshape(len(rows), least)
 
 
 def parities(sets: list[np.ndarray]) -> np.ndarray:
-    """A bitmap of each set in which every shingle flips one bit."""
-    flipped = [np.bincount((_mixed(x, 5) >> np.uint64(54)).astype(np.int64), minlength=_PARITY) & 1 for x in sets]
-    return np.packbits(np.array(flipped, np.uint8).reshape(-1, _PARITY), axis=1).view(np.uint64)
+    """The bitmaps of all sets, as wide as the largest one's."""
+    width = width_of(max(map(len, sets), default=0))
+    return np.array([parity(x, width) for x in sets], np.uint64).reshape(len(sets), width // 64)
+
+
+def in_reach(i: int, among: np.ndarray, sizes: np.ndarray, prints: np.ndarray, share: Share) -> np.ndarray:
+    """Those of `among` that neither sizes nor bitmaps rule out as partners of i."""
+    near = among[share[1] * np.minimum(sizes[among], sizes[i]) >= share[0] * np.maximum(sizes[among], sizes[i])]
+    apart = np.bitwise_count(prints[near] ^ prints[i]).sum(axis=1, dtype=np.int64)
+    return near[apart * (share[1] + share[0]) <= (sizes[near] + sizes[i]) * (share[1] - share[0])]
+
+
+def possible(sizes: np.ndarray, prints: np.ndarray, roots: np.ndarray, share: Share) -> tuple[list[int], list[int]]:
+    """Links between sets that join all pairs in reach with different roots."""
+    _, kind, counts = np.unique(roots, return_inverse=True, return_counts=True)
+    group, a, b = np.arange(len(sizes)), [], []
+    for i in np.flatnonzero(kind != counts.argmax()).tolist():  # one of each pair is among these
+        near = in_reach(i, np.flatnonzero((group != group[i]) & (kind != kind[i])), sizes, prints, share)
+        groups, first = np.unique(group[near], return_index=True)
+        a += [i] * len(first)
+        b += near[first].tolist()
+        group[np.isin(group, groups)] = group[i]
+    return a, b
 
 
 def alike(a: np.ndarray, b: np.ndarray, share: Share) -> bool:
@@ -251,11 +311,7 @@ def linked(sets: list[np.ndarray], share: Share, groups: np.ndarray, sources: np
     group, tested, a, b = groups.copy(), np.zeros(len(sets), bool), [], []
     for i in sources.tolist():
         tested[i] = True
-        near = np.flatnonzero((group != group[i]) & ~tested)
-        near = near[share[1] * np.minimum(sizes[near], sizes[i]) >= share[0] * np.maximum(sizes[near], sizes[i])]
-        apart = np.bitwise_count(prints[near] ^ prints[i]).sum(axis=1, dtype=np.int64)
-        near = near[apart * (share[1] + share[0]) <= (sizes[near] + sizes[i]) * (share[1] - share[0])]
-        for j in near.tolist():
+        for j in in_reach(i, np.flatnonzero((group != group[i]) & ~tested), sizes, prints, share).tolist():
             if group[j] != group[i] and alike(sets[i], sets[j], share):
                 group[group == group[j]] = group[i]
                 a.append(i)
@@ -317,12 +373,57 @@ def _pairs_of_slices(members: DataFrame) -> DataFrame:
     return dealt.withColumn("cell", F.xxhash64("component", "pair.x", "pair.y")).withColumn("leads", F.lit(False))
 
 
-def links(docs: DataFrame, entered: DataFrame, reps: DataFrame, share: Share, shingle: int, slice_shingles: int = SLICE) -> DataFrame:
-    """(a, b): links between marks that join all sets of `reps` (mark, doc_id, n) that are linked; `entered` (cell, mark)."""
-    met = entered.groupBy("cell").agg(F.min("mark").alias("lead"), F.max("mark").alias("last")).where("lead <> last").drop("last")
-    shared = saved(entered.join(met, "cell").distinct())
-    asked = saved(components(shared.select("mark", "lead").where("mark <> lead"), "mark", "lead").withColumnRenamed("node", "mark"))
-    members = saved(_sets(docs, _sliced(asked.join(reps, "mark"), slice_shingles), shingle))
+def _met(stars: DataFrame, prints: DataFrame, share: Share) -> DataFrame:
+    """(a, b): the pairs of `stars` (mark, lead) that sizes and bitmaps do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, of, own, other = (x.to_pylist() for x in batch.columns)
+            pair = np.array([0, 1])
+            kept = [i for i in range(len(a)) if len(in_reach(0, pair[1:], np.array([n[i], of[i]]), folded([own[i], other[i]]), share))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in kept], pa.int64()) for x in (a, b)], ["a", "b"])
+
+    lead = prints.select(F.col("mark").alias("lead"), F.col("n").alias("of"), F.col("print").alias("other"))
+    return stars.join(prints, "mark").join(lead, "lead").select("mark", "lead", "n", "of", "print", "other").mapInArrow(run, "a long, b long")
+
+
+def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(cell, mark, root): the sets of the cells in which those of `roots` (mark, root) have different roots."""
+    cell = Window.partitionBy("cell")
+    rows = shared.select("cell", "mark").join(roots, "mark")
+    return rows.withColumns({"low": F.min("root").over(cell), "high": F.max("root").over(cell)}).where("low <> high").select("cell", "mark", "root")
+
+
+def _possible(rows: DataFrame, prints: DataFrame, share: Share) -> DataFrame:
+    """(a, b): links that join, in each cell of `rows` (cell, mark, root), all pairs in reach with different roots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _in_groups(batches):
+            marks, sizes, roots = (table.column(x).to_numpy() for x in ("mark", "n", "root"))
+            a, b = possible(sizes, folded(table.column("print").to_pylist()), roots, share)
+            yield pa.RecordBatch.from_arrays([pa.array(marks[np.array(x, np.int64)]) for x in (a, b)], ["a", "b"])
+
+    dealt = rows.join(prints, "mark").select("cell", "mark", "root", "n", "print")
+    return dealt.repartition(shuffle_partitions(rows.sparkSession), "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+
+
+def _rooted(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """`sets` (mark, others) with the smallest set that `found` (a, b) joins each one to."""
+    roots = components(found).select(F.col("node").alias("mark"), F.col("component").alias("root"))
+    return saved(sets.join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark")))
+
+
+def links(docs: DataFrame, entered: DataFrame, prints: DataFrame, reps: DataFrame, share: Share, shingle: int, slice_shingles: int = SLICE) -> DataFrame:
+    """(a, b): links between marks that join all sets of `reps` (mark, doc_id, n) that are linked; `entered` (cell, mark), `prints` (mark, n, print)."""
+    cell = Window.partitionBy("cell")
+    ends = entered.withColumns({"lead": F.min("mark").over(cell), "last": F.max("mark").over(cell), "several": F.count("*").over(cell) > 2})
+    shared = saved(ends.where("lead <> last").drop("last").distinct())
+    prints = saved(prints.join(shared.select("mark").distinct(), "mark").dropDuplicates(["mark"]))
+    met = saved(_met(shared.select("mark", "lead").where("mark <> lead").distinct(), prints, share))
+    roots = _rooted(prints.select("mark"), met)
+    met = saved(met.unionByName(_possible(_open(shared.where("several"), roots), prints, share)))
+    asked = components(met).withColumnRenamed("node", "mark")
+    members = saved(_sets(docs, saved(_sliced(asked.join(reps, "mark"), slice_shingles)), shingle))
     small = members.where("slices = 1").withColumns({"cell": F.col("component"), "root": F.col("mark"), "leads": F.lit(False)})
     found = saved(_verified(small, share))
     large = members.where("slices > 1")
@@ -333,20 +434,15 @@ def links(docs: DataFrame, entered: DataFrame, reps: DataFrame, share: Share, sh
     leaders = large.withColumn("rank", rank).where(F.col("rank") <= LEADERS).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     both = large.withColumns({"slice": F.pmod(F.xxhash64("mark"), "slices").cast("int"), "leads": F.lit(False)}).unionByName(leaders.drop("rank").withColumn("leads", F.lit(True)))
     found = saved(found.unionByName(_verified(both.withColumns({"cell": F.xxhash64("component", "slice"), "root": F.col("mark")}), share)))
-    # what shares an entry and is not linked yet
-    roots = components(found).select(F.col("node").alias("mark"), F.col("component").alias("root"))
-    large = large.drop("own")
-    rooted = saved(large.join(roots, "mark", "left").select("mark", "n", "component", F.coalesce("root", "mark").alias("root")))
-    cells = shared.join(rooted, "mark").groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("mark").alias("lead")).where("low <> high").select("cell", "lead")
-    open_ = components(shared.select("cell", "mark").join(cells, "cell").where("mark <> lead").select("mark", "lead").distinct(), "mark", "lead")
-    left = _sliced(open_.withColumnRenamed("node", "mark").join(rooted.drop("component"), "mark"), slice_shingles)
+    # what shares an entry, is in reach and is not linked yet
+    rooted = _rooted(large.select("mark", "n"), found)
+    open_ = components(saved(_possible(_open(shared, rooted.select("mark", "root")), prints, share)))
+    left = _sliced(open_.withColumnRenamed("node", "mark").join(rooted, "mark"), slice_shingles)
     dealt = _pairs_of_slices(left.join(members.select("mark", "own"), "mark"))
     return saved(found.unionByName(_verified(dealt, share)))
 
 
 def _window(key: str):
-    from pyspark.sql import Window
-
     return Window.partitionBy(key).orderBy(F.xxhash64("mark", F.lit(29)), "mark")
 
 
@@ -354,9 +450,10 @@ def similar_texts(docs: DataFrame, shingle: int = 3, share: Share = (90, 100), k
     """(doc_id, n_shingles, component_id) of every row."""
     named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     seen = saved(_entered(named, _plan(named, share, shingle, sample), share, shingle))
-    described = saved(seen.where("cell is null").drop("cell"))
+    described = saved(seen.where("cell is null").drop("print", "cell"))
     reps = saved(described.where("n > 0 and doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
-    found = links(named, seen.where("cell is not null").select("cell", "mark"), reps, share, shingle, slice_shingles)
+    prints = seen.where("print is not null").select("mark", "n", "print")
+    found = links(named, seen.where("cell is not null").select("cell", "mark"), prints, reps, share, shingle, slice_shingles)
     joined = components(found).withColumnRenamed("node", "mark")
     least = saved(reps.join(joined, "mark", "left").select("mark", "doc_id", F.coalesce("component", "mark").alias("component")))
     least = least.join(least.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("mark", "component_id")

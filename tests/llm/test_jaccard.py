@@ -102,6 +102,43 @@ def test_allowances_are_the_cheapest_of_their_sum():
     assert (jaccard.allowances(sets, 12, 1, 1e9) == 2).any()
 
 
+def test_bitmaps_rule_out_unlike_sets_of_any_length_and_no_pair_in_reach():
+    rnd = np.random.default_rng(7)
+    for n in (10, 300, 2048, 2100, 6000, 40_000):
+        a = np.unique(rnd.integers(0, 1 << 63, n).astype(np.uint64))
+        apart = 2 * n * 10 // 190  # shingles in which sets of n may differ
+        for other in (a[apart // 2 :], np.r_[a, rnd.integers(0, 1 << 63, n // 9).astype(np.uint64)], np.r_[a[apart // 2 :], a[: apart // 2] + np.uint64(1)]):
+            sets = [a, np.unique(other), np.unique(rnd.integers(0, 1 << 63, n).astype(np.uint64))]
+            sizes = np.array([len(x) for x in sets])
+            assert jaccard.alike(*sets[:2], SHARE)
+            for prints in (jaccard.parities(sets), jaccard.folded([jaccard.parity(x, jaccard.width_of(len(x))).tobytes() for x in sets])):
+                assert jaccard.in_reach(0, np.array([1, 2]), sizes, prints, SHARE).tolist() == [1], n
+
+
+def test_sets_that_meet_by_chance_are_not_compared(spark, monkeypatch):
+    rnd, texts = random.Random(8), []
+    of = jaccard.classes_of(10, SHARE)[0]
+    while len(texts) < 40:  # unlike texts whose second segment is empty meet in one cell
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(12)]
+        if not jaccard._segments(jaccard.shingle_set(" ".join(words).encode(), 3), of, jaccard.bands(SHARE)[1][of] + 1).any():
+            texts.append(" ".join(words))
+    texts.append(texts[5] + " w0")
+    dealt, verified = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda rows, share: dealt.append(rows.count()) or verified(rows, share))
+    want = brute(list(enumerate(texts)))
+    assert got(jaccard.similar_texts(documents(spark, texts), slice_shingles=64, sample=0)) == want
+    assert (40, 11, 5) in want
+    assert sum(dealt) <= 4, dealt  # the two that are alike; all 41 in every pair of slices before
+
+
+def test_texts_that_nothing_wants_stay_behind(spark):
+    docs = spark.range(20_000).selectExpr("case when id > 0 then id end as doc_id", "repeat('x', 3) as text")
+    wanted = spark.range(5, 20_000, 40).selectExpr("id as doc_id")
+    kept = [r.doc_id for r in jaccard._perhaps(docs, wanted).collect()]
+    assert set(kept) >= set(range(5, 20_000, 40)) and len(kept) < 2 * 500 + 20_000 // 10
+    assert jaccard._perhaps(docs, wanted.limit(0)).count() == 0
+
+
 def test_odd_rows(spark, odd, nothing):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert got(jaccard.similar_texts(odd)) == brute(rows)
